@@ -112,3 +112,61 @@ def components(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
             return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(e.groupBy("b").agg(F.min("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
         last = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def sorted_groups(batches, keys: list[str], most_rows: int = 1 << 14):
+    """Tables of whole groups, from Arrow batches that are sorted by `keys`; small groups come several to a table.
+
+    Yields (table, starts): group g is rows starts[g]:starts[g + 1]. A group that runs over a batch's end waits for its rest.
+    """
+    import pyarrow as pa
+
+    held: list = []
+
+    def heads(t) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            v = t.column(k).combine_chunks().to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) < most_rows:
+            continue
+        t = pa.Table.from_batches(held)
+        s = heads(t)
+        if len(s) > 1:
+            yield t.slice(0, int(s[-1])).combine_chunks(), s
+            held = t.slice(int(s[-1])).combine_chunks().to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.append(heads(t), t.num_rows)
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index in each vertex's component, of the edges (i, j) on 0..n-1."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        was = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == was).all():
+            break
+    return root
+
+
+def block_pairs(df: DataFrame, key: str, id_col: str, most: int) -> DataFrame:
+    """Rows of `df` dealt to (key, b1, b2): all pairs of a key's rows meet once, in tasks of at most about 2 * `most` rows.
+
+    A key with more than `most` rows is cut into blocks by a hash of the id; each row goes to the pairs of its block with
+    every block, so a large group is spread over many tasks and no task, and no row of output, grows with its square.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    rows = df.join(counts, key).withColumn("_nb", F.expr(f"(_n + {most - 1}) div {most}")).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_nb")))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    return rows.withColumn("b1", F.least("_b", "_o")).withColumn("b2", F.greatest("_b", "_o")).drop("_n", "_nb", "_o")
