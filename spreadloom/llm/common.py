@@ -24,10 +24,19 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: later stages restart from files, not from lineage."""
+    """Write a table to the shared scratch folder and read it back: later stages restart from files, not from lineage.
+
+    The shuffle files behind a written table are of no more use, so they are released with the write.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(release, "false")
+    spark.conf.set(release, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(release, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
