@@ -154,7 +154,7 @@ def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
 
     kept = docs.select(*[docs[n] for n in names])
     schema = type(docs.schema)([*columns])
-    return kept.mapInArrow(run, schema.add("score", "double").add("predicted", "int"))
+    return kept.mapInArrow(run, schema.add("score", "double").add("predicted", "integer"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
