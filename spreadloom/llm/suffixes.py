@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import ByteHashes, cut, mix, sorted_groups, table
+from spreadloom.llm.common import ByteHashes, cut, discard, mix, sorted_groups, table
 from spreadloom.llm.tokens import slices, texts
 
 LENGTH, SEED = 50, 20
@@ -228,18 +228,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kind = F.col("place").bitwiseAND(F.lit(3))
     lo, count, check = F.shiftright("place", 22), F.shiftright("place", 16).bitwiseAND(F.lit(63)), F.shiftright("place", 2).bitwiseAND(F.lit(0x3FFF))
     open_rows = ranked.filter(kind != SETTLED)
-    names = open_rows.groupBy("seed", "name").agg(F.min("doc_id").alias("first"))
-    names = cut(names, "suffix-names")
+    names = cut(open_rows.groupBy("seed", "name").agg(F.min("doc_id").alias("first")), "suffix-names")
     several = names.groupBy("seed").agg(F.count("*").alias("stretches"))
     judged = cut(open_rows.join(names.join(several, "seed"), ["seed", "name"]).select("doc_id", "place", (F.col("doc_id") > F.col("first")).alias("settled"), (F.col("stretches") > 1).alias("open")), "suffix-round2")
     spans = ranked.filter(kind == SETTLED).select("doc_id", check.alias("check"), lo.alias("start"), F.col("seed").alias("end"))
-    spans = spans.unionByName(judged.filter("settled").select("doc_id", check.alias("check"), lo.alias("start"), (lo + count + LENGTH).alias("end")))
-    lists = judged.filter("not settled and open").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    spans = cut(_merged(spans.unionByName(judged.filter("settled").select("doc_id", check.alias("check"), lo.alias("start"), (lo + count + LENGTH).alias("end")))), "suffix-settled")
+    lists = cut(judged.filter("not settled and open").groupBy("doc_id").agg(F.collect_list("place").alias("places")), "suffix-open")
+    discard(ranked, names, judged)
     pairs = base.join(lists, "doc_id").select("doc_id", "text", "places").mapInArrow(_round3, ROUND3)
     last = cut(pairs.repartition("high").sortWithinPartitions("high").mapInArrow(_rerank3, SPANS), "suffix-round3")
     return spans.unionByName(last)
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """The spans of each document united, as far as they lie in one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in sorted_groups(batches, ["doc_id"], 1 << 17):
+            yield _batch(list(_merge(*(t.column(c).combine_chunks().to_numpy() for c in ("doc_id", "check", "start", "end")))), SPANS)
+
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SPANS)
+
+
 def _with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
     spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("check", "start", "end")).alias("_spans"))
     spans = cut(spans, "suffix-spans")
