@@ -53,7 +53,8 @@ def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
 
     Each run splits all sets on one sampled token. A bucket of more than `most` sets is split again on CHILDREN tokens
     chosen by its path (1 / threshold would do on average; two keep a pair together more surely), DEPTH times at most.
-    Buckets of sets that stay alike to the end remain large; they are dealt out in block pairs.
+    A bucket of which half or more would stay together is a group of sets alike: splitting it further only repeats it,
+    so it is left whole, as is what remains large at the end, and dealt out in block pairs.
     """
     sigs = classes.select("cid", "sig")
     token = F.element_at("sig", (F.col("coord") + 1).cast("int"))
@@ -62,16 +63,20 @@ def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
     for depth in range(DEPTH + 1):
         nodes = cut(nodes, f"path-level{depth}")
         sizes = nodes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        nodes = nodes.join(sizes, "key")
+        sized = nodes.join(sizes, "key")
         if depth == DEPTH:
-            out.append(nodes.select("key", "cid"))
-            break
-        out.append(nodes.filter(F.col("n") <= most).select("key", "cid"))
-        large = nodes.filter(F.col("n") > most).select("key", "cid")
-        if large.isEmpty():
+            out.append(sized.select("key", "cid"))
             break
+        out.append(sized.filter(F.col("n") <= most).select("key", "cid"))
+        large = sized.filter(F.col("n") > most)
         split = large.withColumn("child", F.explode(F.array(*[F.lit(c) for c in range(CHILDREN)]))).withColumn("coord", F.pmod(F.xxhash64("key", "child"), F.lit(WIDTH)))
-        nodes = split.join(sigs, "cid").select("cid", F.xxhash64("key", "child", token).alias("key"))
+        split = cut(split.join(sigs, "cid").select("cid", F.col("key").alias("parent"), "n", F.xxhash64("key", "child", token).alias("key")), f"path-split{depth}")
+        if split.isEmpty():
+            break
+        shares = split.groupBy("parent", "key", "n").agg(F.count("*").alias("m")).groupBy("parent").agg(F.max(F.col("m") / F.col("n")).alias("share"))
+        alike = shares.filter("share >= 0.5").select("parent")
+        out.append(split.join(alike, "parent", "left_semi").select(F.col("parent").alias("key"), "cid").distinct())
+        nodes = split.join(alike, "parent", "left_anti").select("cid", "key")
     found = out[0]
     for o in out[1:]:
         found = found.unionByName(o)
@@ -128,7 +133,7 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float = 0.99999, most: int = 192) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float = 0.99999, most: int = 512) -> DataFrame:
     """One row per document (doc_id, text; other columns are ignored): doc_id, n_links, class_id, kept.
 
     n_links: other documents whose sets of k-word shingles have Jaccard similarity `least` or more with its own.
