@@ -1,4 +1,166 @@
-"""The registered queries of the pair-spread engine and their SQL."""
+"""The registered queries of the pair-spread engine and their SQL. Doubles are rounded before they are compared."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spreadloom.operators import bars as B
+from spreadloom.operators import profile as P
+from spreadloom.operators import stats as S
+from spreadloom.operators import windows as W
+from spreadloom.params import ScanParams
+from spreadloom.plans.scan import scan_pairs
+
+PARAMS = ScanParams(window=100, step=25, z_entry=1.0, benchmark="S00")
+SYMBOLS = [f"S{i:02d}" for i in range(12)]
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _bars(spark: SparkSession, d: str) -> DataFrame:
+    return B.bars_from_events(_table(spark, d, "events"))
+
+
+def _walk(spark: SparkSession, d: str) -> DataFrame:
+    return B.random_walk(_bars(spark, d))
+
+
+def _trades(spark: SparkSession, d: str) -> DataFrame:
+    """Trade-shaped rows of lineitem; every order divisible by 50 is an open trade."""
+    t = _table(spark, d, "lineitem")
+    gross, comm = F.expr("l_extendedprice / 1000 * (l_discount - 0.05D)"), F.expr("l_extendedprice / 1000 * l_tax * 0.1D")
+    closed = F.col("l_orderkey") % 50 != 0
+    cols = {"pnl_gross": gross, "pnl_net": gross - comm, "commission_total": comm, "hold_hours": F.col("l_quantity"), "exit_reason": F.concat("l_returnflag", "l_linestatus")}
+    return t.select("l_orderkey", "l_linenumber", "l_shipdate", F.concat(F.lit("P"), "l_suppkey").alias("pair"), *[F.when(closed, F.round(v, 9) if k in ("pnl_gross", "pnl_net", "commission_total") else v).alias(k) for k, v in cols.items()])
+
+
+def _equity(spark: SparkSession, d: str) -> DataFrame:
+    return P.equity_from_events(_trades(spark, d).select(F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("pnl_net").alias("cash")), 1e6)
+
+
+def _ts(df: DataFrame, c: str = "ts") -> DataFrame:
+    return df.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+
+
+def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def _pair_stats(spark: SparkSession, d: str) -> DataFrame:
+    w = W.assign_windows(_walk(spark, d), PARAMS.window, PARAMS.step)
+    s = S.pair_statistics(S.pair_rows(w, W.usable_windows(w, PARAMS.window), PARAMS.benchmark))
+    return _round(s.select("a", "b", "window_id", "hedge_ratio", "half_life", "beta", "z", "vol_a", "vol_b"), 5, "hedge_ratio", "beta", "z", "vol_a", "vol_b").withColumn("half_life", F.round("half_life", 1))
+
+
+QUERIES = {
+    "bars_from_events": lambda s, d: _ts(_bars(s, d)),
+    "bar_index": lambda s, d: _ts(B.with_bar_idx(_bars(s, d)).select("symbol", "ts", "bar_idx")),
+    "duplicate_bars": lambda s, d: _ts(B.duplicate_bars(_bars(s, d).union(_bars(s, d).filter("symbol = 'S03'")))),
+    "dedupe_bars": lambda s, d: _ts(B.dedupe_bars(_bars(s, d).union(_bars(s, d).filter("symbol = 'S03'"))).select("symbol", "ts", "close")),
+    "dense_grid": lambda s, d: _ts(B.dense_grid(_bars(s, d))),
+    "log_prices": lambda s, d: _round(_ts(B.log_prices(_bars(s, d)).select("symbol", "ts", "shift", "logp")), 6, "shift", "logp"),
+    "log_returns": lambda s, d: _round(B.log_returns(_walk(s, d)).select("symbol", "bar_idx", "ret"), 8, "ret"),
+    "wide_matrix": lambda s, d: _ts(B.wide_matrix(_bars(s, d), SYMBOLS)),
+    "resample_daily": lambda s, d: _ts(B.resample(_bars(s, d)), "bar_ts"),
+    "normalised_price": lambda s, d: _round(_ts(B.normalised(_bars(s, d)).select("symbol", "ts", "norm")), 6, "norm"),
+    "assign_windows": lambda s, d: W.assign_windows(_walk(s, d), PARAMS.window, PARAMS.step).groupBy("symbol", "window_id").agg(F.count("*").alias("n"), F.min("bar_idx").alias("first_bar"), F.max("bar_idx").alias("last_bar")),
+    "usable_windows": lambda s, d: W.usable_windows(w := W.assign_windows(B.log_prices(B.grid(_bars(s, d))), PARAMS.window, PARAMS.step), PARAMS.window),
+    "pair_universe": lambda s, d: W.pairs(W.candidates(_bars(s, d), "S00", ("S05",))),
+    "rolling_z": lambda s, d: _round(S.rolling_z(_walk(s, d)).select("symbol", "bar_idx", "z"), 5, "z"),
+    "pair_statistics": _pair_stats,
+    "pair_scan": lambda s, d: _round(scan_pairs(_walk(s, d), PARAMS).withColumn("half_life", F.round("half_life", 1)), 4, "hedge_ratio", "beta", "z").drop("qty1", "qty2").withColumns({c: F.round(c, 0) for c in ("dollar1", "dollar2")}),
+    "symbol_beta": lambda s, d: _round(S.symbol_beta(_walk(s, d), "S00"), 6, "beta", "corr"),
+    "beta_summary": lambda s, d: _round(S.beta_summary(S.symbol_beta(_walk(s, d), "S00")), 6, "mean_beta"),
+    "trade_flags": lambda s, d: _round(P.trade_flags(_trades(s, d)).select("l_orderkey", "l_linenumber", "win", "gross_is_zero", "comm_ratio"), 6, "comm_ratio"),
+    "trade_summary": lambda s, d: _round(P.trade_summary(_trades(s, d)), 4, "win_pct", "total_net", "mean_net", "median_net", "total_commission", "profit_factor"),
+    "by_exit_reason": lambda s, d: _round(P.by_exit_reason(_trades(s, d)), 4, "win_pct", "mean_net", "median_net", "total_net", "mean_hold", "mean_commission"),
+    "commission_profile": lambda s, d: _round(P.commission_profile(_trades(s, d)), 6, "small_gross_pct", "ratio_over_one_pct", "median_ratio"),
+    "hold_pnl_corr": lambda s, d: _round(P.hold_pnl_corr(_trades(s, d)), 8, "corr"),
+    "worst_trades": lambda s, d: _round(P.worst_trades(_trades(s, d), 10, "l_orderkey", "l_linenumber").select("pair", "l_orderkey", "l_linenumber", "exit_reason", "pnl_net"), 6, "pnl_net"),
+    "equity_curve": lambda s, d: _round(_ts(_equity(s, d)), 3, "equity"),
+    "drawdown": lambda s, d: _round(_ts(P.drawdown(_equity(s, d)).select("ts", "drawdown")), 8, "drawdown"),
+    "metrics": lambda s, d: _round(P.metrics(_equity(s, d), 365.0), 5, "value"),
+}
+
+_W, _S = PARAMS.window, PARAMS.step
+_BARS = """bars AS (SELECT 'S' || lpad((user_id % 12)::VARCHAR, 2, '0') AS symbol, date_trunc('hour', ts) AS ts,
+    arg_min(value, ts) AS open, arg_max(value, ts) AS close FROM events GROUP BY 1, 2),
+dates AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar_idx FROM (SELECT DISTINCT ts FROM bars)),
+grid AS (SELECT s.symbol, d.ts, d.bar_idx, b.close FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN dates d
+    LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = d.ts)"""
+_WALK = _BARS + """,
+walk AS (SELECT symbol, ts, bar_idx, sum((coalesce(close, 50) - 50) / 5000) OVER (PARTITION BY symbol ORDER BY bar_idx) AS logp FROM grid)"""
+_LAST = f"(SELECT max(bar_idx) + 1 - {_W} FROM dates) // {_S}"
+_WINDOWED = f"""windowed AS (SELECT x.*, k.window_id FROM {{src}} x, (SELECT unnest(range(0, {_LAST} + 1)) AS window_id) k
+    WHERE x.bar_idx BETWEEN k.window_id * {_S} AND k.window_id * {_S} + {_W - 1})"""
+_TRADES = """trades AS (SELECT l_orderkey, l_linenumber, l_shipdate, 'P' || l_suppkey AS pair,
+    CASE WHEN c THEN round(g, 9) END AS pnl_gross, CASE WHEN c THEN round(g - m, 9) END AS pnl_net, CASE WHEN c THEN round(m, 9) END AS commission_total,
+    CASE WHEN c THEN l_quantity END AS hold_hours, CASE WHEN c THEN l_returnflag || l_linestatus END AS exit_reason
+    FROM (SELECT *, l_orderkey % 50 <> 0 AS c, l_extendedprice / 1000 * (l_discount - 0.05::DOUBLE) AS g, l_extendedprice / 1000 * l_tax * 0.1::DOUBLE AS m FROM lineitem)),
+flags AS (SELECT *, coalesce(pnl_net > 0, false) AS win, coalesce(pnl_gross = 0, false) AS gross_is_zero,
+    CASE WHEN pnl_gross <> 0 THEN commission_total / abs(pnl_gross) END AS comm_ratio FROM trades)"""
+_EQUITY = _TRADES + """,
+equity AS (SELECT ts, 1e6::DOUBLE + sum(cash) OVER (ORDER BY ts) AS equity FROM
+    (SELECT l_shipdate AS ts, sum(pnl_net) AS cash FROM trades WHERE pnl_net IS NOT NULL GROUP BY 1))"""
+_F = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
+_STATS = _WALK + ", " + _WINDOWED.format(src="walk") + """,
+p AS (SELECT a.symbol AS a, b.symbol AS b, a.window_id, a.bar_idx, a.logp AS la, b.logp AS lb, c.logp AS lc FROM windowed a
+    JOIN windowed b ON a.window_id = b.window_id AND a.bar_idx = b.bar_idx AND a.symbol < b.symbol
+    JOIN windowed c ON a.window_id = c.window_id AND a.bar_idx = c.bar_idx AND c.symbol = 'S00' WHERE a.symbol <> 'S00' AND b.symbol <> 'S00'),
+hr AS (SELECT a, b, window_id, regr_slope(la, lb) AS h, max(bar_idx) AS e FROM p GROUP BY ALL),
+q AS (SELECT p.*, h, e, la - h * lb AS s FROM p JOIN hr USING (a, b, window_id)),
+r AS (SELECT *, s - lag(s) OVER o AS ds, lag(s) OVER o AS sl, la - lag(la) OVER o AS da, lb - lag(lb) OVER o AS db, lc - lag(lc) OVER o AS dc
+    FROM q WINDOW o AS (PARTITION BY a, b, window_id ORDER BY bar_idx)),
+t AS (SELECT a, b, window_id, min(bar_idx) AS start_index, max(bar_idx) AS end_index, first(h) AS hedge_ratio, 1 + regr_slope(ds, sl) AS phi,
+    covar_samp(da - h * db, dc) / nullif(var_pop(dc), 0) AS beta, arg_max(s, bar_idx) AS s_last, avg(s) AS m, stddev_samp(s) AS sd,
+    stddev_pop(CASE WHEN bar_idx > e - 59 THEN da END) AS vol_a, stddev_pop(CASE WHEN bar_idx > e - 59 THEN db END) AS vol_b FROM r GROUP BY a, b, window_id),
+st AS (SELECT *, CASE WHEN phi > 0 AND phi < 1 THEN round_even(-ln(2) / ln(phi), 2) END AS half_life, CASE WHEN sd > 0 THEN (s_last - m) / sd END AS z FROM t)"""
+
+SQL = {
+    "bars_from_events": f"WITH {_BARS} SELECT symbol, {_F}, open, close FROM bars",
+    "bar_index": f"WITH {_BARS} SELECT symbol, {_F}, bar_idx FROM bars JOIN dates USING (ts)",
+    "duplicate_bars": f"WITH {_BARS} SELECT symbol, {_F}, 2::BIGINT AS n FROM bars WHERE symbol = 'S03'",
+    "dedupe_bars": f"WITH {_BARS} SELECT symbol, {_F}, close FROM bars",
+    "dense_grid": f"""WITH {_BARS}, f AS (SELECT symbol, ts, bar_idx, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx) AS c FROM grid)
+        SELECT symbol, {_F}, bar_idx, first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM f""",
+    "log_prices": f"""WITH {_BARS}, m AS (SELECT *, min(close) OVER (PARTITION BY symbol) AS lo FROM bars), s AS (SELECT *, CASE WHEN lo <= 0 THEN abs(lo) + 1e-6::DOUBLE ELSE 0.0::DOUBLE END AS shift FROM m)
+        SELECT symbol, {_F}, round(shift, 6) AS shift, round(ln(close + shift), 6) AS logp FROM s""",
+    "log_returns": f"WITH {_WALK} SELECT symbol, bar_idx, round(logp - lag(logp) OVER (PARTITION BY symbol ORDER BY bar_idx), 8) AS ret FROM walk",
+    "wide_matrix": f"WITH {_BARS} SELECT {_F}, " + ", ".join(f"max(CASE WHEN symbol = '{x}' THEN close END) AS {x}" for x in SYMBOLS) + " FROM bars GROUP BY bars.ts",
+    "resample_daily": f"WITH {_BARS} SELECT symbol, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS bar_ts, arg_min(open, ts) AS open, max(close) AS high, min(close) AS low, arg_max(close, ts) AS close, count(*) AS n_bars FROM bars GROUP BY 1, 2",
+    "normalised_price": f"WITH {_BARS} SELECT symbol, {_F}, round(close / nullif(first_value(close) OVER (PARTITION BY symbol ORDER BY bars.ts), 0), 6) AS norm FROM bars",
+    "assign_windows": f"WITH {_WALK}, {_WINDOWED.format(src='walk')} SELECT symbol, window_id, count(*) AS n, min(bar_idx) AS first_bar, max(bar_idx) AS last_bar FROM windowed GROUP BY ALL",
+    "usable_windows": f"""WITH {_BARS}, m AS (SELECT *, min(close) OVER (PARTITION BY symbol) AS lo FROM grid),
+        l AS (SELECT symbol, bar_idx, ln(close + CASE WHEN lo <= 0 THEN abs(lo) + 1e-6::DOUBLE ELSE 0 END) AS logp FROM m), {_WINDOWED.format(src="l")},
+        g AS (SELECT symbol, window_id, count(logp) AS n, arg_min(logp, bar_idx) AS x0, min(logp) AS a, max(logp) AS b FROM windowed GROUP BY ALL)
+        SELECT symbol, window_id FROM g WHERE n = {_W} AND greatest(b - x0, x0 - a) > 1e-8 + 1e-5 * abs(x0)""",
+    "pair_universe": f"WITH {_BARS}, u AS (SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN ('S00', 'S05')) SELECT x.symbol AS a, y.symbol AS b FROM u x JOIN u y ON x.symbol < y.symbol",
+    "rolling_z": f"""WITH {_WALK} SELECT symbol, bar_idx, round(CASE WHEN count(logp) OVER w >= 10 AND stddev_samp(logp) OVER w > 0 THEN (logp - avg(logp) OVER w) / stddev_samp(logp) OVER w END, 5) AS z
+        FROM walk WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""",
+    "pair_statistics": f"WITH {_STATS} SELECT a, b, window_id, round(hedge_ratio, 5) AS hedge_ratio, round(half_life, 1) AS half_life, round(beta, 5) AS beta, round(z, 5) AS z, round(vol_a, 5) AS vol_a, round(vol_b, 5) AS vol_b FROM st",
+    "pair_scan": f"""WITH {_STATS}, w AS (SELECT *, 1 / vol_a AS wa, abs(hedge_ratio) / vol_b AS wb FROM st)
+        SELECT a || '-' || b AS pair, window_id, start_index, end_index, round(hedge_ratio, 4) AS hedge_ratio, round(half_life, 1) AS half_life, round(beta, 4) AS beta, round(z, 4) AS z,
+        (CASE WHEN z >= 1 THEN -1 ELSE 1 END)::INTEGER AS signal, round(round(wa / (wa + wb) * 100000, 2), 0) AS dollar1, round(round(wb / (wa + wb) * 100000, 2), 0) AS dollar2
+        FROM w WHERE half_life > 0 AND half_life <= 200 AND abs(beta) < 0.11 AND abs(z) >= 1""",
+    "symbol_beta": (_BETA := f"""WITH {_WALK}, r AS (SELECT symbol, bar_idx, logp - lag(logp) OVER (PARTITION BY symbol ORDER BY bar_idx) AS ret FROM walk),
+        j AS (SELECT r.symbol, r.ret, c.ret AS bench FROM r JOIN r c ON r.bar_idx = c.bar_idx AND c.symbol = 'S00' WHERE r.symbol <> 'S00' AND r.ret IS NOT NULL AND c.ret IS NOT NULL),
+        betas AS (SELECT symbol, covar_samp(ret, bench) / nullif(var_pop(bench), 0) AS beta, corr(ret, bench) AS corr, count(*) AS n FROM j GROUP BY 1) """) + "SELECT symbol, round(beta, 6) AS beta, round(corr, 6) AS corr, n FROM betas",
+    "beta_summary": _BETA + "SELECT count(*) AS n_symbols, round(avg(beta), 6) AS mean_beta, count(*) FILTER (abs(beta) < 0.11) AS near_zero, count(*) FILTER (beta > 1) AS above_one, count(*) FILTER (beta < 0) AS negative FROM betas",
+    "trade_flags": f"WITH {_TRADES} SELECT l_orderkey, l_linenumber, win, gross_is_zero, round(comm_ratio, 6) AS comm_ratio FROM flags",
+    "trade_summary": f"""WITH {_TRADES} SELECT count(*) AS n_trades, round(avg(win::INT) * 100, 4) AS win_pct, round(sum(pnl_net), 4) AS total_net, round(avg(pnl_net), 4) AS mean_net, round(quantile_cont(pnl_net, 0.5), 4) AS median_net,
+        round(sum(commission_total), 4) AS total_commission, round(sum(pnl_net) FILTER (pnl_net > 0) / abs(sum(pnl_net) FILTER (pnl_net < 0)), 4) AS profit_factor FROM flags""",
+    "by_exit_reason": f"""WITH {_TRADES} SELECT exit_reason, count(*) AS n_trades, round(avg(win::INT) * 100, 4) AS win_pct, round(avg(pnl_net), 4) AS mean_net, round(quantile_cont(pnl_net, 0.5), 4) AS median_net, round(sum(pnl_net), 4) AS total_net,
+        round(avg(hold_hours), 4) AS mean_hold, round(avg(commission_total), 4) AS mean_commission FROM flags WHERE exit_reason IS NOT NULL GROUP BY 1""",
+    "commission_profile": f"WITH {_TRADES} SELECT round(avg(coalesce(abs(pnl_gross) < 1, false)::INT) * 100, 6) AS small_gross_pct, round(avg((gross_is_zero OR coalesce(comm_ratio > 1, false))::INT) * 100, 6) AS ratio_over_one_pct, round(quantile_cont(comm_ratio, 0.5), 6) AS median_ratio FROM flags",
+    "hold_pnl_corr": f"WITH {_TRADES} SELECT round(corr(hold_hours, pnl_net), 8) AS corr FROM trades",
+    "worst_trades": f"WITH {_TRADES} SELECT pair, l_orderkey, l_linenumber, exit_reason, round(pnl_net, 6) AS pnl_net FROM trades ORDER BY trades.pnl_net NULLS LAST, l_orderkey, l_linenumber LIMIT 10",
+    "equity_curve": f"WITH {_EQUITY} SELECT {_F}, round(equity, 3) AS equity FROM equity",
+    "drawdown": f"WITH {_EQUITY} SELECT {_F}, round(equity / max(equity) OVER (ORDER BY equity.ts) - 1, 8) AS drawdown FROM equity",
+    "metrics": f"""WITH {_EQUITY}, d AS (SELECT ts, equity, equity / max(equity) OVER (ORDER BY ts) - 1 AS dd, equity / lag(equity) OVER (ORDER BY ts) - 1 AS ret FROM equity),
+        o AS (SELECT arg_min(equity, ts) AS e0, arg_max(equity, ts) AS e1, (epoch(max(ts)) - epoch(min(ts))) / (365.0::DOUBLE * 86400) AS y, min(dd) AS mdd, avg(ret) * sqrt(365::DOUBLE) / stddev_pop(ret) AS sharpe FROM d),
+        m AS (SELECT *, pow(e1 / e0, 1 / y) - 1 AS cagr FROM o)
+        SELECT 'cagr' AS metric, round(cagr, 5) AS value FROM m UNION ALL SELECT 'mdd', round(mdd, 5) FROM m UNION ALL SELECT 'cagr_mdd', round(cagr / abs(mdd), 5) FROM m UNION ALL SELECT 'sharpe', round(sharpe, 5) FROM m UNION ALL SELECT 'final_equity', round(e1, 5) FROM m""",
+}
