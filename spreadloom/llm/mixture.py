@@ -60,7 +60,7 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
 
     sources: source, key, source_size, target, n_blocks, n_slots.
     documents: doc_id, source, key, size, start, h (place on its source's word axis, packed into blocks of `block_words`).
-    slots: shard, slot, key, block: which block fills each slot of each output shard. counts: shard, key, slots.
+    blocks: document_blocks() of them. slots: shard, slot, key, block: which block fills each slot of each output shard. counts: shard, key, slots.
     Every slot is dealt to a shard by one pseudorandom permutation, so a shard's source counts are a multinomial draw
     given the totals; the k-th slot of a source takes block permutation_epoch(k mod n_blocks), epoch = k div n_blocks,
     so no block is taken more than `most` times, and all blocks are taken equally often, give or take one.
@@ -83,7 +83,7 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     place = permuted(F.col("slot_base") + F.col("k"), F.col("all_slots"), F.lit(seed))
     block = permuted(F.expr("k % n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("key"), F.expr("k div n_blocks"))
     slots = slots.select("key", place.alias("at"), block.alias("block")).select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"), "key", "block")
-    return {"sources": sources, "documents": documents, "slots": slots, "counts": slots.groupBy("shard", "key").agg(F.count("*").alias("slots"))}
+    return {"sources": sources, "documents": documents, "blocks": document_blocks(documents, block_words), "slots": slots, "counts": slots.groupBy("shard", "key").agg(F.count("*").alias("slots"))}
 
 
 def document_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -93,10 +93,10 @@ def document_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> Dat
     return d.select("key", "block", "doc_id", "h", "start", words.alias("words"))
 
 
-def taken(plan: dict[str, DataFrame], block_words: int = BLOCK_WORDS) -> DataFrame:
+def taken(plan: dict[str, DataFrame]) -> DataFrame:
     """Words that the mix takes of each document: doc_id, size, source_size, target, taken."""
     uses = plan["slots"].groupBy("key", "block").agg(F.count("*").alias("uses"))
-    took = document_blocks(plan["documents"], block_words).join(uses, ["key", "block"]).groupBy("doc_id", "key", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    took = plan["blocks"].join(uses, ["key", "block"]).groupBy("doc_id", "key", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     d = plan["documents"].alias("d")
     t = took.alias("t")
     joined = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.key") == F.col("t.key")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0), "left")
@@ -111,7 +111,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     n_chars follows the text. Rows without words are never taken."""
     plan = mix_plan(docs, block_words)
     uses = plan["slots"].groupBy("key", "block").agg(F.count("*").alias("uses"))
-    held = document_blocks(plan["documents"], block_words).join(uses, ["key", "block"])
+    held = plan["blocks"].join(uses, ["key", "block"])
     per_doc = held.groupBy("key", "doc_id", "h", "start").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("_uses"), F.sum("words").alias("_held"))
     per_doc = per_doc.dropDuplicates(["key", "doc_id", "h", "start"]).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("start").alias("_start"), "_uses")
     h = F.xxhash64("doc_id", F.xxhash64("text"))

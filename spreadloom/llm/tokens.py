@@ -35,6 +35,8 @@ class TextEncoder:
             self.opens[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
         else:
             self.mark = vocab[MARK + "</w>"]
+            self.closes = np.zeros(max(vocab.values()) + 1, bool)
+            self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -49,24 +51,30 @@ class TextEncoder:
         """All ids of the chunks, and how many each has (-1: only right in its text)."""
         length = np.zeros(len(chunks), np.int32)
         parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(chunks)
-        joined = []
+        joined, lone = [], []
         for i, c in enumerate(chunks):
             if "<|" in c or self.spaced and c[0] == " " and (len(c) == 1 or c[1].isspace()):
                 length[i] = -1
+            elif not self.spaced and c[1:].isalpha() and c[0] == " " and max(c) < "\u0100":
+                lone.append(i)  # letters alone are one word, and a word has one closing token
             elif self.spaced and c[0] != " " or not self.spaced and MARK in c:
                 parts[i] = self.plain(c)
                 length[i] = len(parts[i])
             else:
                 joined.append(i)
-        runs = [joined[i : i + run] for i in range(0, len(joined), run)]
-        texts = ["".join([chunks[i] for i in r]) if self.spaced else "".join([f" {MARK} {chunks[i]}" for i in r]) for r in runs]
-        for r, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        runs = [(which, which[i : i + run]) for which in (joined, lone) for i in range(0, len(which), run)]
+        texts = ["".join([chunks[i] for i in r]) if self.spaced or which is lone else "".join([f" {MARK} {chunks[i]}" for i in r]) for which, r in runs]
+        for (which, r), e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, np.uint32)
-            starts = np.flatnonzero(self.opens[ids] if self.spaced else ids == self.mark)
-            if len(starts) != len(r):
-                raise AssertionError("a chunk's first token must be told from the others")
+            if which is lone:
+                starts = np.append(0, np.flatnonzero(self.closes[ids]) + 1)
+                starts, end = starts[:-1], starts[-1]
+            else:
+                starts, end = np.flatnonzero(self.opens[ids] if self.spaced else ids == self.mark), len(ids)
+            if len(starts) != len(r) or end != len(ids):
+                raise AssertionError("each chunk's first token must be told from the others")
             ends = np.append(starts[1:], len(ids))
-            starts = starts + (not self.spaced)
+            starts = starts + (not self.spaced and which is joined)
             length[r] = ends - starts
             for i, s, t in zip(r, starts.tolist(), ends.tolist(), strict=True):
                 parts[i] = ids[s:t]
