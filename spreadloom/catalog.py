@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +13,17 @@ from spreadloom.operators import bars as B
 from spreadloom.operators import profile as P
 from spreadloom.operators import stats as S
 from spreadloom.operators import windows as W
-from spreadloom.params import ScanParams
+from spreadloom.operators import coint as C
+from spreadloom.operators import equity as E
+from spreadloom.operators import trades as T
+from spreadloom.params import BacktestParams, ScanParams
+from spreadloom.plans.backtest import Backtest, backtest, compare, sweep
 from spreadloom.plans.scan import scan_pairs
+from spreadloom.session import settle
 
-PARAMS = ScanParams(window=100, step=25, z_entry=1.0, benchmark="S00")
+PARAMS = ScanParams(window=100, step=25, z_entry=1.0, benchmark="S00", cointegration=None)
+TRADING = BacktestParams(risk_share=0.0005)
+GATED = replace(TRADING, slippage=0.00005, z_gate=1.8)
 SYMBOLS = [f"S{i:02d}" for i in range(12)]
 
 
@@ -55,6 +66,56 @@ def _pair_stats(spark: SparkSession, d: str) -> DataFrame:
     return _round(s.select("a", "b", "window_id", "hedge_ratio", "half_life", "beta", "z", "vol_a", "vol_b"), 5, "hedge_ratio", "beta", "z", "vol_a", "vol_b").withColumn("half_life", F.round("half_life", 1))
 
 
+def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
+    w = W.assign_windows(_walk(spark, d), PARAMS.window, PARAMS.step)
+    return S.pair_rows(w, W.usable_windows(w, PARAMS.window), PARAMS.benchmark)
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """The scan's signals with their times; every third window leaves the dollars to the backtest."""
+    walk = _walk(spark, d)
+    s = scan_pairs(walk, PARAMS).withColumn("signal_id", F.concat_ws("#", "pair", "window_id"))
+    s = s.withColumns({c: F.when(F.col("window_id") % 3 != 0, F.col(c)) for c in ("dollar1", "dollar2")})
+    return s.join(walk.select(F.col("bar_idx").alias("end_index"), F.col("ts").alias("signal_time")).distinct(), "end_index")
+
+
+_SHARED: dict[tuple, Any] = {}
+
+
+def _shared(spark: SparkSession, key: tuple, make: Callable[[], Any]) -> Any:
+    """One settled panel or backtest serves all queries of an application that read it."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
+def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _shared(spark, ("panel", d), lambda: (settle(_signals(spark, d)), settle(_walk(spark, d))))
+
+
+def _backtest(spark: SparkSession, d: str, p: BacktestParams = TRADING) -> Backtest:
+    return _shared(spark, (p, d), lambda: backtest(*_panel(spark, d), p))
+
+
+def _mae(spark: SparkSession, d: str) -> DataFrame:
+    b = _backtest(spark, d)
+    return T.mae95(b.allocated, b.prices, b.params)
+
+
+def _market(spark: SparkSession, d: str) -> DataFrame:
+    return _round(_ts(E.market_index(_walk(spark, d))), 8, "market", "market_ret")
+
+
+def _transitions(spark: SparkSession, d: str) -> DataFrame:
+    tested = C.engle_granger(_pair_rows(spark, d), "lag0")
+    return C.coint_transitions(tested.select("a", "b", "window_id", (F.col("t") < F.col("crit5")).alias("coint")))
+
+
+def _eg(spark: SparkSession, d: str, lags: str) -> DataFrame:
+    return _round(C.engle_granger(_pair_rows(spark, d), lags), 5, "t", "p", "crit1", "crit5", "crit10")
+
+
 QUERIES = {
     "bars_from_events": lambda s, d: _ts(_bars(s, d)),
     "bar_index": lambda s, d: _ts(B.with_bar_idx(_bars(s, d)).select("symbol", "ts", "bar_idx")),
@@ -71,7 +132,7 @@ QUERIES = {
     "pair_universe": lambda s, d: W.pairs(W.candidates(_bars(s, d), "S00", ("S05",))),
     "rolling_z": lambda s, d: _round(S.rolling_z(_walk(s, d)).select("symbol", "bar_idx", "z"), 5, "z"),
     "pair_statistics": _pair_stats,
-    "pair_scan": lambda s, d: _round(scan_pairs(_walk(s, d), PARAMS).withColumn("half_life", F.round("half_life", 1)), 4, "hedge_ratio", "beta", "z").drop("qty1", "qty2").withColumns({c: F.round(c, 0) for c in ("dollar1", "dollar2")}),
+    "pair_scan": lambda s, d: _round(scan_pairs(_walk(s, d), PARAMS).withColumn("half_life", F.round("half_life", 1)), 4, "hedge_ratio", "beta", "z").drop("qty1", "qty2", "p_value").withColumns({c: F.round(c, 0) for c in ("dollar1", "dollar2")}),
     "symbol_beta": lambda s, d: _round(S.symbol_beta(_walk(s, d), "S00"), 6, "beta", "corr"),
     "beta_summary": lambda s, d: _round(S.beta_summary(S.symbol_beta(_walk(s, d), "S00")), 6, "mean_beta"),
     "trade_flags": lambda s, d: _round(P.trade_flags(_trades(s, d)).select("l_orderkey", "l_linenumber", "win", "gross_is_zero", "comm_ratio"), 6, "comm_ratio"),
@@ -83,8 +144,31 @@ QUERIES = {
     "equity_curve": lambda s, d: _round(_ts(_equity(s, d)), 3, "equity"),
     "drawdown": lambda s, d: _round(_ts(P.drawdown(_equity(s, d)).select("ts", "drawdown")), 8, "drawdown"),
     "metrics": lambda s, d: _round(P.metrics(_equity(s, d), 365.0), 5, "value"),
+    "engle_granger_lag0": lambda s, d: _eg(s, d, "lag0").select("a", "b", "window_id", "n", "t", "crit5"),
+    "engle_granger_aic": lambda s, d: _eg(s, d, "aic"),
+    "cointegrated_scan": lambda s, d: _round(scan_pairs(_walk(s, d), replace(PARAMS, z_entry=0.5, cointegration="lag0")).select("pair", "window_id", "signal", "p_value"), 5, "p_value"),
+    "coint_transitions": _transitions,
+    "pair_corr": lambda s, d: _round(C.pair_corr(_pair_rows(s, d)), 6, "corr"),
+    "hurst": lambda s, d: _round(C.hurst(_walk(s, d)), 6, "hurst"),
+    "map_signals": lambda s, d: T.map_signals(_panel(s, d)[0].withColumn("signal_time", F.expr("signal_time + make_dt_interval(0, window_id, 20)")), _walk(s, d).select("ts", "bar_idx").distinct()).select("signal_id", "signal_bar", "exec_idx"),
+    "allocations": lambda s, d: _round(_backtest(s, d).allocated.select("signal_id", "a", "b", "side", "alloc_a", "alloc_b"), 2, "alloc_a", "alloc_b"),
+    "mae95": lambda s, d: _round(_mae(s, d), 4, "mae"),
+    "entry_fills": lambda s, d: _round(_backtest(s, d).fills.select("signal_id", "entry_idx", "entry_price_a", "entry_price_b", "qty_a", "qty_b", "entry_comm"), 4, "entry_price_a", "entry_price_b", "qty_a", "qty_b", "entry_comm"),
+    "trades": lambda s, d: _round(_backtest(s, d).trades.select(*TRADE).withColumns({c: F.col(c).cast("double") for c in ("exit_idx", "hold_hours")}), 2, "pnl_gross", "pnl_net", "exit_comm"),
+    "trades_gated": lambda s, d: _round(_backtest(s, d, GATED).trades.select(*TRADE).withColumns({c: F.col(c).cast("double") for c in ("exit_idx", "hold_hours")}), 2, "pnl_gross", "pnl_net", "exit_comm"),
+    "cash_audit": lambda s, d: _round(_backtest(s, d).audit(), 2, "est_comm", "free"),
+    "ledger": lambda s, d: _round(_ts(_backtest(s, d).ledger(True).drop("note"), "time"), 2, "cash_change"),
+    "unrealised": lambda s, d: _round(E.unrealised((b := _backtest(s, d)).trades, b.prices), 2, "unrealised"),
+    "backtest_equity": lambda s, d: _round(_backtest(s, d).equity().select("bar_idx", "equity"), 2, "equity"),
+    "market_index": _market,
+    "backtest_metrics": lambda s, d: _round(_backtest(s, d).metrics(), 4, "value"),
+    "compare_presets": lambda s, d: _round(compare(*_panel(s, d), {"own_z": TRADING, "gated": GATED}), 2, "win_rate", "net"),
+    "sweep": lambda s, d: _round(compare(*_panel(s, d), sweep(TRADING, z_stop=(2.0, 4.0), z_exit=(0.0, 0.5))), 2, "win_rate", "net"),
+    "portfolio_exposure": lambda s, d: _round(E.portfolio_exposure((b := _backtest(s, d)).trades, b.prices, b.params), 6, "net_beta"),
 }
 
+TRADE = ["signal_id", "pair", "side", "entry_idx", "exit_idx", "exit_reason", "hold_hours", "pnl_gross", "pnl_net", "exit_comm"]
+
 _W, _S = PARAMS.window, PARAMS.step
 _BARS = """bars AS (SELECT 'S' || lpad((user_id % 12)::VARCHAR, 2, '0') AS symbol, date_trunc('hour', ts) AS ts,
     arg_min(value, ts) AS open, arg_max(value, ts) AS close FROM events GROUP BY 1, 2),
@@ -164,3 +248,85 @@ SQL = {
         m AS (SELECT *, pow(e1 / e0, 1 / y) - 1 AS cagr FROM o)
         SELECT 'cagr' AS metric, round(cagr, 5) AS value FROM m UNION ALL SELECT 'mdd', round(mdd, 5) FROM m UNION ALL SELECT 'cagr_mdd', round(cagr / abs(mdd), 5) FROM m UNION ALL SELECT 'sharpe', round(sharpe, 5) FROM m UNION ALL SELECT 'final_equity', round(e1, 5) FROM m""",
 }
+
+
+def _book(p: BacktestParams = TRADING) -> str:
+    """The backtest in SQL, down to `trades`."""
+    gate = "" if p.z_gate is None else f"WHERE abs(z_now) >= {p.z_gate}"
+    z, side = ("entry_z", "side") if p.z_gate is None else ("z_now", "CASE WHEN z_now > 0 THEN -1 ELSE 1 END")
+    legs = "JOIN px x ON x.symbol = s.a AND x.bar_idx BETWEEN greatest(0, s.{0}) AND {1} JOIN px y ON y.symbol = s.b AND y.bar_idx = x.bar_idx"
+    return _STATS + f""",
+px AS (SELECT symbol, ts, bar_idx, exp(logp) AS close, ln(exp(logp)) AS l FROM walk), lastbar AS (SELECT max(bar_idx) AS last_bar FROM dates),
+sz AS (SELECT *, 1 / vol_a AS wa, abs(hedge_ratio) / vol_b AS wb FROM st WHERE half_life > 0 AND half_life <= 200 AND abs(beta) < 0.11 AND abs(z) >= 1),
+sig0 AS (SELECT a || '-' || b AS pair, a || '-' || b || '#' || window_id AS signal_id, a, b, beta, window_id, end_index AS signal_bar, end_index + 1 AS exec_idx, hedge_ratio AS h, half_life, z AS entry_z,
+    (CASE WHEN z >= 1 THEN -1 ELSE 1 END)::INTEGER AS side, CASE WHEN window_id % 3 <> 0 THEN round(wa / (wa + wb) * 100000, 2) END AS d1, CASE WHEN window_id % 3 <> 0 THEN round(wb / (wa + wb) * 100000, 2) END AS d2, last_bar FROM sz, lastbar WHERE end_index < last_bar),
+cz AS (SELECT signal_id, (arg_max(x.l - h * y.l, x.bar_idx) - avg(x.l - h * y.l)) / stddev_samp(x.l - h * y.l) AS z_now FROM sig0 s {legs.format("signal_bar - 199", "s.signal_bar")} GROUP BY 1),
+sig AS (SELECT s.* REPLACE ({z} AS entry_z, ({side})::INTEGER AS side) FROM sig0 s JOIN cz USING (signal_id) {gate}),
+vr AS (SELECT signal_id, x.l - lag(x.l) OVER o AS ra, y.l - lag(y.l) OVER o AS rb FROM sig s {legs.format("signal_bar - 59", "s.signal_bar")} WINDOW o AS (PARTITION BY signal_id ORDER BY x.bar_idx)),
+vv AS (SELECT signal_id, 1 / stddev_pop(ra) AS va, 1 / stddev_pop(rb) AS vb FROM vr GROUP BY 1),
+al AS (SELECT s.*, coalesce(d1, va / (va + abs(h) * vb) * 100000) AS alloc_a, coalesce(d2, abs(h) * vb / (va + abs(h) * vb) * 100000) AS alloc_b,
+    greatest(0, signal_bar - 70) AS base, signal_bar - greatest(0, signal_bar - 70) AS n, greatest(1, round_even(half_life * 3, 0))::BIGINT AS hold FROM sig s JOIN vv USING (signal_id)),
+mr AS (SELECT signal_id, n, hold, x.bar_idx - base AS i, alloc_a * (x.l - lag(x.l) OVER o) - alloc_b * (y.l - lag(y.l) OVER o) AS pnl FROM al s {legs.format("base", "s.signal_bar")} WINDOW o AS (PARTITION BY signal_id ORDER BY x.bar_idx)),
+mc AS (SELECT signal_id, k.start, sum(pnl) OVER (PARTITION BY signal_id, k.start ORDER BY i) AS cum FROM mr, (SELECT unnest(range(1, 71)) AS start) k WHERE n >= 2 AND k.start <= n - hold + 1 AND i BETWEEN k.start AND k.start + hold - 1),
+ma AS (SELECT signal_id, quantile_cont(greatest(0.0::DOUBLE, -worst), 0.95) AS mae FROM (SELECT signal_id, start, min(cum) AS worst FROM mc GROUP BY 1, 2) GROUP BY 1),
+sc AS (SELECT al.* REPLACE (alloc_a * f AS alloc_a, alloc_b * f AS alloc_b), (alloc_a + alloc_b) * f * {p.commission} AS est_comm FROM (SELECT al.*, CASE WHEN mae > {p.capital * p.risk_share} THEN {p.capital * p.risk_share} / mae ELSE 1.0 END AS f FROM al LEFT JOIN ma USING (signal_id)) al),
+fl AS (SELECT s.*, x.ts AS entry_time, exec_idx AS entry_idx, x.close * (1 + side * {p.slippage}) AS pa, y.close * (1 - side * {p.slippage}) AS pb, s.alloc_a / pa * side AS qa, -s.alloc_b / pb * side AS qb,
+    (abs(pa * qa) + abs(pb * qb)) * {p.commission} AS entry_comm FROM sc s JOIN px x ON x.symbol = s.a AND x.bar_idx = s.exec_idx JOIN px y ON y.symbol = s.b AND y.bar_idx = s.exec_idx),
+pr AS (SELECT signal_id, entry_idx, entry_z, x.bar_idx, x.l - h * y.l AS s FROM fl s {legs.format("entry_idx - 199", "s.last_bar")}),
+pz AS (SELECT *, CASE WHEN count(s) OVER o >= 10 AND stddev_samp(s) OVER o > 0 THEN (s - avg(s) OVER o) / stddev_samp(s) OVER o END AS z FROM pr WINDOW o AS (PARTITION BY signal_id ORDER BY bar_idx ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+er AS (SELECT *, CASE WHEN z IS NULL THEN NULL WHEN entry_z * z < 0 OR abs(z) <= {p.z_exit} THEN 'mean_revert' WHEN abs(z) >= {p.z_stop} AND z * entry_z > 0 THEN 'stop_loss' WHEN (bar_idx - entry_idx) / 24.0 >= {p.max_hold_days} THEN 'time_exit' END AS reason FROM pz WHERE bar_idx >= entry_idx),
+ex AS (SELECT signal_id, min(bar_idx) AS exit_bar, arg_min(reason, bar_idx) AS exit_reason FROM er WHERE reason IS NOT NULL GROUP BY 1),
+cl AS (SELECT signal_id, exit_bar, least(exit_bar + 1, last_bar) AS exit_idx, exit_reason, x.ts AS exit_time, x.close * CASE WHEN qa > 0 THEN 1 - {p.slippage} ELSE 1 + {p.slippage} END AS xa, y.close * CASE WHEN qb > 0 THEN 1 - {p.slippage} ELSE 1 + {p.slippage} END AS xb,
+    (xa - pa) * qa + (xb - pb) * qb AS pnl_gross, (abs(xa * qa) + abs(xb * qb)) * {p.commission} AS exit_comm, pnl_gross - entry_comm - exit_comm AS pnl_net FROM fl JOIN ex USING (signal_id)
+    JOIN px x ON x.symbol = fl.a AND x.bar_idx = least(exit_bar + 1, last_bar) JOIN px y ON y.symbol = fl.b AND y.bar_idx = x.bar_idx),
+tr AS (SELECT fl.*, cl.* EXCLUDE (signal_id), exit_idx - entry_idx AS hold_hours FROM fl LEFT JOIN cl USING (signal_id))"""
+
+
+_CURVE = """,
+cash AS (SELECT d.ts, d.bar_idx, coalesce(paid, 0) AS paid, coalesce(gained, 0) AS gained, coalesce(est, 0) AS est, u, n_open FROM dates d
+    LEFT JOIN (SELECT entry_idx AS bar_idx, sum(entry_comm) AS paid FROM tr GROUP BY 1) USING (bar_idx) LEFT JOIN (SELECT exit_bar AS bar_idx, sum(pnl_gross - exit_comm) AS gained FROM tr WHERE exit_bar IS NOT NULL GROUP BY 1) USING (bar_idx)
+    LEFT JOIN (SELECT signal_bar AS bar_idx, sum(est_comm) AS est FROM sc GROUP BY 1) USING (bar_idx)
+    LEFT JOIN (SELECT x.bar_idx, sum((x.close - pa) * qa + (y.close - pb) * qb) AS u, count(*) AS n_open FROM tr s JOIN px x ON x.symbol = s.a AND x.bar_idx BETWEEN entry_idx AND coalesce(exit_bar, last_bar) JOIN px y ON y.symbol = s.b AND y.bar_idx = x.bar_idx GROUP BY 1) USING (bar_idx)),
+eq AS (SELECT ts, bar_idx, 1e6::DOUBLE + coalesce(sum(gained) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - sum(paid) OVER (ORDER BY bar_idx) + coalesce(u, 0) AS equity FROM cash),
+mk AS (SELECT ts, market, ln(market) - ln(lag(market) OVER (ORDER BY ts)) AS market_ret FROM (SELECT ts, avg(close) AS market FROM px GROUP BY 1))"""
+_TRADE_SQL = "SELECT signal_id, pair, side, entry_idx, exit_idx::DOUBLE AS exit_idx, exit_reason, hold_hours::DOUBLE AS hold_hours, round(pnl_gross, 2) AS pnl_gross, round(pnl_net, 2) AS pnl_net, round(exit_comm, 2) AS exit_comm FROM tr"
+_EG = _STATS + f""",
+ru AS (SELECT *, la - regr_intercept(la, lb) OVER w - regr_slope(la, lb) OVER w * lb AS u FROM p WINDOW w AS (PARTITION BY a, b, window_id)),
+rd AS (SELECT *, lag(u) OVER o AS u1, u - lag(u) OVER o AS du FROM ru WINDOW o AS (PARTITION BY a, b, window_id ORDER BY bar_idx)),
+rg AS (SELECT a, b, window_id, count(*) AS n, count(du) AS m, sum(u1 * du) AS xy, sum(u1 * u1) AS xx, sum(du * du) AS yy FROM rd GROUP BY ALL),
+eg AS (SELECT *, xy / xx * sqrt(xx) / sqrt((yy - xy * xy / xx) / (m - 1)) AS t, -3.33613::DOUBLE - 6.1101::DOUBLE / (n - 1) - 6.823::DOUBLE / ((n - 1) * (n - 1)) AS crit5 FROM rg)"""
+
+
+def _summary(name: str, p: BacktestParams) -> str:
+    return f"SELECT * FROM (WITH {_book(p)} SELECT '{name}' AS param_id, count(*) AS n_trades, count(pnl_net) AS n_closed, round(avg((pnl_net > 0)::INT), 2) AS win_rate, round(sum(pnl_net), 2) AS net FROM tr)"
+
+
+SQL |= {
+    "engle_granger_lag0": f"WITH {_EG} SELECT a, b, window_id, n, round(t, 5) AS t, round(crit5, 5) AS crit5 FROM eg",
+    "coint_transitions": f"""WITH {_EG}, f AS (SELECT a, b, window_id, t < crit5 AS coint FROM eg), g AS (SELECT *, lag(coint) OVER o AS before, coalesce(bool_or(coint) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ever FROM f WINDOW o AS (PARTITION BY a, b ORDER BY window_id))
+        SELECT * FROM (SELECT a, b, window_id, coint, CASE WHEN coint AND NOT ever THEN 'start' WHEN coint AND NOT before THEN 'return' WHEN NOT coint AND before THEN 'break' END AS change FROM g) WHERE change IS NOT NULL""",
+    "pair_corr": f"WITH {_STATS} SELECT a, b, window_id, round(corr(da, db), 6) AS corr FROM r GROUP BY ALL",
+    "hurst": f"WITH {_WALK}, k AS (SELECT symbol, lag_k, stddev_samp(y.logp - x.logp) AS sd FROM walk x JOIN walk y USING (symbol), (SELECT unnest([2, 4, 8, 16, 32]) AS lag_k) WHERE y.bar_idx = x.bar_idx + lag_k GROUP BY 1, 2) SELECT symbol, round(regr_slope(ln(sd), ln(lag_k)), 6) AS hurst FROM k WHERE sd > 0 GROUP BY 1",
+    "map_signals": f"WITH {_book()}, tm AS (SELECT signal_id, d.ts + to_hours(window_id) + to_minutes(20) AS at FROM sig0 JOIN dates d ON d.bar_idx = signal_bar), mp AS (SELECT signal_id, d.bar_idx AS signal_bar, d.bar_idx + 1 AS exec_idx FROM tm ASOF JOIN dates d ON tm.at >= d.ts) SELECT mp.* FROM mp, lastbar WHERE signal_bar < last_bar",
+    "allocations": f"WITH {_book()} SELECT signal_id, a, b, side, round(alloc_a, 2) AS alloc_a, round(alloc_b, 2) AS alloc_b FROM al",
+    "mae95": f"WITH {_book()} SELECT signal_id, round(mae, 4) AS mae FROM ma",
+    "entry_fills": f"WITH {_book()} SELECT signal_id, entry_idx, round(pa, 4) AS entry_price_a, round(pb, 4) AS entry_price_b, round(qa, 4) AS qty_a, round(qb, 4) AS qty_b, round(entry_comm, 4) AS entry_comm FROM fl",
+    "trades": f"WITH {_book()} {_TRADE_SQL}",
+    "trades_gated": f"WITH {_book(GATED)} {_TRADE_SQL}",
+    "cash_audit": f"""WITH {_book()}{_CURVE}, fr AS (SELECT bar_idx AS signal_bar, 1e6::DOUBLE + coalesce(sum(gained - paid) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - coalesce(lag(est) OVER (ORDER BY bar_idx), 0) AS bar FROM cash)
+        SELECT signal_id, signal_bar, round(est_comm, 2) AS est_comm, round(free, 2) AS free, est_comm > free + 1e-12 AS short FROM (SELECT *, bar - coalesce(sum(est_comm) OVER (PARTITION BY signal_bar ORDER BY signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM sc JOIN fr USING (signal_bar))""",
+    "ledger": f"""WITH {_book()} SELECT strftime(entry_time, '%Y-%m-%d %H:%M:%S') AS time, pair, 'entry_comm' AS type, round(-entry_comm, 2) AS cash_change FROM tr
+        UNION ALL SELECT strftime(exit_time, '%Y-%m-%d %H:%M:%S'), pair, 'exit', round(pnl_gross - exit_comm, 2) FROM tr WHERE exit_idx IS NOT NULL""",
+    "unrealised": f"WITH {_book()}{_CURVE} SELECT bar_idx, round(u, 2) AS unrealised, n_open FROM cash WHERE u IS NOT NULL",
+    "backtest_equity": f"WITH {_book()}{_CURVE} SELECT bar_idx, round(equity, 2) AS equity FROM eq",
+    "market_index": f"WITH {_book()}{_CURVE} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(market, 8) AS market, round(market_ret, 8) AS market_ret FROM mk",
+    "backtest_metrics": f"""WITH {_book()}{_CURVE}, d AS (SELECT ts, equity, equity / max(equity) OVER (ORDER BY ts) - 1 AS dd, equity / lag(equity) OVER (ORDER BY ts) - 1 AS ret, ln(equity) - ln(lag(equity) OVER (ORDER BY ts)) AS lr FROM eq),
+        o AS (SELECT arg_min(equity, ts) AS e0, arg_max(equity, ts) AS e1, (epoch(max(ts)) - epoch(min(ts))) / (365.0::DOUBLE * 86400) AS y, min(dd) AS mdd, avg(ret) * sqrt(8760::DOUBLE) / stddev_pop(ret) AS sharpe FROM d),
+        m AS (SELECT *, pow(e1 / e0, 1 / y) - 1 AS cagr FROM o)
+        SELECT 'cagr' AS metric, round(cagr, 4) AS value FROM m UNION ALL SELECT 'mdd', round(mdd, 4) FROM m UNION ALL SELECT 'cagr_mdd', round(cagr / abs(mdd), 4) FROM m UNION ALL SELECT 'sharpe', round(sharpe, 4) FROM m UNION ALL SELECT 'final_equity', round(e1, 4) FROM m
+        UNION ALL SELECT 'total_trades', count(pnl_net)::DOUBLE FROM tr UNION ALL SELECT 'win_rate', round(avg((pnl_net > 0)::INT), 4) FROM tr
+        UNION ALL SELECT 'beta', round(covar_samp(lr, market_ret) / var_pop(market_ret), 4) FROM d JOIN mk USING (ts) WHERE lr IS NOT NULL AND market_ret IS NOT NULL""",
+    "compare_presets": _summary("own_z", TRADING) + " UNION ALL " + _summary("gated", GATED),
+    "sweep": " UNION ALL ".join(_summary(n, p) for n, p in sweep(TRADING, z_stop=(2.0, 4.0), z_exit=(0.0, 0.5)).items()),
+    "portfolio_exposure": f"WITH {_book()} SELECT x.bar_idx, round(sum((alloc_a + alloc_b) / 1e6 * beta), 6) AS net_beta FROM tr s JOIN px x ON x.symbol = s.a AND x.bar_idx BETWEEN entry_idx AND coalesce(exit_bar, last_bar) GROUP BY 1",
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import price_from_log, ratio
+from spreadloom.operators.coint import KEYS, coint_flag, engle_granger
 from spreadloom.operators.stats import pair_rows, pair_statistics
 from spreadloom.operators.windows import assign_windows, usable_windows
 from spreadloom.params import ScanParams
@@ -23,10 +24,16 @@ def sized(stats: DataFrame, notional: float) -> DataFrame:
 
 
 def scan_pairs(series: DataFrame, p: ScanParams) -> DataFrame:
-    """Signals of every pair and window that pass all filters; the filters are one conjunction over native aggregates."""
+    """Signals of every pair and window that pass all filters. Native aggregates filter first; the cointegration test, the
+    dear one, sees only the windows that they leave."""
     windowed = assign_windows(series, p.window, p.step, cap=p.max_windows)
     rows = pair_rows(windowed, usable_windows(windowed, p.window), p.benchmark, p.excluded)
     s = pair_statistics(rows, p.vol_bars)
     s = s.filter((F.col("half_life") > 0) & (F.col("half_life") <= p.max_half_life) & (F.abs("beta") < p.max_beta) & (F.abs("z") >= p.z_entry))
+    if p.cointegration:
+        left = engle_granger(rows.join(s.select(*KEYS), KEYS, "left_semi"), p.cointegration)
+        s = s.join(left.drop("n"), KEYS).filter(coint_flag(p.max_half_life))
+    else:
+        s = s.withColumn("p", F.lit(None).cast("double"))
     s = sized(s, p.notional).withColumn("signal", F.when(F.col("z") >= p.z_entry, -1).otherwise(1))
-    return s.select(F.concat_ws("-", "a", "b").alias("pair"), "window_id", "start_index", "end_index", "hedge_ratio", "half_life", "beta", "z", "signal", "qty1", "qty2", F.round("dollar1", 2).alias("dollar1"), F.round("dollar2", 2).alias("dollar2"))
+    return s.select(F.concat_ws("-", "a", "b").alias("pair"), "window_id", "start_index", "end_index", "hedge_ratio", "half_life", F.col("p").alias("p_value"), "beta", "z", "signal", "qty1", "qty2", F.round("dollar1", 2).alias("dollar1"), F.round("dollar2", 2).alias("dollar2"))

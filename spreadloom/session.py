@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +24,12 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The table computed once and cut from its lineage, in the checkpoint folder that the cluster names (a folder of our own
+    only where it names none). For tables that several later steps read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from spreadloom import catalog
-from spreadloom.operators import bars, profile, windows
+from spreadloom.operators import bars, coint, profile, trades, windows
 from spreadloom.sources import io
 
 DATA = "/root/testdata/sf0.001"
@@ -20,7 +21,7 @@ def rows(df: pd.DataFrame) -> list[str]:
     return sorted(str([clean(v) for v in r]) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in ("events", "lineitem", "part"):
@@ -61,3 +62,40 @@ def test_sources(spark, tmp_path):
         io.read_signals(spark, path)
     pairs = spark.createDataFrame([("A", "B"), ("A", "C")], "a string, b string")
     assert [tuple(r) for r in io.pending_pairs(pairs, pairs.limit(1)).collect()] == [("A", "C")]
+
+
+def test_sides(spark):
+    values = ["1", "1.0", "+1", "long", "BUY", " short ", "-1.0", "0.5", "0", "abc", None]
+    x = spark.createDataFrame([(v, 2.0) for v in values], "signal string, z double")
+    assert [r.side for r in trades.normalise_side(x).collect()] == [1, 1, 1, 1, 1, -1, -1, 1, -1, -1, -1]
+
+
+def test_signals_to_bars(spark):
+    dates = spark.range(3).selectExpr("id bar_idx", "timestamp_seconds(86000 + id * 3600) ts")
+    at = {"before": 0, "exact": 86000 + 3600, "between": 86000 + 5000, "last": 86000 + 7200, "after": 10**6}
+    s = spark.createDataFrame(list(at.items()), "signal_id string, t long").selectExpr("signal_id", "timestamp_seconds(t) signal_time")
+    got = {r.signal_id: r.signal_bar for r in trades.map_signals(s, dates).collect()}
+    assert got == {"before": 0, "exact": 1, "between": 1}
+
+
+def test_pairs_of_known_symbols(spark):
+    s = spark.createDataFrame([("A-B",), ("A-B-C",), ("A",), ("A-Z",), (None,)], "pair string")
+    symbols = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    assert [(r.a, r.b) for r in trades.split_pair(s, symbols).collect()] == [("A", "B")]
+
+
+def test_cointegration_rates():
+    rng = np.random.default_rng(7)
+
+    def statistics(a, b):
+        x = np.stack([np.ones_like(b), b], axis=2)
+        fit = np.linalg.solve(np.einsum("bij,bik->bjk", x, x), np.einsum("bij,bi->bj", x, a)[..., None])
+        return coint._aic_batch(a - np.einsum("bij,bj->bi", x, fit[..., 0]))
+
+    walk = rng.normal(size=(1000, 2, 200)).cumsum(2)
+    noise = np.zeros((1000, 200))
+    for k in range(1, 200):
+        noise[:, k] = 0.5 * noise[:, k - 1] + rng.normal(size=1000)
+    limit = -3.33613 - 6.1101 / 199 - 6.823 / 199**2
+    assert 0.04 <= (statistics(walk[:, 0], walk[:, 1]) < limit).mean() <= 0.09
+    assert (statistics(2 * walk[:, 1] + noise, walk[:, 1]) < limit).mean() >= 0.95
