@@ -71,17 +71,17 @@ def running_start(df: DataFrame, key: str, bucket: str, order: list[Column], amo
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+KEEP_POWERS = 1 << 22
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; grown by doubling and kept for the worker's later batches."""
-    have = _POWERS.get(str(base))
-    if have is None or len(have) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        have = np.ones(1, np.uint64)
-        while len(have) <= size:
+    """base**0 .. base**n modulo 2**64; grown by doubling and, up to KEEP_POWERS, kept for the worker's later batches."""
+    have = _POWERS.get(str(base), np.ones(1, np.uint64))
+    if len(have) <= n:
+        while len(have) <= n:
             have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _POWERS[str(base)] = have
+        if len(have) <= KEEP_POWERS:
+            _POWERS[str(base)] = have
     return have[: n + 1]
 
 
@@ -133,8 +133,9 @@ def components(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def sorted_groups(batches, keys: list[str], most_rows: int = 1 << 14):
-    """Tables of whole groups, from Arrow batches that are sorted by `keys`; small groups come several to a table.
+def sorted_groups(batches, keys: list[str], most_rows: int = 1 << 14, most_bytes: int = 32 << 20):
+    """Tables of whole groups, from Arrow batches that are sorted by `keys`; small groups come several to a table, until
+    there are `most_rows` or `most_bytes` of them.
 
     Yields (table, starts): group g is rows starts[g]:starts[g + 1]. A group that runs over a batch's end waits for its rest.
     """
@@ -153,7 +154,7 @@ def sorted_groups(batches, keys: list[str], most_rows: int = 1 << 14):
     for b in batches:
         if b.num_rows:
             held.append(b)
-        if sum(x.num_rows for x in held) < most_rows:
+        if sum(x.num_rows for x in held) < most_rows and sum(x.nbytes for x in held) < most_bytes:
             continue
         t = pa.Table.from_batches(held)
         s = heads(t)
