@@ -52,10 +52,10 @@ def top_k_hamming(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     candidates of the stated queries are shuffled; each round is written out. Repeated ids count as one row per code.
     """
     spark = codes.sparkSession
-    near = F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1)
-    # Two levels: a hot code's ids are cut to the smallest k + 1 of each part first.
-    parts = codes.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(512))).groupBy("code", "part").agg(near.alias("ids"))
-    entries = cut(parts.groupBy("code").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "codes")
+    # Each task keeps a code's k + 1 smallest ids before they are shuffled, so a hot code is never gathered whole.
+    smallest = Window.partitionBy("code").orderBy("vec_id")
+    near = codes.select("code", "vec_id").distinct().withColumn("nth", F.row_number().over(smallest)).filter(F.col("nth") <= k + 1)
+    entries = cut(near.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
     total = codes.select("vec_id").distinct().count()
     segment = lambda c: [F.shiftright(c, WIDTH * s).bitwiseAND(F.lit((1 << WIDTH) - 1)) for s in range(SEGMENTS)]
     exploded = lambda df: df.select("*", F.posexplode(F.array(*segment(F.col("code")))).alias("segment", "value"))
