@@ -64,11 +64,9 @@ def document_frequencies(docs: DataFrame) -> dict[str, int]:
 class LicenseIndex:
     """Postings (template, position) of the rarest words of each template: half of its words, 8 at most."""
 
-    def __init__(self, frequency: dict[str, int], most_words: int = 24):
-        self.most_words = most_words
+    def __init__(self, frequency: dict[str, int]):
         self.templates = [(label, text.encode().split(), [p.encode().split() for p in phrases]) for label, text, phrases in TEMPLATES]
         rank = {w.encode(): (frequency.get(w, 0), w) for w in VOCABULARY}
-        self.rank = rank
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.anchors = []
         for t, (_, words, _) in enumerate(self.templates):
@@ -93,12 +91,11 @@ class LicenseIndex:
             places += hits
             if hits:
                 base.add(label)
-        # The file's rarest licence words; their postings meet where the relative position agrees.
-        rare = sorted((w for w in at if w in self.postings), key=self.rank.__getitem__)[: self.most_words]
+        # Every indexed word of the file votes; postings meet where the relative position agrees.
         votes: Counter = Counter()
-        for w in rare:
-            for t, p in self.postings[w]:
-                for i in at[w]:
+        for w, found in at.items():
+            for t, p in self.postings.get(w, ()):
+                for i in found:
                     votes[t, i - p] += 1
         labels, best, matches = set(base), 0.5 if base else 0.0, 0
         for (t, start), n in votes.items():
