@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -75,15 +76,45 @@ class LatticeHash:
         return home.view(np.int64), probe.view(np.int64)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, scale: float = 1.5, probes: int = 4, miss: float = 1e-3, most: int = 512) -> DataFrame:
+@functools.cache
+def meeting_rates(least: float, scale: float, probes: int, n: int = 40_000) -> tuple[float, float]:
+    """Least rates at which two unit vectors of cosine `least` share a block's E8 point, and at which they share it or one
+    has the other's among its probes: measured on the pair's projections (normal, correlated by `least`, whatever the
+    dimension), less 5 standard errors."""
+    rng, roots = np.random.default_rng(11), e8_roots()
+    home = met = 0
+    for _ in range(n // 4000):
+        u, v = rng.standard_normal((2, 4000, 8)) / scale
+        v = least * u + math.sqrt(1 - least * least) * v
+        a, b = e8_nearest(u), e8_nearest(v)
+        same = (a == b).all(1)
+        either = same
+        for x, h, other in ((u, a, b), (v, b, a)):
+            near = np.argpartition(-((x - h) @ roots.T), probes, axis=1)[:, :probes]
+            either = either | (h[:, None, :] + roots[near] == other[:, None, :]).all(2).any(1)
+        home, met = home + int(same.sum()), met + int(either.sum())
+    low = lambda k: max(0.0, k / n - 5 * math.sqrt(k / n * (1 - k / n) / n))
+    return low(home), low(met)
+
+
+def tables_needed(blocks: int, least: float, scale: float, probes: int, miss: float) -> int:
+    """Tables in which a pair at the threshold misses in all with probability `miss` at most. A probe moves one block only,
+    so a pair meets in a table where all blocks agree at home, or all but one do and that one meets by a probe."""
+    h, p = meeting_rates(least, scale, probes)
+    rate = h**blocks + blocks * h ** (blocks - 1) * (p - h)
+    if rate <= 0:
+        raise ValueError(f"pairs of cosine {least} hardly ever meet at scale {scale} with {probes} probes")
+    return max(1, math.ceil(math.log(miss) / math.log(max(1 - rate, miss))))
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, scale: float = 1.5, probes: int = 4, miss: float = 1e-3, most: int = 512, blocks: int | None = None) -> DataFrame:
     """Per row of `vectors` (vec_id, embedding; other columns are ignored): vec_id, n_links, component_id, kept.
 
     Equal vectors are one class, hashed once. Classes meet where one's home key is the other's home or probe key in some
     table; each meeting pair is verified by its cosine in double precision and counted at its first meeting only. Large
     cells are cut into block pairs; tasks give sums and stars of links, never pairs. The number of E8 points in a key grows
-    with the logarithm of the number of vectors so that cells stay small, and the number of tables with it, so that a pair
-    at the threshold is missed with probability `miss` at most (an E8 point with `probes` neighbours is shared by 0.81 of
-    such pairs, measured).
+    with the logarithm of the number of vectors so that cells stay small (unless `blocks` gives it), and the number of
+    tables with it, so that a pair at the threshold is missed with probability `miss` at most (tables_needed).
 
     Null vectors, zero vectors and those holding null or non-finite components link with nothing: they are kept with 0
     links. Vectors of different lengths never link. An empty table gives no rows.
@@ -97,9 +128,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, scale: float = 1.5, pr
     classes = rows.filter("embedding is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
     classes = cut(classes, "vector-classes")
     count = classes.count()
-    blocks = max(1, math.ceil(math.log(max(count, 1) / 64) / math.log(3000)))
-    tables = math.ceil(math.log(miss) / math.log(1 - 0.81**blocks))
+    blocks = blocks or max(1, math.ceil(math.log(max(count, 1) / 64) / math.log(3000)))
+    tables = tables_needed(blocks, least, scale, probes, miss)
     n_keys = tables * (1 + blocks * probes)
+    at_once = max(1, min(1000, (8 << 20) // (8 * n_keys * n_keys)))  # each key's row carries all keys of its vector
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[int, LatticeHash] = {}
@@ -110,8 +142,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, scale: float = 1.5, pr
             at = np.append(0, np.cumsum(size))
             for dim in np.unique(size).tolist():
                 pick = np.flatnonzero(size == dim)
-                for s in range(0, len(pick), 1000):
-                    own = pick[s : s + 1000]
+                for s in range(0, len(pick), at_once):
+                    own = pick[s : s + at_once]
                     x = flat[at[own][:, None] + np.arange(dim)].astype(np.float64)
                     x /= np.linalg.norm(x, axis=1)[:, None]
                     if dim not in hashes:

@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("spreadloom.llm")
 
-from spreadloom.llm import licenses  # noqa: E402
+from spreadloom.llm import lattice, licenses  # noqa: E402
 
 
 def test_licenses_of_a_file_with_all_notices():
@@ -19,3 +19,27 @@ def test_licenses_of_a_file_with_all_notices():
     assert score == 1.0 and matches >= len(notices)
     scattered = " ".join(licenses.VOCABULARY) + " filler " * 50 + notices[-1]
     assert "unlicense" in index.scan(scattered.encode())[5].split(",")
+
+
+@pytest.mark.parametrize(("blocks", "pairs"), [(1, 300), (2, 300), (3, 60)])
+def test_near_vectors_of_many_blocks(spark, blocks, pairs):
+    rng = np.random.default_rng(5)
+    x, away = rng.standard_normal((2, pairs, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * away
+    z = np.concatenate([x, y]).astype(np.float32)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(z.tolist())], "vec_id long, embedding array<float>")
+    z = z.astype(float) / np.linalg.norm(z.astype(float), axis=1)[:, None]
+    links = np.argwhere(np.triu(z @ z.T >= 0.95, 1)).tolist()
+    got = {r.vec_id: r.n_links for r in lattice.near_vectors(v, blocks=blocks).collect()}
+    assert links == [[i, i + pairs] for i in range(pairs)]
+    assert sum(got[i] for i, _ in links) >= len(links) - 1 and max(got.values()) == 1
+
+
+def test_tables_keep_the_promise():
+    h, p = lattice.meeting_rates(0.95, 1.5, 4)
+    assert [lattice.tables_needed(b, 0.95, 1.5, 4, 1e-3) for b in (1, 2, 3)] == sorted(lattice.tables_needed(b, 0.95, 1.5, 4, 1e-3) for b in (1, 2, 3))
+    for b in (1, 2, 3):
+        assert (1 - h**b - b * h ** (b - 1) * (p - h)) ** lattice.tables_needed(b, 0.95, 1.5, 4, 1e-3) <= 1e-3
