@@ -7,6 +7,7 @@ dropped by the first stage) and works on all rows that the one before kept. An e
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spreadloom.llm.chosenpath import jaccard_join
 from spreadloom.llm.common import cut, table
@@ -27,15 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates. Rows with a null doc_id, and wordless
-    texts, stay; of wholly equal rows of one doc_id one stays."""
-    found = cut(jaccard_join(docs), "near-duplicates")
-    drop = found.filter("not kept").select("doc_id").distinct()
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
-    once = kept.join(twice, "doc_id", "left_anti").select(*COLUMNS)
-    again = kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    """One row, of the smallest doc_id, of each group of near duplicates, whichever ids they have. Rows with a null doc_id,
+    and wordless texts, stay. Rows are numbered in a copy first, since a doc_id may repeat."""
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "near-rows")
+    found = cut(jaccard_join(rows, row="_row"), "near-duplicates")
+    return rows.join(found.filter("not kept").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ from spreadloom.llm.tokens import slices, texts
 WIDTH, DEPTH, CHILDREN = 64, 4, 2
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, cid (name of the shingle set, null without words), size, sig (array of WIDTH sampled tokens)."""
+def signatures(docs: DataFrame, k: int, row: str | None = None) -> DataFrame:
+    """row (that column, or a number), doc_id, cid (name of the shingle set, null without words), size, sig (array of
+    WIDTH sampled tokens). Numbers given here hold only once the rows are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(WIDTH)
@@ -28,9 +29,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for i, j in slices(at, 1 << 20):
                 sets, counts = shingle_sets(data, at[i : j + 1], k)
                 sig = hashes.of(sets, counts).view(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(set_names(sets, counts), mask=counts == 0), pa.array(counts), pa.ListArray.from_arrays(np.arange(0, (j - i + 1) * WIDTH, WIDTH, dtype=np.int32), pa.array(sig.ravel()))], names=["doc_id", "cid", "size", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(set_names(sets, counts), mask=counts == 0), pa.array(counts), pa.ListArray.from_arrays(np.arange(0, (j - i + 1) * WIDTH, WIDTH, dtype=np.int32), pa.array(sig.ravel()))], names=["row", "doc_id", "cid", "size", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, cid long, size long, sig array<int>")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, cid long, size long, sig array<int>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -133,26 +135,27 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float = 0.99999, most: int = 512) -> DataFrame:
-    """One row per document (doc_id, text; other columns are ignored): doc_id, n_links, class_id, kept.
+def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float = 0.99999, most: int = 512, row: str | None = None) -> DataFrame:
+    """One row per document (doc_id, text; other columns are ignored): doc_id, n_links, class_id, kept, and the column
+    `row` (long, one value per row) where it is named.
 
     n_links: other documents whose sets of k-word shingles have Jaccard similarity `least` or more with its own.
-    class_id: the smallest doc_id that links reach; kept: whether that is its own. Texts with equal sets are one class
-    throughout. Candidates are verified on whole sets, so every link is right; a pair at the threshold is lost with
+    class_id: the smallest doc_id that links reach; kept: true of one row that has it, for each group of linked rows.
+    Texts with equal sets are one class throughout. Candidates are verified on whole sets, so every link is right; a pair at the threshold is lost with
     probability 1 - `recall` at most, more similar ones far less often.
 
     Null and wordless texts, and rows with a null doc_id, link with nothing and are kept. Rows that repeat a doc_id count
-    as documents of their own and share its class. An empty table gives no rows.
+    as documents of their own, linked by their texts alone. An empty table gives no rows.
     """
-    rows = cut(signatures(docs, k), "join-signatures")
+    rows = cut(signatures(docs, k, row), "join-signatures")
     usable = rows.filter("cid is not null and doc_id is not null")
-    classes = usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"))
+    classes = usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"))
     classes = cut(classes, "join-classes")
     stay = least * (1 - (1 - least) ** CHILDREN) ** DEPTH  # least chance that a run keeps a pair at the threshold together
     runs = math.ceil(math.log(1 - recall) / math.log(1 - stay))
     buckets = cut(leaves(classes, runs, most), "join-buckets")
     own_keys = buckets.groupBy("cid").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    info = classes.join(own_keys, "cid")
+    info = classes.drop("first").join(own_keys, "cid")
     dealt = block_pairs(buckets.distinct().join(info, "cid"), "key", "cid", most)
     order = ["key", "b1", "b2"]
     columns = [*order, "_b", "cid", "rep", "n", "size", "sig", "keys"]
@@ -196,16 +199,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float
                 n = c["n"][s:e]
                 links = np.bincount(np.concatenate([i, j]), np.concatenate([n[j], n[i]]), e - s).astype(np.int64)
                 own, root = np.flatnonzero(links), local_roots(e - s, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["cid"][s + own], c["rep"][s + own], links[own], c["rep"][s + root[own]])], names=["cid", "rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["cid"][s + own], links[own], c["cid"][s + root[own]])], names=["cid", "links", "root"])
 
-    found = cut(ready.mapInArrow(linked, "cid long, rep long, links long, root long"), "join-links")
+    found = cut(ready.mapInArrow(linked, "cid long, links long, root long"), "join-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join")
-    known = classes.select("cid", "rep", "n").join(links, "cid", "left").join(joined, F.col("rep") == F.col("id"), "left")
-    known = known.select(F.col("cid").alias("_cid"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    out = rows.select("doc_id", "cid").join(known, (F.col("cid") == F.col("_cid")) & F.col("doc_id").isNotNull(), "left")
-    cls = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cls.alias("class_id"), F.coalesce(F.col("doc_id") == cls, F.lit(True)).alias("kept"))
+    joined = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "join")
+    known = classes.select("cid", "first", "n").join(links, "cid", "left").join(joined, F.col("cid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid"))
+    heads = known.groupBy(F.col("component").alias("id")).agg(F.min("first").alias("head"))
+    known = known.drop("id").join(heads, F.col("component") == F.col("id"))
+    known = known.select(F.col("cid").alias("_cid"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "head")
+    out = rows.select("row", "doc_id", "cid").join(known, (F.col("cid") == F.col("_cid")) & F.col("doc_id").isNotNull(), "left")
+    columns = ["doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept")]
+    return out.select(*columns, *([F.col("row").alias(row)] if row else []))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

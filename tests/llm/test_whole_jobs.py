@@ -7,7 +7,8 @@ import pytest
 
 pytest.importorskip("spreadloom.llm")
 
-from spreadloom.llm import lattice, licenses  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from spreadloom.llm import chosenpath, lattice, licenses  # noqa: E402
 
 
 def test_licenses_of_a_file_with_all_notices():
@@ -43,3 +44,17 @@ def test_tables_keep_the_promise():
     assert [lattice.tables_needed(b, 0.95, 1.5, 4, 1e-3) for b in (1, 2, 3)] == sorted(lattice.tables_needed(b, 0.95, 1.5, 4, 1e-3) for b in (1, 2, 3))
     for b in (1, 2, 3):
         assert (1 - h**b - b * h ** (b - 1) * (p - h)) ** lattice.tables_needed(b, 0.95, 1.5, 4, 1e-3) <= 1e-3
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10_000, n))
+    old, twin, own = prose(100), prose(100), [prose(80) for _ in range(4)]
+    texts = [(1, old), (7, old + " more"), (7, own[0]), (7, own[1]), (8, twin), (8, twin + " more"), (8, twin), (9, own[2]), (9, ""), (None, old), (5, own[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r.doc_id, r.n_links, r.class_id, r.kept) for r in chosenpath.jaccard_join(docs).collect()]
+    free = [(7, 0, 7, True)] * 2 + [(9, 0, 9, True)] * 2 + [(None, 0, None, True), (5, 0, 5, True)]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(found, key=key) == sorted([(1, 1, 1, True), (7, 1, 1, False), (8, 2, 8, True), (8, 2, 8, False), (8, 2, 8, False), *free], key=key)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(left) == 8 and set(left) - {(8, twin), (8, twin + " more")} == {(1, old), (7, own[0]), (7, own[1]), (9, own[2]), (9, ""), (None, old), (5, own[3])}
