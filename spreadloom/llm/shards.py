@@ -10,8 +10,8 @@ from spreadloom.llm.common import cut, running_start, table
 BITS, STRIDE = 60, 15
 
 
-def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, depth, prefix, page, shard, shard_bytes.
+def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, depth, prefix, page, shard, shard_bytes, and the column `carry` where named.
 
     The hash is the first 60 bits of md5(key as text; null: ''). A document's shard is the shallowest hash prefix whose
     documents hold `limit` bytes or fewer, or a single document. Directory levels are summed from at most 2**15 cells a
@@ -20,8 +20,9 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: st
     each within the limit. Null text has 0 bytes; an empty table gives no rows; columns other than key and text are ignored.
     """
     spark = docs.sparkSession
+    own = [carry] if carry else []
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = docs.select(F.col(key).alias("doc_id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), *own)
     rows = cut(rows.withColumn("_part", F.spark_partition_id()), "shard-rows")
     done: list[DataFrame] = []
     for low in range(0, BITS, STRIDE):
@@ -32,27 +33,32 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: st
         sums = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("n")).filter((F.col("shard_bytes") <= limit) | (F.col("n") == 1))
         leaf = levels.drop("b", "n").join(sums, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
         placed = cut(rows.withColumn("cell", cell).join(leaf, "cell", "left").drop("cell"), f"shard-stride{low}")
-        done.append(placed.filter("leaf is not null").select("doc_id", "n_bytes", "leaf.*", F.lit(0).cast("long").alias("page")))
+        done.append(placed.filter("leaf is not null").select("doc_id", "n_bytes", *own, "leaf.*", F.lit(0).cast("long").alias("page")))
         rows = placed.filter("leaf is null").drop("leaf")
         if rows.isEmpty():
             break
     else:
         most = rows.groupBy("h").agg(F.max("n_bytes").alias("most"))
-        paged = running_start(rows, "h", "_part", [F.col("n_bytes")], "n_bytes", "at").join(most, "h")
+        paged = running_start(rows, "h", "_part", [F.col(c) for c in ("n_bytes", *own)], "n_bytes", "at").join(most, "h")
         paged = paged.withColumn("page", F.expr(f"at div greatest({limit} - most, 1)"))
         sizes = paged.groupBy("h", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
-        done.append(paged.join(sizes, ["h", "page"]).select("doc_id", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), "shard_bytes", "page"))
+        done.append(paged.join(sizes, ["h", "page"]).select("doc_id", "n_bytes", *own, F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), "shard_bytes", "page"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     name = F.concat(F.when(F.col("depth") > 0, F.expr(f"lpad(bin(prefix), depth, '0')")).otherwise(""), F.when(F.col("page") > 0, F.concat(F.lit("-"), "page")).otherwise(""))
-    return out.select("doc_id", "n_bytes", "depth", "prefix", "page", name.alias("shard"), "shard_bytes")
+    return out.select("doc_id", "n_bytes", "depth", "prefix", "page", name.alias("shard"), "shard_bytes", *own)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents as Parquet, a folder per shard. Each shard is within the byte limit, so a task can hold it."""
-    keyed = docs.join(placed.select(F.col("doc_id").alias("_id"), "shard").dropDuplicates(["_id"]), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    keyed.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
+    """Write the documents as Parquet, a folder per shard and overflow page, each within the byte limit (or one document).
+
+    Rows are numbered in a copy before they are placed, so that each goes to its own page though its key repeats; tasks
+    take whole shards, so none is larger than a few of them.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-documents")
+    placed = extendible_shards(rows, limit, key, text, carry="_row").select("_row", "shard")
+    rows.join(placed, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 SHARD_BYTES = 1 << 20

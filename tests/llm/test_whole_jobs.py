@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("spreadloom.llm")
 
 import corpus_pipeline  # noqa: E402
-from spreadloom.llm import chosenpath, lattice, licenses  # noqa: E402
+from spreadloom.llm import chosenpath, lattice, licenses, shards  # noqa: E402
 
 
 def test_licenses_of_a_file_with_all_notices():
@@ -58,3 +58,17 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sorted(found, key=key) == sorted([(1, 1, 1, True), (7, 1, 1, False), (8, 2, 8, True), (8, 2, 8, False), (8, 2, 8, False), *free], key=key)
     left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert len(left) == 8 and set(left) - {(8, twin), (8, twin + " more")} == {(1, old), (7, own[0]), (7, own[1]), (9, own[2]), (9, ""), (None, old), (5, own[3])}
+
+
+def test_written_shards_of_a_repeated_id(spark, tmp_path):
+    texts = [(1, "x" * (50 + i)) for i in range(60)] + [(1, None), (None, "n")] + [(i, f"t{i} " * 20) for i in range(2, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    shards.write_shards(docs, f"file://{tmp_path}/s", 1000)
+    folders = list((tmp_path / "s").glob("shard=*"))
+    got = []
+    for f in folders:
+        rows = spark.read.schema("doc_id long, text string").parquet(f"file://{f}").collect()
+        assert 0 < sum(len(r.text or "") for r in rows) <= 1000
+        got += [(r.doc_id, r.text) for r in rows]
+    assert sorted(got, key=str) == sorted(texts, key=str)
+    assert len([f for f in folders if "-" in f.name]) > 1
