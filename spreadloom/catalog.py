@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import replace
 from typing import Any
 
@@ -74,11 +75,13 @@ def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     """The scan's signals with their times; every third window leaves the dollars to the backtest."""
     walk = _walk(spark, d)
-    s = scan_pairs(walk, PARAMS).withColumn("signal_id", F.concat_ws("#", "pair", "window_id"))
+    s = scan_pairs(walk, _PARAMS.get()).withColumn("signal_id", F.concat_ws("#", "pair", "window_id"))
     s = s.withColumns({c: F.when(F.col("window_id") % 3 != 0, F.col(c)) for c in ("dollar1", "dollar2")})
     return s.join(walk.select(F.col("bar_idx").alias("end_index"), F.col("ts").alias("signal_time")).distinct(), "end_index")
 
 
+#: The scan behind the backtest queries.
+_PARAMS: ContextVar[ScanParams] = ContextVar("scan", default=PARAMS)
 _SHARED: dict[tuple, Any] = {}
 
 
@@ -91,11 +94,11 @@ def _shared(spark: SparkSession, key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return _shared(spark, ("panel", d), lambda: (settle(_signals(spark, d)), settle(_walk(spark, d))))
+    return _shared(spark, ("panel", d, _PARAMS.get()), lambda: (settle(_signals(spark, d)), settle(_walk(spark, d))))
 
 
 def _backtest(spark: SparkSession, d: str, p: BacktestParams = TRADING) -> Backtest:
-    return _shared(spark, (p, d), lambda: backtest(*_panel(spark, d), p))
+    return _shared(spark, (p, d, _PARAMS.get()), lambda: backtest(*_panel(spark, d), p))
 
 
 def _mae(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +119,11 @@ def _eg(spark: SparkSession, d: str, lags: str) -> DataFrame:
     return _round(C.engle_granger(_pair_rows(spark, d), lags), 5, "t", "p", "crit1", "crit5", "crit10")
 
 
+def _scan(spark: SparkSession, d: str, lags: str | None = None) -> DataFrame:
+    s = scan_pairs(_walk(spark, d), replace(_PARAMS.get(), cointegration=lags or _PARAMS.get().cointegration))
+    return _round(s.withColumn("half_life", F.round("half_life", 1)), 4, "hedge_ratio", "beta", "z").drop("qty1", "qty2", "p_value").withColumns({c: F.round(c, 0) for c in ("dollar1", "dollar2")})
+
+
 QUERIES = {
     "bars_from_events": lambda s, d: _ts(_bars(s, d)),
     "bar_index": lambda s, d: _ts(B.with_bar_idx(_bars(s, d)).select("symbol", "ts", "bar_idx")),
@@ -132,7 +140,8 @@ QUERIES = {
     "pair_universe": lambda s, d: W.pairs(W.candidates(_bars(s, d), "S00", ("S05",))),
     "rolling_z": lambda s, d: _round(S.rolling_z(_walk(s, d)).select("symbol", "bar_idx", "z"), 5, "z"),
     "pair_statistics": _pair_stats,
-    "pair_scan": lambda s, d: _round(scan_pairs(_walk(s, d), PARAMS).withColumn("half_life", F.round("half_life", 1)), 4, "hedge_ratio", "beta", "z").drop("qty1", "qty2", "p_value").withColumns({c: F.round(c, 0) for c in ("dollar1", "dollar2")}),
+    "pair_scan": lambda s, d: _scan(s, d),
+    "pair_scan_aic": lambda s, d: _scan(s, d, "aic"),
     "symbol_beta": lambda s, d: _round(S.symbol_beta(_walk(s, d), "S00"), 6, "beta", "corr"),
     "beta_summary": lambda s, d: _round(S.beta_summary(S.symbol_beta(_walk(s, d), "S00")), 6, "mean_beta"),
     "trade_flags": lambda s, d: _round(P.trade_flags(_trades(s, d)).select("l_orderkey", "l_linenumber", "win", "gross_is_zero", "comm_ratio"), 6, "comm_ratio"),
@@ -330,3 +339,27 @@ SQL |= {
     "sweep": " UNION ALL ".join(_summary(n, p) for n, p in sweep(TRADING, z_stop=(2.0, 4.0), z_exit=(0.0, 0.5)).items()),
     "portfolio_exposure": f"WITH {_book()} SELECT x.bar_idx, round(sum((alloc_a + alloc_b) / 1e6 * beta), 6) AS net_beta FROM tr s JOIN px x ON x.symbol = s.a AND x.bar_idx BETWEEN entry_idx AND coalesce(exit_bar, last_bar) GROUP BY 1",
 }
+
+#: The scan and all queries on its signals once more, over pairs that pass the cointegration test, in the lag-0 form that SQL has.
+TESTED = ["pair_scan", "map_signals", "allocations", "mae95", "entry_fills", "trades", "trades_gated", "cash_audit", "ledger", "unrealised", "backtest_equity", "backtest_metrics", "compare_presets", "sweep", "portfolio_exposure"]
+
+
+def _tested(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        was = _PARAMS.set(replace(PARAMS, cointegration="lag0"))
+        try:
+            return query(spark, d)
+        finally:
+            _PARAMS.reset(was)
+
+    return run
+
+
+def _tested_sql(sql: str) -> str:
+    """The flag's p below 0.05 needs no term of its own: it holds for t below -3.3357, and crit5 is lower at every length."""
+    joined = "FROM st JOIN eg USING (a, b, window_id) WHERE t < crit5"
+    return sql.replace(_STATS, _EG).replace("FROM st WHERE ", f"{joined} AND ").replace("FROM st)", f"{joined})")
+
+
+QUERIES |= {f"cointegrated_{n}": _tested(QUERIES[n]) for n in TESTED}
+SQL |= {f"cointegrated_{n}": _tested_sql(SQL[n]) for n in TESTED}
