@@ -2,25 +2,68 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spreadloom.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where none is set (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{label}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that are no column of `df`, in whatever case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+_OWNER = [""]
+_FORGET: dict[str, list] = {}
+
+
+def worker_of(owner: str) -> None:
+    """Called by a task: when a Python worker turns to another operator, the tables that the one before kept are dropped
+    and freed memory goes back to the system, so that a worker's size is that of one operator."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for kept in _FORGET.values():
+            for x in kept:
+                x.clear()
+        release()
+
+
+def kept_by_worker(name: str, table: dict) -> dict:
+    """Register a table that a worker keeps between tasks."""
+    _FORGET.setdefault(name, []).append(table)
+    return table
+
+
+def release() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -68,44 +111,79 @@ def running_start(df: DataFrame, key: str, bucket: str, order: list[Column], amo
     return rows.join(sums, rows[key].eqNullSafe(sums["_k"]) & (rows[bucket] == sums["_b"])).withColumn(out, (F.col("_base") + F.col("_inside")).cast("long")).drop("_k", "_b", "_base", "_inside")
 
 
-_BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-KEEP_POWERS = 1 << 22
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; grown by doubling and, up to KEEP_POWERS, kept for the worker's later batches."""
-    have = _POWERS.get(str(base), np.ones(1, np.uint64))
-    if len(have) <= n:
-        while len(have) <= n:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        if len(have) <= KEEP_POWERS:
-            _POWERS[str(base)] = have
-    return have[: n + 1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads each input bit over all output bits."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
 
 
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The name of a pair of names."""
+    b = second * np.uint64(0xA0761D6478BD642F)
+    return mix((first * np.uint64(0xD6E8FEB86659FD93)) ^ (b << np.uint64(32)) ^ (b >> np.uint64(32)))
+
+
+PRIME = (1 << 61) - 1
+_P, _L30, _L31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+_BASE = 0x1B3F5A9D7C24E681 % PRIME
+_POWERS: dict[int, np.ndarray] = kept_by_worker("powers", {})
+PIECE = 1 << 20
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    x -= _P * (x >= _P)
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, in halves of 31 bits."""
+    a0, a1, b0, b1 = a & _L31, a >> _31, b & _L31, b >> _31
+    mid = a1 * b0 + a0 * b1
+    return _fold(a0 * b0 + ((a1 * b1) << np.uint64(1)) + (mid >> _30) + ((mid & _L30) << _31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**n modulo 2**61 - 1, kept up to PIECE of them."""
+    have = _POWERS.get(base, np.ones(1, np.uint64))
+    if len(have) <= n:
+        while len(have) <= n:
+            have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), PRIME)))])
+        if n <= PIECE:
+            _POWERS[base] = have
+    return have[: n + 1]
+
+
 class ByteHashes:
-    """Hashes of any substrings of one buffer, each in constant time, by running polynomial sums modulo 2**64."""
+    """Hashes of any substrings of one buffer, each in constant time: running polynomial sums modulo the prime 2**61 - 1.
+
+    Two given strings of n bytes are confused by n in 2**61 of all bases at most. Where a name decides that texts are
+    equal, the caller compares bytes or a second name too.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[:n], out=self.sums[1:])
-        self.undo = _powers(_INV, n)
+        step = _powers(_BASE, min(n, PIECE))
+        carry, scale = np.uint64(0), np.uint64(1)
+        for s in range(0, n, PIECE):  # sums of 2**20 halves stay below 2**61
+            part = data[s : s + PIECE].astype(np.uint64) + np.uint64(1)
+            power = step[: len(part)]
+            low, high = np.cumsum((power & _L31) * part), np.cumsum((power >> _31) * part)
+            own = _fold(low + ((high & _L30) << _31) + (high >> _30))
+            own = own if s == 0 else times(own, scale)
+            self.sums[s + 1 : s + 1 + len(part)] = _fold(own + carry)
+            carry = self.sums[s + len(part)]
+            scale = times(scale, step[PIECE]) if len(part) == PIECE else scale
+        self.undo = _powers(pow(_BASE, -1, PRIME), n)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.undo[start])
+        return mix(times(_fold(self.sums[end] + (_P - self.sums[start])), self.undo[start]))
 
 
 def components(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
@@ -125,7 +203,8 @@ def components(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
         large = large.filter("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        e = cut(small.filter("a <> b").distinct(), f"{label}-star{i}")
+        was, e = e, cut(small.filter("a <> b").distinct(), f"{label}-star{i}")
+        discard(was)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(e.groupBy("b").agg(F.min("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
@@ -180,13 +259,16 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def block_pairs(df: DataFrame, key: str, id_col: str, most: int) -> DataFrame:
-    """Rows of `df` dealt to (key, b1, b2): all pairs of a key's rows meet once, in tasks of at most about 2 * `most` rows.
+def block_pairs(members: DataFrame, key: str, id_col: str, most: int) -> DataFrame:
+    """`members` (key, id and other narrow columns) dealt to (key, b1, b2): all pairs of a key's rows meet once, in tasks
+    of at most about 2 * `most` rows; `_b` is a row's own block. Keys of one row are left out.
 
     A key with more than `most` rows is cut into blocks by a hash of the id; each row goes to the pairs of its block with
     every block, so a large group is spread over many tasks and no task, and no row of output, grows with its square.
+    Rows meet their key's count in a plain merge join, of which Spark splits skewed partitions, so rows should be narrow
+    here and fetch what is wide afterwards.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = df.join(counts, key).withColumn("_nb", F.expr(f"(_n + {most - 1}) div {most}")).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_nb")))
+    counts = members.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    rows = members.join(counts.hint("merge"), key).withColumn("_nb", F.expr(f"(_n + {most - 1}) div {most}")).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_nb")))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     return rows.withColumn("b1", F.least("_b", "_o")).withColumn("b2", F.greatest("_b", "_o")).drop("_n", "_nb", "_o")

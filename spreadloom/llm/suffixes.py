@@ -1,70 +1,99 @@
 """Removal of repeated byte strings by distributed prefix doubling over sampled suffixes.
 
-Ranks are names: equal strings, and only they, have equal names (Karp, Miller and Rosenberg 1972), here 64-bit hashes.
+Ranks are names: equal strings, and only they, have equal names (Karp, Miller and Rosenberg 1972), here 64-bit hashes. The
+rank of a longer string is the pair of two earlier ranks, one at its start and one at an offset: 8 bytes are their own
+rank, then 16 and 20, and in the rounds below 40 (offset 20) and 50 (offset 10, where the threshold ends the doubling).
+
 Dense doubling would sort a row for every byte of the corpus in every round. A first round over all positions is only
 needed to find the unique ones, and for that a sample chosen by content is enough: every 50-byte string holds a smallest
-20-byte name (its leftmost minimum), equal strings hold it at equal places, and about one position in 16 is such a minimum.
-
-Round 1   sorts sampled positions by the rank of their first 20 bytes; ranks of a single document are dropped.
-Round 2   sorts pairs of that rank and the rank of the whole stretch around it whose 50-byte strings share the position.
-          A stretch that an earlier document holds too is past the threshold and settled.
-Round 3   positions of stretches first met here, under a rank that others hold in other surroundings, are ranked one by
-          one: pairs of the ranks of 25 bytes at offsets 0 and 25 are sorted, and the smallest document of each decides.
+20-byte rank (its leftmost minimum), equal strings hold it at equal places, and about one position in 16 is such a minimum.
+
+Round 1   sorts sampled positions by the rank of 20 bytes; ranks of a single document are unique and dropped.
+Round 2   sorts what is left by that rank and the rank of the whole stretch around it whose 50-byte strings share the
+          sampled position: a pair of ranks of 40 bytes, at its start and end. Where an earlier document holds the same
+          stretch, all its strings are past the threshold and settled.
+Round 3   reranks the other stretches in runs of 11 strings: their common 40 bytes are sorted by the pair of ranks at
+          offsets 0 and 20; unique ones are dropped.
+Round 4   reranks each string that is left by the pair of 40-byte ranks at offsets 0 and 10: the smallest document of each
+          rank keeps it, and it is settled in the others.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import ByteHashes, cut, discard, mix, sorted_groups, table
+from spreadloom.llm.common import cut, discard, mix, pair, sorted_groups, table, unused, worker_of
 from spreadloom.llm.tokens import slices, texts
 
-LENGTH, SEED = 50, 20
-REACH = LENGTH - SEED + 1
+LENGTHS = (20, 40, 50)
+SEED, CORE, LENGTH = LENGTHS
+REACH, RUN = LENGTH - SEED + 1, LENGTH - CORE + 1
 SINGLE, SHARED, WITNESS, SETTLED = range(4)
-_C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+CHECK = (1 << 19) - 1
+PIECE, TOGETHER = 1 << 18, 8 << 20
+
+Batches = Iterator[pa.RecordBatch]
 
 
-def _pack(lo: np.ndarray, windows: np.ndarray, check: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """lo (40 bits), number of windows less 1 (6), check of the text (14), kind (2) in one long."""
-    return (lo.astype(np.int64) << 22) | (windows.astype(np.int64) << 16) | (check.astype(np.int64) << 2) | kind
+def _pack(lo: np.ndarray, back: np.ndarray | int, count: np.ndarray | int, check: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """First start (32 bits), sampled position from there (5), number of strings less 1 (5), check (19), kind (2) in one long."""
+    return (lo.astype(np.int64) << 31) | (np.int64(1) * back << 26) | ((np.int64(1) * count - 1) << 21) | (check.astype(np.int64) << 2) | kind
 
 
 def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 22, (place >> 16) & 63, (place >> 2) & 0x3FFF, place & 3
+    return place >> 31, (place >> 26) & 31, ((place >> 21) & 31) + 1, (place >> 2) & CHECK
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each position: a view, not aligned."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
 
+def all_ranks(data: np.ndarray) -> np.ndarray:
+    """Rank of the SEED bytes at each position."""
+    w = _words(data).astype(np.uint64)
+    n = len(data) - SEED + 1
+    return pair(pair(w[:n], w[8 : 8 + n]), w[12 : 12 + n])
 
-def _checks(hashes: ByteHashes, offsets: np.ndarray) -> np.ndarray:
-    """14 bits of each text's name: tells rows apart that share a doc_id."""
-    return (hashes.of(offsets[:-1], offsets[1:]) & np.uint64(0x3FFF)).astype(np.int64)
+
+def ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the strings of one of LENGTHS at the given positions."""
+    if length == SEED:
+        w = _words(data)
+        return pair(pair(w[at], w[at + 8]), w[at + 12])
+    first, second = rank_pairs(data, at, length)
+    return pair(first, second)
+
+
+def rank_pairs(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two earlier ranks that make the rank of `length` bytes."""
+    before = LENGTHS[LENGTHS.index(length) - 1]
+    return ranks(data, at, before), ranks(data, at + length - before, before)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Maximal runs of 50-byte strings of one text that share their sampled position: text, first start, number, seed
-    name, stretch name, and the texts' checks."""
+    """Maximal runs of 50-byte strings of one text that share their sampled position: text, first start, number, sampled
+    position from the first start, its rank, rank of the stretch. For up to 2**20 bytes."""
     base, end = int(offsets[0]), int(offsets[-1])
     data, offsets = data[base:end], np.asarray(offsets, np.int64) - base
     n = len(data)
-    hashes = ByteHashes(data)
-    checks = _checks(hashes, offsets)
     if n < LENGTH:
-        return (*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2, checks)
-    at = np.arange(n - SEED + 1)
-    seeds = hashes.of(at, at + SEED)
-    shift = np.uint64(int(n).bit_length())
-    low = (seeds >> shift << shift) | at.astype(np.uint64)
+        return (*(np.zeros(0, np.int64),) * 4, *(np.zeros(0, np.uint64),) * 2)
+    seeds = all_ranks(data)
+    bits = np.uint64(20)
+    low = (seeds >> bits << bits) | np.arange(len(seeds), dtype=np.uint64)
     span = 1
     while 2 * span <= REACH:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(low) - (REACH - span)], low[REACH - span :])
-    anchor = (low & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    anchor = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
     out = np.zeros(n + 1, np.int32)  # starts too near the end of their text
     np.add.at(out, np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1]), 1)
     np.add.at(out, offsets[1:], -1)
@@ -75,9 +104,24 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     keep = inside[first]
     first, last = first[keep], last[keep]
     anchor = anchor[first]
-    name = mix(hashes.of(first, last - 1 + LENGTH) + (anchor - first).astype(np.uint64) * _C1 + (last - first).astype(np.uint64) * _C2)
+    back, count = anchor - first, last - first
+    name = pair(pair(ranks(data, first, CORE), ranks(data, last - 1 + RUN - 1, CORE)), mix((back << 8 | count).astype(np.uint64)))
     doc = np.searchsorted(offsets, first, "right") - 1
-    return doc, first - offsets[doc], last - first, seeds[anchor], name, checks
+    return doc, first - offsets[doc], count, back, seeds[anchor], name
+
+
+def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """stretches() of all texts, some together; a long text in pieces that overlap by 49 bytes, so that each string is in
+    one of them and memory does not depend on a text's length."""
+    for i, j in slices(at, PIECE):
+        begin, size = int(at[i]), int(at[j] - at[i])
+        if j > i + 1 or size <= 2 * PIECE:
+            doc, lo, *rest = stretches(data, at[i : j + 1])
+            yield i + doc, lo, *rest
+        else:
+            for s in range(0, size - LENGTH + 1, PIECE):
+                doc, lo, *rest = stretches(data, np.array([begin + s, begin + min(size, s + PIECE + LENGTH - 1)]))
+                yield i + doc, s + lo, *rest
 
 
 def _merge(doc: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -95,8 +139,8 @@ def _merge(doc: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarra
     return doc[heads], check[heads], start[heads], np.append(reach[heads[1:] - 1], reach[-1])
 
 
-def _least_by(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by the keys and doc; in that order, the group of each row and each row's smallest doc in its group."""
+def _grouped(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the keys and doc; in that order, whether a row begins a group, and each row's smallest doc in its group."""
     order = np.lexsort((doc, *keys[::-1]))
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -104,171 +148,268 @@ def _least_by(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
         v = k[order]
         new[1:] |= v[1:] != v[:-1]
     group = np.cumsum(new) - 1
-    return order, group, doc[order][new][group] if len(order) else doc
+    return order, new, doc[order][new][group] if len(order) else doc
 
 
-ROUND1 = "rank long, other long, doc_id long, place long"
+ROWS = "high long, low long, doc_id long, place long"
 
 
 def _batch(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, pa.int64()) for c in columns], names=[c.split()[0] for c in names.split(", ")])
 
 
-def _round1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to sort. What a slice of texts settles by itself leaves it as intervals, and a rank that several of its
-    documents hold leaves it as one witness, so a string that a third of the corpus holds gives a row per slice."""
-    for b in batches:
-        data, at = texts(b.column("text"))
-        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-        for i, j in slices(at):
-            doc, lo, count, seed, name, checks = stretches(data, at[i : j + 1])
-            if not len(doc):
-                continue
-            own, check = ids[i:j][doc], checks[doc]
-            order, _, least = _least_by(seed, name, doc=own)
-            own, check, lo, count, seed, name = (x[order] for x in (own, check, lo, count, seed, name))
-            settled = own > least
-            new = np.append(True, seed[1:] != seed[:-1])
-            group = np.cumsum(new) - 1
-            heads = np.flatnonzero(new)
-            shared = (np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads))
-            many = shared[group]
-            kind = np.where(many, SHARED, SINGLE)
-            first = ~settled
-            place = _pack(lo, count - 1, check, kind)
-            yield _batch([np.where(many, name, seed)[first], np.where(many, seed, name)[first], own[first], place[first]], ROUND1)
-            if shared.any():
-                w = heads[shared]
-                yield _batch([seed[w], seed[w], own[w], np.full(len(w), WITNESS)], ROUND1)
-            if settled.any():
-                d, c, s, e = _merge(own[settled], check[settled], lo[settled], lo[settled] + count[settled] - 1 + LENGTH)
-                yield _batch([mix(d.astype(np.uint64) + s.astype(np.uint64)), e, d, _pack(s, 0 * s, c, SETTLED)], ROUND1)
-
-
-def _rerank1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the ranks that one document alone holds; what comes out is seed, name, doc_id, place."""
-    for t, starts in sorted_groups(batches, ["rank"], 1 << 17):
-        rank, other, doc, place = (t.column(c).combine_chunks().to_numpy() for c in ("rank", "other", "doc_id", "place"))
-        kind = place & 3
-        heads = starts[:-1]
-        group = np.repeat(np.arange(len(heads)), np.diff(starts))
-        low = kind == SHARED
-        voting = np.where((kind == SINGLE) | (kind == WITNESS), doc, np.int64(0))
-        lowest = np.minimum.reduceat(np.where((kind == SINGLE) | (kind == WITNESS), doc, np.iinfo(np.int64).max), heads)
-        highest = np.maximum.reduceat(np.where((kind == SINGLE) | (kind == WITNESS), voting, np.iinfo(np.int64).min), heads)
-        several = (lowest < highest) | (np.bincount(group, kind == WITNESS, len(heads)) > 0)
-        keep = ((kind == SINGLE) & several[group]) | low | (kind == SETTLED)
-        yield _batch([np.where(kind == SINGLE, rank, other)[keep], np.where(kind == SINGLE, other, rank)[keep], doc[keep], place[keep]], "seed, name, doc_id, place")
-
-
-ROUND3 = "high long, low long, doc_id long, place long"
-
-
-def _round3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rank pairs of each 50-byte string of the listed stretches; a slice settles its own repeats as in round 1."""
+def _settled_rows(doc: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans that need no further rank: dealt out by a hash of their own, `low` holds the end."""
+    doc, check, start, end = _merge(doc, check, start, end)
+    return _batch([mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), end, doc, _pack(start, 0, 1, check, SETTLED)], ROWS)
+
+
+def _shared(high: np.ndarray, doc: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of rows in order, whether several documents hold their group's rank."""
+    heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+    return (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads))[group]
+
+
+def _round1(batches: Batches) -> Batches:
+    """Rows to sort: high is the rank, low the stretch. What TOGETHER bytes of texts settle by themselves leaves them as
+    spans; a rank that several of their documents hold leaves them as one witness, and its rows trade high and low, so
+    that a string that a third of the corpus holds gives one row for all of them."""
+    worker_of("suffixes")
     for b in batches:
         data, at = texts(b.column("text"))
-        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-        lists = b.column("places")
-        flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        ends = np.append(0, np.cumsum(size))
-        for i, j in slices(at, 1 << 20):
-            off = np.asarray(at[i : j + 1], np.int64)
-            hashes = ByteHashes(data[off[0] : off[-1]])
-            off = off - off[0]
-            checks = _checks(hashes, off)
-            row = np.repeat(np.arange(j - i), size[i:j])
-            lo, count, check, _ = _unpack(flat[ends[i] : ends[j]])
-            fit = check == checks[row]
-            row, lo, count = row[fit], lo[fit], count[fit] + 1
-            each = np.repeat(np.arange(len(row)), count)
-            start = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            row = row[each]
-            at0 = off[row] + start
-            half = LENGTH // 2
-            first, second = hashes.of(at0, at0 + half), hashes.of(at0 + half, at0 + LENGTH)
-            own, check = ids[i:j][row], checks[row]
-            order, _, least = _least_by(first, second, doc=own)
-            own, check, start, first, second = (x[order] for x in (own, check, start, first, second))
-            settled = own > least
-            keep = ~settled
-            yield _batch([first[keep], second[keep], own[keep], _pack(start, 0 * start, check, SINGLE)[keep]], ROUND3)
-            if settled.any():
-                d, c, s, e = _merge(own[settled], check[settled], start[settled], start[settled] + LENGTH)
-                yield _batch([mix(d.astype(np.uint64) + s.astype(np.uint64)), e, d, _pack(s, 0 * s, c, SETTLED)], ROUND3)
-
-
-SPANS = "doc_id long, check long, start long, end long"
-
-
-def _rerank3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, _ in sorted_groups(batches, ["high"], 1 << 17):
-        high, low, doc, place = (t.column(c).combine_chunks().to_numpy() for c in ("high", "low", "doc_id", "place"))
-        start, _, check, kind = _unpack(place)
-        ready = kind == SETTLED
-        spans = [(doc[ready], check[ready], start[ready], low[ready])]
-        high, low, doc, start, check = (x[~ready] for x in (high, low, doc, start, check))
-        order, _, least = _least_by(high, low, doc=doc)
-        doc, start, check = doc[order], start[order], check[order]
-        later = doc > least
-        spans.append((doc[later], check[later], start[later], start[later] + LENGTH))
-        yield _batch(list(_merge(*(np.concatenate(x) for x in zip(*spans, strict=True)))), SPANS)
+        at = np.asarray(at, np.int64)
+        ids, checks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "check"))
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in _pieces(data, at):
+            held.append(part)
+            if sum(len(p[0]) for p in held) >= TOGETHER // 16:
+                yield from _rows1(held, ids, checks)
+                held = []
+        if held:
+            yield from _rows1(held, ids, checks)
+
+
+def _rows1(held: list[tuple[np.ndarray, ...]], ids: np.ndarray, checks: np.ndarray) -> Batches:
+    row, lo, count, back, seed, name = (np.concatenate(c) for c in zip(*held, strict=True))
+    if not len(row):
+        return
+    doc = ids[row]
+    order, _, least = _grouped(seed, name, doc=doc)
+    row, doc, lo, count, back, seed, name = (x[order] for x in (row, doc, lo, count, back, seed, name))
+    check = checks[row]
+    settled = doc > least
+    new = np.append(True, seed[1:] != seed[:-1])
+    many = _shared(seed, doc, new)
+    first = ~settled
+    place = _pack(lo, back, count, check, np.where(many, SHARED, SINGLE))
+    yield _batch([np.where(many, name, seed)[first], np.where(many, seed, name)[first], doc[first], place[first]], ROWS)
+    w = np.flatnonzero(new & many)
+    if len(w):
+        yield _batch([seed[w], seed[w], doc[w], np.full(len(w), WITNESS)], ROWS)
+    if settled.any():
+        yield _settled_rows(doc[settled], check[settled], lo[settled], lo[settled] + count[settled] - 1 + LENGTH)
+
+
+def _pairs(length: int) -> Callable[[Batches], Batches]:
+    """Rank pairs of the listed places of each text. Before the last round a rank that several documents of a batch hold
+    is sent as one witness, and its rows are spread out, as in round 1; in the last round a batch settles its own."""
+
+    def run(batches: Batches) -> Batches:
+        worker_of("suffixes")
+        for b in batches:
+            data, at = texts(b.column("text"))
+            at = np.asarray(at, np.int64)
+            ids, checks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "check"))
+            lists = b.column("places")
+            flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(len(ids)), size)
+            step = 1 << 15
+            for s in range(0, len(flat), step):
+                row = of[s : s + step]
+                lo, back, count, check = _unpack(flat[s : s + step])
+                fit = check == checks[row]
+                row, lo, back, count = row[fit], lo[fit], back[fit], count[fit]
+                if length < LENGTH:
+                    # Runs of the offsets 0-10, 11-21 and 22-30 from the sampled position; x: where their common bytes begin.
+                    least, most = back - count + 1, back
+                    n = most // RUN - least // RUN + 1
+                    each = np.repeat(np.arange(len(row)), n)
+                    k = (least // RUN)[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    anchor, low, high = (lo + back)[each], np.maximum(least[each], RUN * k), np.minimum(most[each], RUN * k + RUN - 1)
+                    x, start, count = anchor - RUN * k, anchor - high, high - low + 1
+                else:
+                    each = np.repeat(np.arange(len(row)), count)
+                    start = x = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                    count = 1
+                if len(each):
+                    row = row[each]
+                    first, second = rank_pairs(data, at[row] + x, length)
+                    yield from _rows(length, first, second, ids[row], checks[row], start, count)
+
+    return run
+
+
+def _rows(length: int, first: np.ndarray, second: np.ndarray, doc: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray | int) -> Batches:
+    order, new, least = _grouped(first, second, doc=doc)
+    count = np.broadcast_to(count, len(doc))
+    first, second, doc, check, start, count = (x[order] for x in (first, second, doc, check, start, count))
+    if length < LENGTH:
+        many = _shared(first, doc, new)
+        spread = mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64))
+        yield _batch([np.where(many, spread, first), second, doc, _pack(start, 0, count, check, np.where(many, SHARED, SINGLE))], ROWS)
+        w = np.flatnonzero(new & many)
+        if len(w):
+            yield _batch([first[w], second[w], doc[w], np.full(len(w), WITNESS)], ROWS)
+    else:
+        settled = doc > least
+        keep = ~settled
+        yield _batch([first[keep], second[keep], doc[keep], _pack(start, 0, count, check, SINGLE)[keep]], ROWS)
+        if settled.any():
+            yield _settled_rows(doc[settled], check[settled], start[settled], start[settled] + LENGTH)
+
+
+def _in_order(batches: Batches, keys: list[str], wait: bool) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows sorted by the keys and doc_id, a batch at a time, with the smallest document of each row's group and whether
+    several hold it. Groups may be of any size: only where `wait` is set do rows wait, and only while all rows of their
+    group are of one document."""
+    last: tuple = ()
+    least, many = np.int64(0), False
+    held: list[pa.RecordBatch] = []
+    for b in _then_none(batches):
+        if b is not None and not b.num_rows:
+            continue
+        parts = [*held, *([b] if b is not None else [])]
+        held = []
+        if not parts:
+            continue
+        t = pa.Table.from_batches(parts).combine_chunks()
+        c = {x: t.column(x).combine_chunks().to_numpy() for x in t.column_names}
+        doc, kind = c["doc_id"], c["place"] & 3
+        new = np.zeros(len(doc), bool)
+        new[0] = last != tuple(c[k][0] for k in keys)
+        for k in keys:
+            new[1:] |= c[k][1:] != c[k][:-1]
+        group = np.cumsum(new)
+        smallest = np.append(least, doc[new])[group]
+        several = np.bincount(group, (doc != smallest) | (kind == WITNESS), group[-1] + 1) > 0
+        several[0] |= many
+        stop = len(doc)
+        if wait and b is not None and not several[-1]:
+            stop = int(np.searchsorted(group, group[-1]))
+            held = t.slice(stop).combine_chunks().to_batches()
+            if group[-1] > 0:
+                last, many = (), False
+        else:
+            last, least, many = tuple(c[k][-1] for k in keys), smallest[-1], bool(several[-1])
+        if stop:
+            yield {k: v[:stop] for k, v in c.items()}, smallest[:stop], several[group[:stop]]
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, check, start, end: byte spans of `docs` (doc_id, text; other columns are ignored) covered by a 50-byte
-    string that a document of smaller doc_id holds too. Spans of a document may overlap or touch.
+def _then_none(batches: Batches) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-    Strings are judged on the input. Rows without doc_id or text take no part; rows that share a doc_id do not cover each
-    other; texts under 50 bytes have no spans; an empty table gives no rows.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")
-    rows = base.mapInArrow(_round1, ROUND1).repartition("rank").sortWithinPartitions("rank")
-    ranked = cut(rows.mapInArrow(_rerank1, "seed long, name long, doc_id long, place long"), "suffix-round1")
-    kind = F.col("place").bitwiseAND(F.lit(3))
-    lo, count, check = F.shiftright("place", 22), F.shiftright("place", 16).bitwiseAND(F.lit(63)), F.shiftright("place", 2).bitwiseAND(F.lit(0x3FFF))
-    open_rows = ranked.filter(kind != SETTLED)
-    names = cut(open_rows.groupBy("seed", "name").agg(F.min("doc_id").alias("first")), "suffix-names")
-    several = names.groupBy("seed").agg(F.count("*").alias("stretches"))
-    judged = cut(open_rows.join(names.join(several, "seed"), ["seed", "name"]).select("doc_id", "place", (F.col("doc_id") > F.col("first")).alias("settled"), (F.col("stretches") > 1).alias("open")), "suffix-round2")
-    spans = ranked.filter(kind == SETTLED).select("doc_id", check.alias("check"), lo.alias("start"), F.col("seed").alias("end"))
-    spans = cut(_merged(spans.unionByName(judged.filter("settled").select("doc_id", check.alias("check"), lo.alias("start"), (lo + count + LENGTH).alias("end")))), "suffix-settled")
-    lists = cut(judged.filter("not settled and open").groupBy("doc_id").agg(F.collect_list("place").alias("places")), "suffix-open")
-    discard(ranked, names, judged)
-    pairs = base.join(lists, "doc_id").select("doc_id", "text", "places").mapInArrow(_round3, ROUND3)
-    last = cut(pairs.repartition("high").sortWithinPartitions("high").mapInArrow(_rerank3, SPANS), "suffix-round3")
-    return spans.unionByName(last)
+
+def _drop_unique(keys: list[str]) -> Callable[[Batches], Batches]:
+    """Leaves out the ranks that one document alone holds. Rows that traded high and low in round 1 get them back."""
+
+    def run(batches: Batches) -> Batches:
+        worker_of("suffixes")
+        for c, _, several in _in_order(batches, keys, True):
+            kind = c["place"] & 3
+            keep = (kind == SHARED) | (kind == SETTLED) | ((kind == SINGLE) & several)
+            traded = (kind == SHARED)[keep]
+            high, low = c["high"][keep], c["low"][keep]
+            yield _batch([np.where(traded, low, high), np.where(traded, high, low), c["doc_id"][keep], c["place"][keep]], ROWS)
+
+    return run
 
 
-def _merged(spans: DataFrame) -> DataFrame:
-    """The spans of each document united, as far as they lie in one batch."""
+JUDGED = "doc_id long, place long, end long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in sorted_groups(batches, ["doc_id"], 1 << 17):
-            yield _batch(list(_merge(*(t.column(c).combine_chunks().to_numpy() for c in ("doc_id", "check", "start", "end")))), SPANS)
 
-    return spans.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SPANS)
+def _settle(length: int | None) -> Callable[[Batches], Batches]:
+    """Rows whose rank an earlier document holds become settled spans; others stay open before the last round, and go in it."""
 
+    def run(batches: Batches) -> Batches:
+        worker_of("suffixes")
+        for c, least, _ in _in_order(batches, ["high", "low"], False):
+            doc, place = c["doc_id"], c["place"]
+            lo, _, count, check = _unpack(place)
+            ready = (place & 3) == SETTLED
+            later = ~ready & (doc > least)
+            gone = ready | later
+            end = np.where(ready, c["low"], lo + count - 1 + LENGTH)
+            d, k, s, e = _merge(doc[gone], check[gone], lo[gone], end[gone])
+            yield _batch([d, _pack(s, 0, 1, k, SETTLED), e], JUDGED)
+            if length is None:
+                yield _batch([doc[~gone], place[~gone], end[~gone]], JUDGED)
 
-def _with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("check", "start", "end")).alias("_spans"))
-    spans = cut(spans, "suffix-spans")
-    return docs.select(*columns).join(spans, docs["doc_id"].cast("long") == spans["_id"], "left").drop("_id")
+    return run
 
 
-def _removed(data: bytes, spans: list[dict] | None, whole_characters: bool = False) -> list[tuple[int, int]]:
-    """Disjoint removed spans of one text, in order."""
+def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(CHECK)).alias("check"), text.alias("text")).filter("doc_id is not null and text is not null")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, spans: of each document that has any, the disjoint byte spans covered by a 50-byte string that a document of
+    smaller doc_id holds too, as int64 triples (check, start, end) in order.
+
+    `docs` has doc_id and text; other columns are ignored. Strings are judged on the input. Rows without doc_id or text
+    take no part; rows that share a doc_id do not cover each other and are told apart by `check`, 19 bits of a hash of the
+    text; texts under 50 bytes have no spans; an empty table gives no rows.
+    """
+    base = _base(docs)
+    kind = F.col("place").bitwiseAND(F.lit(3))
+    rows = cut(_sorted(base.mapInArrow(_round1, ROWS), "high").mapInArrow(_drop_unique(["high"]), ROWS), "suffix-round1")
+    judged = cut(_sorted(rows, "high", "low").mapInArrow(_settle(None), JUDGED), "suffix-round2")
+    discard(rows)
+    open_places, settled = judged.filter(kind != SETTLED), judged.filter(kind == SETTLED)
+    for number, length in enumerate(LENGTHS[1:], 3):
+        lists = open_places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+        rows = base.join(lists.hint("merge"), "doc_id").select("doc_id", "check", "text", "places").mapInArrow(_pairs(length), ROWS)
+        if length < LENGTH:
+            open_places = cut(_sorted(rows, "high", "low").mapInArrow(_drop_unique(["high", "low"]), ROWS), f"suffix-round{number}")
+        else:
+            last = cut(_sorted(rows, "high", "low").mapInArrow(_settle(length), JUDGED), f"suffix-round{number}")
+            discard(open_places)
+            settled = settled.unionByName(last)
+
+    def united(batches: Batches) -> Batches:
+        worker_of("suffixes")
+        for t, starts in sorted_groups(batches, ["doc_id"], 1 << 17):
+            doc, place, end = (t.column(c).combine_chunks().to_numpy() for c in ("doc_id", "place", "end"))
+            lo, _, _, check = _unpack(place)
+            doc, check, start, end = _merge(doc, check, lo, end)
+            heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            raw = np.stack([check, start, end], 1).astype("<i8").tobytes()
+            ends = np.append(heads[1:], len(doc)) * 24
+            yield pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.array([raw[s:e] for s, e in zip((heads * 24).tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "spans"])
+
+    out = cut(settled.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(united, "doc_id long, spans binary"), "suffix-spans")
+    discard(judged, last)
+    return out
+
+
+def _with_spans(docs: DataFrame, id_col: str, check: str, spans: str) -> DataFrame:
+    """`docs` with the check of its text and its spans, in columns of the given names."""
+    found = repeated_spans(docs).select(F.col("doc_id").alias(id_col), F.col("spans").alias(spans))
+    own = docs.withColumn(check, F.xxhash64(F.col("text").cast("binary")).bitwiseAND(F.lit(CHECK)))
+    return own.join(found.hint("merge"), own["doc_id"].cast("long") == found[id_col], "left").drop(found[id_col])
+
+
+def _removed(data: bytes, spans: bytes | None, check: int, whole_characters: bool = False) -> list[tuple[int, int]]:
+    """Removed spans of one text, in order."""
     if not spans:
         return []
-    raw = np.frombuffer(data, np.uint8)
-    check = int(_checks(ByteHashes(raw), np.array([0, len(raw)]))[0])
-    own = sorted((s["start"], s["end"]) for s in spans if s["check"] == check)
-    out: list[tuple[int, int]] = []
-    for s, e in own:
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
+    triples = np.frombuffer(spans, "<i8").reshape(-1, 3)
+    out = [(s, e) for s, e in triples[triples[:, 0] == check, 1:].tolist()]
     if whole_characters:
         inner = lambda p: p < len(data) and data[p] & 0xC0 == 0x80
         fixed = []
@@ -294,47 +435,52 @@ def _kept(data: bytes, removed: list[tuple[int, int]]) -> bytes:
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; a null text counts as empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
+        worker_of("suffixes")
         for b in batches:
             out = []
-            for text, spans in zip(b.column("text"), b.column("_spans"), strict=True):
+            for text, check, spans in zip(b.column("text"), b.column("check").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = text.as_py() or b""
-                gone = _removed(data, spans.as_py())
+                gone = _removed(data, spans, check)
                 out.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest()))
             if out:
                 n, r, k, h = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, r, k)), pa.array(h)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), ["doc_id", "text"])
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), "_id", "check", "spans")
+    return rows.select("doc_id", "text", "check", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with the repeated bytes cut out of its text, and n_chars, if there, counted anew. A character goes only if
-    all its bytes do. Rows whose whole text was a repeat are left out; other columns stay."""
+    all its bytes do. Rows whose whole text was a repeat are left out; other columns stay, whatever their names."""
     names = docs.columns
     where = names.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
+        worker_of("suffixes")
         for b in batches:
             text, keep = [], []
-            for t, spans in zip(b.column(where), b.column(len(names)), strict=True):
+            for t, check, spans in zip(b.column(where), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 data = t.as_py()
-                if data is not None and spans.is_valid:
+                if data is not None and spans is not None:
                     raw = data.encode("utf-8", "surrogatepass")
-                    data = _kept(raw, _removed(raw, spans.as_py(), True)).decode("utf-8", "replace") or None
+                    gone = _removed(raw, spans, check, True)
+                    if gone:
+                        data = _kept(raw, gone).decode("utf-8", "replace") or None
                     keep.append(data is not None)
                 else:
                     keep.append(True)
                 text.append(data)
-            columns = [c for k, c in enumerate(b.columns[:-1])]
+            columns = list(b.columns[: len(names)])
             columns[where] = pa.array(text, pa.string())
             if "n_chars" in names:
                 k = names.index("n_chars")
                 columns[k] = pa.array([None if t is None else len(t) for t in text], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return _with_spans(docs, names).mapInArrow(run, docs.schema)
+    own = unused(docs, "_id", "_check", "_spans")
+    return _with_spans(docs, *own).select(*names, *own[1:]).mapInArrow(run, docs.schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
