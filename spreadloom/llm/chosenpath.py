@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import block_pairs, components, cut, local_roots, sorted_groups, table
+from spreadloom.llm.common import block_pairs, components, cut, discard, local_roots, sorted_groups, table, worker_of
 from spreadloom.llm.shingles import MinHash, set_names, shingle_sets
 from spreadloom.llm.tokens import slices, texts
 
@@ -19,39 +19,42 @@ WIDTH, DEPTH, CHILDREN = 64, 4, 2
 
 
 def signatures(docs: DataFrame, k: int, row: str | None = None) -> DataFrame:
-    """row (that column, or a number), doc_id, cid (name of the shingle set, null without words), size, sig (array of
-    WIDTH sampled tokens). Numbers given here hold only once the rows are written."""
+    """row (that column, or a number), doc_id, name and check (of the shingle set, null without words), size, sig (array
+    of WIDTH sampled tokens). Numbers given here hold only once the rows are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("jaccard join")
         hashes = MinHash(WIDTH)
         for b in batches:
             data, at = texts(b.column("text"))
             for i, j in slices(at, 1 << 20):
                 sets, counts = shingle_sets(data, at[i : j + 1], k)
                 sig = hashes.of(sets, counts).view(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(set_names(sets, counts), mask=counts == 0), pa.array(counts), pa.ListArray.from_arrays(np.arange(0, (j - i + 1) * WIDTH, WIDTH, dtype=np.int32), pa.array(sig.ravel()))], names=["row", "doc_id", "cid", "size", "sig"])
+                names = [pa.array(x, mask=counts == 0) for x in set_names(sets, counts)]
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), b.column("doc_id").slice(i, j - i), *names, pa.array(counts), pa.ListArray.from_arrays(np.arange(0, (j - i + 1) * WIDTH, WIDTH, dtype=np.int32), pa.array(sig.ravel()))], names=["row", "doc_id", "name", "check", "size", "sig"])
 
     number = F.col(row) if row else F.monotonically_increasing_id()
-    return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, cid long, size long, sig array<int>")
+    return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, name long, check long, size long, sig array<int>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """cid, tokens (the set, sorted, 64-bit little-endian) of each row."""
+    """name, check, tokens (the set, sorted, 64-bit little-endian) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("jaccard join")
         for b in batches:
             data, at = texts(b.column("text"))
             for i, j in slices(at, 1 << 20):
                 sets, counts = shingle_sets(data, at[i : j + 1], k)
                 raw, ends = sets.tobytes(), (8 * np.cumsum(counts)).tolist()
                 parts = [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(sets, counts)), pa.array(parts, pa.binary())], names=["cid", "tokens"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, set_names(sets, counts)), pa.array(parts, pa.binary())], names=["name", "check", "tokens"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cid long, tokens binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "name long, check long, tokens binary")
 
 
 def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
-    """key, cid: the buckets that are left to brute force, of two classes or more.
+    """key, cid: the buckets that are left to brute force, of two classes or more, written out.
 
     Each run splits all sets on one sampled token. A bucket of more than `most` sets is split again on CHILDREN tokens
     chosen by its path (1 / threshold would do on average; two keep a pair together more surely), DEPTH times at most.
@@ -61,9 +64,10 @@ def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
     sigs = classes.select("cid", "sig")
     token = F.element_at("sig", (F.col("coord") + 1).cast("int"))
     nodes = sigs.withColumn("coord", F.explode(F.array(*[F.lit(r) for r in range(runs)]))).select("cid", F.xxhash64(F.col("coord"), token).alias("key"))
-    out = []
+    out, spent = [], []
     for depth in range(DEPTH + 1):
         nodes = cut(nodes, f"path-level{depth}")
+        spent.append(nodes)
         sizes = nodes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         sized = nodes.join(sizes, "key")
         if depth == DEPTH:
@@ -73,6 +77,7 @@ def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
         large = sized.filter(F.col("n") > most)
         split = large.withColumn("child", F.explode(F.array(*[F.lit(c) for c in range(CHILDREN)]))).withColumn("coord", F.pmod(F.xxhash64("key", "child"), F.lit(WIDTH)))
         split = cut(split.join(sigs, "cid").select("cid", F.col("key").alias("parent"), "n", F.xxhash64("key", "child", token).alias("key")), f"path-split{depth}")
+        spent.append(split)
         if split.isEmpty():
             break
         shares = split.groupBy("parent", "key", "n").agg(F.count("*").alias("m")).groupBy("parent").agg(F.max(F.col("m") / F.col("n")).alias("share"))
@@ -82,6 +87,8 @@ def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
     found = out[0]
     for o in out[1:]:
         found = found.unionByName(o)
+    found = cut(found.distinct(), "join-buckets")
+    discard(*spent)
     return found
 
 
@@ -106,33 +113,35 @@ def _candidates(sig: np.ndarray, size: np.ndarray, keys: list[np.ndarray], block
         low = [k[k < key] for k in keys]
         names, which = np.unique(np.concatenate(low), return_inverse=True)
         if len(names):
-            has = np.zeros((n, len(names)), np.float32)
-            has[np.repeat(np.arange(n), [len(x) for x in low]), which] = 1
-            shared = has[:, has.sum(0) > 1]
-            first = (shared @ shared.T)[i, j] == 0
+            row = np.repeat(np.arange(n), [len(x) for x in low])
+            first = _common(row, which, n, (i, j)) == 0
             i, j = i[first], j[first]
     return i, j
 
 
+def _common(row: np.ndarray, col: np.ndarray, n: int, at: tuple[np.ndarray, np.ndarray], step: int = 1 << 13) -> np.ndarray:
+    """How many columns the rows of each pair have in common, of the cells (row, col), in slices of the columns."""
+    count = np.bincount(col)
+    keep = count[col] > 1  # a column of one row only is in no intersection
+    name = np.cumsum(count > 1) - 1
+    row, col = row[keep], name[col[keep]]
+    total = np.zeros(len(at[0]), np.int64)
+    for c in range(0, int(name[-1]) + 1 if len(name) else 0, step):
+        inside = (col >= c) & (col < c + step)
+        has = np.zeros((n, int(min(step, name[-1] + 1 - c))), np.float32)
+        has[row[inside], col[inside] - c] = 1
+        total += (has @ has.T)[at].astype(np.int64)
+    return total
+
+
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact sizes of the intersections of the pairs (i, j)."""
     if len(i) <= 4:
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
     need = np.unique(np.concatenate([i, j]))
-    at = np.searchsorted(need, i), np.searchsorted(need, j)
-    _, which, count = np.unique(np.concatenate([sets[k] for k in need]), return_inverse=True, return_counts=True)
+    which = np.unique(np.concatenate([sets[k] for k in need]), return_inverse=True)[1]
     row = np.repeat(np.arange(len(need)), [len(sets[k]) for k in need])
-    keep = count[which] > 1  # a token of one set only is in no intersection
-    name = np.cumsum(count > 1) - 1
-    row, col = row[keep], name[which[keep]]
-    total = np.zeros(len(i), np.int64)
-    width, step = int(name[-1]) + 1, 1 << 14
-    for c in range(0, width, step):
-        inside = (col >= c) & (col < c + step)
-        has = np.zeros((len(need), min(step, width - c)), np.float32)
-        has[row[inside], col[inside] - c] = 1
-        total += (has @ has.T)[at].astype(np.int64)
-    return total
+    return _common(row, which, len(need), (np.searchsorted(need, i), np.searchsorted(need, j)))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float = 0.99999, most: int = 512, row: str | None = None) -> DataFrame:
@@ -141,28 +150,31 @@ def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float
 
     n_links: other documents whose sets of k-word shingles have Jaccard similarity `least` or more with its own.
     class_id: the smallest doc_id that links reach; kept: true of one row that has it, for each group of linked rows.
-    Texts with equal sets are one class throughout. Candidates are verified on whole sets, so every link is right; a pair at the threshold is lost with
-    probability 1 - `recall` at most, more similar ones far less often.
+    Texts with equal sets (told by two 64-bit names) are one class throughout, which goes by a number of its own. Candidates
+    are verified on whole sets, so every link is right. Runs choose among WIDTH shared samples, so they are independent only
+    as far as those are; a pair at the threshold is lost with a probability of about 1 - `recall`, more similar ones far
+    less often, and tests hold all pairs just above the threshold against brute force.
 
     Null and wordless texts, and rows with a null doc_id, link with nothing and are kept. Rows that repeat a doc_id count
     as documents of their own, linked by their texts alone. An empty table gives no rows.
     """
     rows = cut(signatures(docs, k, row), "join-signatures")
-    usable = rows.filter("cid is not null and doc_id is not null")
-    classes = usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"))
-    classes = cut(classes, "join-classes")
+    usable = rows.filter("name is not null and doc_id is not null")
+    classes = usable.groupBy("name", "check").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
     stay = least * (1 - (1 - least) ** CHILDREN) ** DEPTH  # least chance that a run keeps a pair at the threshold together
     runs = math.ceil(math.log(1 - recall) / math.log(1 - stay))
-    buckets = cut(leaves(classes, runs, most), "join-buckets")
+    buckets = leaves(classes, runs, most)
     own_keys = buckets.groupBy("cid").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    info = classes.drop("first").join(own_keys, "cid")
-    dealt = block_pairs(buckets.distinct().join(info, "cid"), "key", "cid", most)
+    info = classes.select("cid", "rep", "n", "size", "sig").join(own_keys, "cid")
+    dealt = block_pairs(buckets, "key", "cid", most).join(info, "cid")
     order = ["key", "b1", "b2"]
     columns = [*order, "_b", "cid", "rep", "n", "size", "sig", "keys"]
     dealt = dealt.repartition(*order).sortWithinPartitions(*order).select(*columns)
 
     def groups(batches: Iterator[pa.RecordBatch]):
         """For each bucket: its slice of the columns and its candidate pairs."""
+        worker_of("jaccard join")
         for t, starts in sorted_groups(batches, order):
             c = {x: t.column(x).combine_chunks().to_numpy() for x in (*order, "_b", "cid", "rep", "n", "size")}
             sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
@@ -185,7 +197,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float
     members = cut(dealt.mapInArrow(needed, schema), "join-members")
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     sources = docs.join(wanted, docs["doc_id"].cast("long") == wanted["_rep"], "left_semi")
-    sets = _sets(sources, k).join(members.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.any_value("tokens").alias("tokens"))
+    named = members.select("cid").distinct().join(classes.select("cid", "name", "check"), "cid")
+    sets = _sets(sources, k).join(named, ["name", "check"]).groupBy("cid").agg(F.any_value("tokens").alias("tokens"))
     ready = members.join(sets, "cid").repartition(*order).sortWithinPartitions(*order).select(*columns, "tokens")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +215,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, recall: float
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["cid"][s + own], links[own], c["cid"][s + root[own]])], names=["cid", "links", "root"])
 
     found = cut(ready.mapInArrow(linked, "cid long, links long, root long"), "join-links")
+    discard(members, buckets)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "join")
-    known = classes.select("cid", "first", "n").join(links, "cid", "left").join(joined, F.col("cid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid"))
+    known = classes.select("cid", "name", "check", "first", "n").join(links, "cid", "left").join(joined, F.col("cid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid"))
     heads = known.groupBy(F.col("component").alias("id")).agg(F.min("first").alias("head"))
     known = known.drop("id").join(heads, F.col("component") == F.col("id"))
-    known = known.select(F.col("cid").alias("_cid"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "head")
-    out = rows.select("row", "doc_id", "cid").join(known, (F.col("cid") == F.col("_cid")) & F.col("doc_id").isNotNull(), "left")
+    known = known.select(F.col("name").alias("_name"), F.col("check").alias("_check"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "head")
+    out = rows.select("row", "doc_id", "name", "check").join(known, (F.col("name") == F.col("_name")) & (F.col("check") == F.col("_check")) & F.col("doc_id").isNotNull(), "left")
     columns = ["doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept")]
     return out.select(*columns, *([F.col("row").alias(row)] if row else []))
 

@@ -77,59 +77,62 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     sources = cut(sources.coalesce(1), "mix-sources")
     count = base.agg(F.count("*").alias("_n"))
     documents = sized(base.crossJoin(F.broadcast(count))).select("doc_id", "source", "key", "size", "start", "h")
-    # A source's slots come in runs, so that a source with a third of them is dealt over many tasks.
-    runs = sources.filter("n_slots > 0").select("*", F.explode(F.expr("sequence(0, (n_slots - 1) div 4096)")).alias("run")).repartition("key", "run")
+    # A source's slots come in runs, so that a source with a third of them is dealt over many tasks; their number follows
+    # that of the slots, since the few rows here do not tell how many they become.
+    total = sources.agg(F.max("all_slots")).first()[0] or 0
+    runs = sources.filter("n_slots > 0").select("*", F.explode(F.expr("sequence(0, (n_slots - 1) div 4096)")).alias("run")).repartition(min(20_000, total // 32_768 + 1), "key", "run")
     slots = runs.select("key", "n_blocks", "slot_base", "all_slots", F.explode(F.expr("sequence(run * 4096, least(n_slots, (run + 1) * 4096) - 1)")).alias("k"))
     place = permuted(F.col("slot_base") + F.col("k"), F.col("all_slots"), F.lit(seed))
     block = permuted(F.expr("k % n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("key"), F.expr("k div n_blocks"))
-    slots = slots.select("key", place.alias("at"), block.alias("block")).select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"), "key", "block")
+    slots = slots.select("key", place.alias("at"), block.alias("block"))
+    slots = slots.select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"), "key", "block")
     return {"sources": sources, "documents": documents, "blocks": document_blocks(documents, block_words), "slots": slots, "counts": slots.groupBy("shard", "key").agg(F.count("*").alias("slots"))}
 
 
 def document_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and block that it reaches into: key, block, doc_id, h, words (the overlap)."""
+    """One row per document and block that it reaches into: key, block, doc_id, h, start, size, words (the overlap)."""
     d = documents.filter("size > 0").select("doc_id", "key", "h", "start", "size", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")).alias("block"))
     words = F.expr(f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})")
-    return d.select("key", "block", "doc_id", "h", "start", words.alias("words"))
+    return d.select("key", "block", "doc_id", "h", "start", "size", words.alias("words"))
+
+
+def _uses(plan: dict[str, DataFrame]) -> DataFrame:
+    """How often each block is taken. It grows with the corpus, so it is merged, never broadcast."""
+    return plan["slots"].groupBy("key", "block").agg(F.count("*").alias("uses")).hint("merge")
 
 
 def taken(plan: dict[str, DataFrame]) -> DataFrame:
     """Words that the mix takes of each document: doc_id, size, source_size, target, taken."""
-    uses = plan["slots"].groupBy("key", "block").agg(F.count("*").alias("uses"))
-    took = plan["blocks"].join(uses, ["key", "block"]).groupBy("doc_id", "key", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    d = plan["documents"].alias("d")
-    t = took.alias("t")
-    joined = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.key") == F.col("t.key")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0), "left")
-    joined = joined.select("d.doc_id", "d.size", "d.key", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+    held = plan["blocks"].join(_uses(plan), ["key", "block"], "left")
+    # A document with words has its place on the axis to itself; those without have none and take nothing.
+    took = held.groupBy("doc_id", "key", "start", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken")).drop("start")
+    none = plan["documents"].filter("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken"))
     s = plan["sources"].select("key", "source_size", "target")  # one row per source
-    return joined.join(s, "key").select("doc_id", "size", "source_size", "target", "taken")
+    return took.unionByName(none).join(s, "key").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix as documents with the input's own columns: the c-th copy of a document holds its words in blocks taken c
-    times or more (c = 1..3). A copy that keeps all words keeps its text as it is, else the words are joined by spaces.
-    n_chars follows the text. Rows without words are never taken."""
+    """The mix as documents with the input's own columns, whatever their names: the c-th copy of a document holds its words
+    in blocks taken c times or more (c = 1..3). A copy that keeps all words keeps its text as it is, else the words are
+    joined by spaces. n_chars follows the text. Rows without words are never taken."""
     plan = mix_plan(docs, block_words)
-    uses = plan["slots"].groupBy("key", "block").agg(F.count("*").alias("uses"))
-    held = plan["blocks"].join(uses, ["key", "block"])
-    per_doc = held.groupBy("key", "doc_id", "h", "start").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("_uses"), F.sum("words").alias("_held"))
-    per_doc = per_doc.dropDuplicates(["key", "doc_id", "h", "start"]).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("start").alias("_start"), "_uses")
-    h = F.xxhash64("doc_id", F.xxhash64("text"))
-    key = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    held = plan["blocks"].join(_uses(plan), ["key", "block"])
+    per_doc = held.groupBy("key", "doc_id", "h", "start").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("uses"))
     # Wholly equal rows share a hash; each takes its own place on the axis.
-    copies = Window.partitionBy("_id", "_h").orderBy("_start")
-    per_doc = per_doc.withColumn("_nth", F.row_number().over(copies))
-    rows = docs.withColumn("_hh", h).withColumn("_kk", key).withColumn("_mine", F.row_number().over(Window.partitionBy("doc_id", "_hh").orderBy(F.lit(1))))
-    j = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["_id"]) & (rows["_hh"] == per_doc["_h"]) & (rows["_mine"] == per_doc["_nth"]))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    j = j.withColumn("_words", words).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.map_values("_uses")))))
-    chosen = F.filter("_words", lambda w, i: F.coalesce(F.element_at("_uses", F.floor((F.col("_start") + i) / block_words).cast("long")), F.lit(0)) >= F.col("_copy"))
-    j = j.withColumn("_kept", chosen)
-    text = F.when(F.size("_kept") == F.size("_words"), F.col("text")).otherwise(F.array_join("_kept", " "))
-    j = j.withColumn("text", text)
+    per_doc = per_doc.select("doc_id", "h", "start", "uses", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("key", "start")).alias("nth"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("own_h"), F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).alias("own_key"))
+    rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_h").orderBy("own_key")))
+    j = rows.join(per_doc.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")) & (F.col("own_nth") == F.col("nth")))
+    words = F.regexp_extract_all(F.col("row").getField("text"), F.lit(WORD), F.lit(0))
+    j = j.withColumn("words", words).withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.map_values("uses")))))
+    chosen = F.filter("words", lambda w, i: F.coalesce(F.element_at("uses", F.floor((F.col("start") + i) / block_words).cast("long")), F.lit(0)) >= F.col("copy"))
+    j = j.withColumn("kept", chosen)
+    text = F.when(F.size("kept") == F.size("words"), F.col("row").getField("text")).otherwise(F.array_join("kept", " "))
+    j = j.withColumn("new_text", text)
+    new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return j.select(*docs.columns)
+        new["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+    return j.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,9 +139,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> T
 
 
 def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
-    """The rows of `docs` with score and predicted (1 if score >= 0.3), where they lie. Only the text is looked at; a null
-    text counts as empty. Without labels of both kinds the score is the labels' smoothed mean."""
-    columns = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
+    """The rows of `docs` with score and predicted (1 if score >= 0.3), where they lie; columns of `docs` that have these
+    names, in whatever case, are replaced. Only the text is looked at; a null text counts as empty, rows that repeat are
+    scored alike, an empty table gives no rows. Without labels of both kinds the score is the labels' smoothed mean."""
+    columns = [f for f in docs.schema.fields if f.name.lower() not in ("score", "predicted")]
     names = [f.name for f in columns]
     where = names.index("text")
 

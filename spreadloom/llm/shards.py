@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import cut, running_start, table
+from spreadloom.llm.common import cut, discard, running_start, table, unused
 
 BITS, STRIDE = 60, 15
 
@@ -54,11 +54,14 @@ def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
     """Write the documents as Parquet, a folder per shard and overflow page, each within the byte limit (or one document).
 
     Rows are numbered in a copy before they are placed, so that each goes to its own page though its key repeats; tasks
-    take whole shards, so none is larger than a few of them.
+    take whole shards, so none is larger than a few of them. Folders are named `s` and the prefix bits, so that a reader
+    takes them for text; the folder column is `shard`, with underscores behind it where the documents have such a column.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-documents")
-    placed = extendible_shards(rows, limit, key, text, carry="_row").select("_row", "shard")
-    rows.join(placed, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
+    row, shard = unused(docs, "_row", "shard")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "shard-documents")
+    placed = extendible_shards(rows, limit, key, text, carry=row).select(row, F.concat(F.lit("s"), "shard").alias(shard))
+    rows.join(placed.hint("merge"), row).drop(row).repartition(shard).write.partitionBy(shard).parquet(path)
+    discard(rows)
 
 
 SHARD_BYTES = 1 << 20

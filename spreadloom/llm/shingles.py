@@ -47,11 +47,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), counts
 
 
-def set_names(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each whole set; equal sets have equal names."""
+def set_names(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of each whole set: equal sets have both in common, and unequal ones, even among all
+    pairs of 10**12 sets, hardly ever."""
     end = np.cumsum(counts)
-    total = np.append(np.uint64(0), np.cumsum(mix(sets ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64))
-    return mix((total[end] - total[end - counts]) * np.uint64(3) + counts.astype(np.uint64)).view(np.int64)
+    out = []
+    for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
+        total = np.append(np.uint64(0), np.cumsum(mix(sets ^ np.uint64(salt)), dtype=np.uint64))
+        out.append(mix((total[end] - total[end - counts]) * np.uint64(3) + counts.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 class MinHash:

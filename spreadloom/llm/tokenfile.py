@@ -121,7 +121,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, n
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Decode the files: doc_id, part, chunk, nth (in the run), n_tokens, ids_crc32, ids (array of int)."""
+    """Decode the files: doc_id, part, chunk (its run), nth (in the run), inside (ids before it in the run), n_tokens,
+    ids_crc32 (of all its ids). read_ids() gives the ids themselves."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

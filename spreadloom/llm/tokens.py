@@ -3,8 +3,9 @@
 Byte-pair merges never cross the pieces a pre-tokenizer cuts, and both public vocabularies cut before a space that
 stands before no other white space. So the ids of a text are the ids of its chunks (a space and what follows it, up to
 the next space), one after another. Texts come as Arrow's byte buffers; numpy finds the chunks and names them by 64-bit
-hashes, and the library encodes each chunk that a worker has not met. A text with white space beside a space, or with a
-special token's string, goes to the library whole.
+hashes, and the library encodes each chunk that a worker has not met. A name only finds a chunk: its bytes are then
+compared with the chunk's that was encoded. A text with two chunks of one name, with white space beside a space, or with
+a special token's string, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -16,18 +17,18 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from spreadloom.llm.common import ByteHashes
+from spreadloom.llm.common import ByteHashes, kept_by_worker, worker_of
 
 MARK = "|"
 
 
 class TextEncoder:
-    """Ids of `encode(text, add_special_tokens=False)`. `keep` bounds the chunks remembered (about 40 bytes each);
-    beyond it they are forgotten and learnt anew."""
+    """Ids of `encode(text, add_special_tokens=False)`. `keep` and `keep_bytes` bound the chunks remembered (about 40 bytes
+    each) and their text; beyond them they are forgotten and learnt anew."""
 
-    def __init__(self, path: str, keep: int = 3_000_000):
+    def __init__(self, path: str, keep: int = 2_500_000, keep_bytes: int = 1 << 26):
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
+        self.keep, self.keep_bytes = keep, keep_bytes
         vocab = self.tokenizer.get_vocab()
         self.spaced = self.tokenizer.normalizer is None  # byte-level: a chunk's first token holds the space before it
         if self.spaced:
@@ -41,8 +42,10 @@ class TextEncoder:
 
     def forget(self) -> None:
         self.names = np.zeros(0, np.uint64)  # sorted
-        self.at, self.len = np.zeros(0, np.int64), np.zeros(0, np.int32)  # in pool; length -1: only right in its text
+        self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int32)  # in pool; length -1: only right in its text
+        self.raw_at, self.raw_len = np.zeros(0, np.int32), np.zeros(0, np.int32)  # in raw
         self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
 
     def plain(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -80,21 +83,21 @@ class TextEncoder:
                 parts[i] = ids[s:t]
         return np.concatenate(parts), length
 
-    def _learn(self, names: np.ndarray, chunks: list[str]) -> None:
-        ids, length = self._ids(chunks)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), self.pool.dtype)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        size = np.maximum(length, 0).astype(np.int64)
-        at = self.used + np.cumsum(size) - size
-        self.used += len(ids)
+    def _learn(self, names: np.ndarray, raw: list[bytes]) -> None:
+        ids, length = self._ids([c.decode("utf-8", "replace") for c in raw])
         where = np.searchsorted(self.names, names)
-        self.names, self.at, self.len = np.insert(self.names, where, names), np.insert(self.at, where, at), np.insert(self.len, where, length)
+        self.names = np.insert(self.names, where, names)
+        raw_len = np.fromiter(map(len, raw), np.int32, len(raw))
+        self.pool, at = _appended(self.pool, self.used, ids, np.maximum(length, 0))
+        self.raw, raw_at = _appended(self.raw, self.raw_used, np.frombuffer(b"".join(raw), np.uint8), raw_len)
+        self.used, self.raw_used = self.used + len(ids), self.raw_used + int(raw_len.sum())
+        for name, new in (("at", at), ("len", length), ("raw_at", raw_at), ("raw_len", raw_len)):
+            setattr(self, name, np.insert(getattr(self, name), where, new))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the texts data[offsets[i]:offsets[i + 1]]: all ids, and the number of each text's ids."""
         n = len(offsets) - 1
-        if len(self.names) > self.keep:
+        if len(self.names) > self.keep or self.raw_used > self.keep_bytes:
             self.forget()
         base, end = int(offsets[0]), int(offsets[-1])
         data, offsets = data[base:end], np.asarray(offsets, np.int64) - base
@@ -103,17 +106,20 @@ class TextEncoder:
         cuts = data == 32
         cuts[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cuts)
-        ends = np.append(starts[1:], len(data))
-        names, first, which = np.unique(ByteHashes(data).of(starts, ends), return_index=True, return_inverse=True)
+        size = np.diff(np.append(starts, len(data)))
+        names, first, which = np.unique(self.named(data, starts, starts + size), return_index=True, return_inverse=True)
+        wrong = ~_same_bytes(data, starts, size, data, starts[first][which], size[first][which])
         at = np.searchsorted(self.names, names)
         new = np.ones(len(names), bool)
         inside = at < len(self.names)
         new[inside] = self.names[at[inside]] != names[inside]
         if new.any():
             raw, f = data.tobytes(), first[new]
-            self._learn(names[new], [raw[s:t].decode("utf-8", "replace") for s, t in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
+            self._learn(names[new], [raw[s : s + z] for s, z in zip(starts[f].tolist(), size[f].tolist(), strict=True)])
             at = np.searchsorted(self.names, names)
-        length, place = self.len[at][which].astype(np.int64), self.at[at][which]
+        wrong |= ~_same_bytes(data, starts[first], size[first], self.raw, self.raw_at[at], self.raw_len[at])[which]
+        length, place = self.len[at][which].astype(np.int64), self.at[at][which].astype(np.int64)
+        length[wrong] = -1
         doc = np.searchsorted(offsets, starts, "right") - 1
         whole = np.unique(doc[length < 0])
         length = np.maximum(length, 0)
@@ -128,6 +134,31 @@ class TextEncoder:
             ids = np.concatenate(parts)
         return ids, counts
 
+    def named(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return ByteHashes(data).of(start, end)
+
+
+def _appended(pool: np.ndarray, used: int, more: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pool with `more` behind its first `used` entries, and where each part of it starts."""
+    if used + len(more) > len(pool):
+        pool = np.concatenate([pool[:used], np.zeros(used + 2 * len(more), pool.dtype)])
+    pool[used : used + len(more)] = more
+    return pool, (used + np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+
+
+def _same_bytes(a: np.ndarray, a_at: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Whether a[a_at:a_at + a_len] equals b[b_at:b_at + b_len], for each place."""
+    out = a_len == b_len
+    size = np.where(out, a_len, 0).astype(np.int64)
+    stop = np.cumsum(size)
+    if len(stop) and stop[-1]:
+        step = np.arange(stop[-1], dtype=np.int32 if stop[-1] < 1 << 31 else np.int64)
+        start = stop - size
+        differ = a[step + np.repeat((a_at - start).astype(step.dtype), size)] != b[step + np.repeat((b_at - start).astype(step.dtype), size)]
+        if differ.any():
+            out[np.unique(np.searchsorted(stop, np.flatnonzero(differ), "right"))] = False
+    return out
+
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow binary or string column; a null is an empty text."""
@@ -141,7 +172,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows [i, j) of about `most` bytes (a longer text alone), so that working memory does not depend on the batch."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -150,11 +181,12 @@ def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = kept_by_worker("encoders", {})
 
 
 def encoder(path: str) -> TextEncoder:
     """One per Python worker: what it has learnt serves all of the worker's tasks."""
+    worker_of(f"tokens of {path}")
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[path] = TextEncoder(path)
