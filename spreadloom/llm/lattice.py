@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import block_pairs, components, cut, local_roots, mix, sorted_groups, table
+from spreadloom.llm.common import block_pairs, components, cut, discard, local_roots, mix, sorted_groups, table, worker_of
 
 
 def e8_roots() -> np.ndarray:
@@ -107,116 +107,163 @@ def tables_needed(blocks: int, least: float, scale: float, probes: int, miss: fl
     return max(1, math.ceil(math.log(miss) / math.log(max(1 - rate, miss))))
 
 
+SKETCH = 128
+
+
+def _sketches(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """(n, 2): the signs of SKETCH random projections."""
+    return np.packbits(x @ axes > 0, axis=1).view(np.uint64)
+
+
+def _unit(flat: np.ndarray, rows: int) -> np.ndarray:
+    x = flat.reshape(rows, -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.95, scale: float = 1.5, probes: int = 4, miss: float = 1e-3, most: int = 512, blocks: int | None = None) -> DataFrame:
     """Per row of `vectors` (vec_id, embedding; other columns are ignored): vec_id, n_links, component_id, kept.
 
-    Equal vectors are one class, hashed once. Classes meet where one's home key is the other's home or probe key in some
-    table; each meeting pair is verified by its cosine in double precision and counted at its first meeting only. Large
-    cells are cut into block pairs; tasks give sums and stars of links, never pairs. The number of E8 points in a key grows
-    with the logarithm of the number of vectors so that cells stay small (unless `blocks` gives it), and the number of
-    tables with it, so that a pair at the threshold is missed with probability `miss` at most (tables_needed).
+    Equal vectors (told by two 64-bit names) are one class, hashed once. Classes meet where one's home key is the other's
+    home or probe key in some table. What meets first is narrow: a key, a class and a sketch of SKETCH signs, by which
+    members without a possible partner drop out (a pair at the threshold does so once in millions). The others fetch their
+    vectors and meet again: each pair is verified by its cosine in double precision and counted at its first meeting
+    only. Large cells are cut into block pairs; tasks give sums and stars of links, never pairs. The number of E8 points in
+    a key grows with the logarithm of the number of vectors so that cells stay small (unless `blocks` gives it), and the
+    number of tables with it, so that a pair at the threshold is missed with probability `miss` at most (tables_needed).
 
-    Null vectors, zero vectors and those holding null or non-finite components link with nothing: they are kept with 0
-    links. Vectors of different lengths never link. An empty table gives no rows.
+    Null vectors, zero vectors and those holding null or non-finite components, and rows with a null vec_id, link with
+    nothing: they are kept with 0 links. Rows that repeat a vec_id are vectors of their own. Vectors of different lengths
+    never link. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    real = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{real}>").alias("embedding"))
     # Adding 0 makes -0 and 0 equal.
-    e = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))
+    e = F.transform("embedding", lambda x: x + F.lit(0).cast(real))
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = cut(rows.select("vec_id", F.when(fine, e).alias("embedding")).withColumn("cid", F.xxhash64("embedding")), "vectors")
-    classes = rows.filter("embedding is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
-    classes = cut(classes, "vector-classes")
+    rows = rows.select("vec_id", F.when(fine, e).alias("embedding"))
+    rows = cut(rows.withColumns({"name": F.xxhash64("embedding"), "check": F.xxhash64(F.lit(1), "embedding")}), "vectors")
+    classes = rows.filter("embedding is not null").groupBy("name", "check").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     count = classes.count()
     blocks = blocks or max(1, math.ceil(math.log(max(count, 1) / 64) / math.log(3000)))
     tables = tables_needed(blocks, least, scale, probes, miss)
     n_keys = tables * (1 + blocks * probes)
-    at_once = max(1, min(1000, (8 << 20) // (8 * n_keys * n_keys)))  # each key's row carries all keys of its vector
+    turned = math.acos(min(1.0, least)) / math.pi
+    bar = math.floor(SKETCH * turned + 5 * math.sqrt(SKETCH * turned * (1 - turned)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[int, LatticeHash] = {}
+        worker_of("near vectors")
+        hashes: dict[int, tuple[LatticeHash, np.ndarray]] = {}
         for b in batches:
             column = b.column("embedding")
             size = np.diff(column.offsets.to_numpy())
             flat = column.flatten().to_numpy(zero_copy_only=False)
             at = np.append(0, np.cumsum(size))
+            cid = b.column("cid").to_numpy()
             for dim in np.unique(size).tolist():
+                if dim not in hashes:
+                    hashes[dim] = LatticeHash(dim, tables, blocks, probes, scale), np.random.default_rng([17, dim]).standard_normal((dim, SKETCH))
                 pick = np.flatnonzero(size == dim)
-                for s in range(0, len(pick), at_once):
-                    own = pick[s : s + at_once]
-                    x = flat[at[own][:, None] + np.arange(dim)].astype(np.float64)
-                    x /= np.linalg.norm(x, axis=1)[:, None]
-                    if dim not in hashes:
-                        hashes[dim] = LatticeHash(dim, tables, blocks, probes, scale)
-                    home, probe = hashes[dim].keys(x)
-                    keys = np.concatenate([home[:, :, None], probe], 2)
-                    where = pa.array(np.repeat(own, n_keys))
-                    raw = keys.reshape(len(own), -1).tobytes()
-                    step = 8 * n_keys
-                    packed = pa.array([raw[i * step : (i + 1) * step] for i in range(len(own))], pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), n_keys)))
-                    role = np.tile(np.arange(n_keys), len(own))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(role.astype(np.int32)), b.column("cid").take(where), b.column("rep").take(where), b.column("n").take(where), column.take(where), packed], names=["cell", "role", "cid", "rep", "n", "embedding", "keys"])
-
-    met = classes.mapInArrow(hashed, "cell long, role int, cid long, rep long, n long, embedding array<float>, keys binary")
-    dealt = block_pairs(met, "cell", "cid", most)
-    dealt = dealt.repartition("cell", "b1", "b2").sortWithinPartitions("cell", "b1", "b2").select("cell", "b1", "b2", "_b", "role", "cid", "rep", "n", "embedding", "keys")
+                for s in range(0, len(pick), 1000):
+                    own = pick[s : s + 1000]
+                    x = _unit(flat[at[own][:, None] + np.arange(dim)], len(own))
+                    home, probe = hashes[dim][0].keys(x)
+                    keys = np.concatenate([home[:, :, None], probe], 2).reshape(len(own), -1)
+                    sketch = np.repeat(_sketches(x, hashes[dim][1]).view(np.int64), n_keys, axis=0)
+                    at_home = np.tile(np.arange(n_keys) % (1 + blocks * probes) == 0, len(own))
+                    columns = [keys.ravel(), at_home, np.repeat(cid[own], n_keys), sketch[:, 0].copy(), sketch[:, 1].copy()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "home", "cid", "s0", "s1"])
+
+    order = ["cell", "b1", "b2"]
+    met = cut(classes.select("cid", "embedding").mapInArrow(hashed, "cell long, home boolean, cid long, s0 long, s1 long"), "vector-keys")
+    dealt = block_pairs(met, "cell", "cid", most).repartition(*order).sortWithinPartitions(*order)
+    dealt = dealt.select(*order, "_b", "home", "cid", "s0", "s1")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("near vectors")
+        for t, starts in sorted_groups(batches, order):
+            home = t.column("home").combine_chunks().to_numpy(zero_copy_only=False)
+            block, b1, b2, s0, s1 = (t.column(c).combine_chunks().to_numpy() for c in ("_b", "b1", "b2", "s0", "s1"))
+            keep = np.zeros(t.num_rows, bool)
+            homes = np.add.reduceat(home.astype(int), starts[:-1])
+            for g in np.flatnonzero((homes > 0) & (np.diff(starts) > 1)).tolist():
+                s, e = int(starts[g]), int(starts[g + 1])
+                a, b, h = s0[s:e].view(np.uint64), s1[s:e].view(np.uint64), home[s:e]
+                near = np.bitwise_count(a[:, None] ^ a).astype(np.int16) + np.bitwise_count(b[:, None] ^ b) <= bar
+                near &= h[:, None] | h
+                np.fill_diagonal(near, False)
+                if b1[s] != b2[s]:
+                    near &= block[s:e, None] != block[s:e]
+                keep[s:e] = near.any(1)
+            yield from t.select([*order, "_b", "home", "cid"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    members = cut(dealt.mapInArrow(likely, "cell long, b1 long, b2 long, _b long, home boolean, cid long"), "vector-members")
+    ready = members.join(classes.select("cid", "n", "embedding").hint("merge"), "cid").repartition(*order).sortWithinPartitions(*order)
+    ready = ready.select(*order, "_b", "home", "cid", "n", "embedding")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in sorted_groups(batches, ["cell", "b1", "b2"]):
-            cid, rep, n, role, block = (t.column(c).combine_chunks().to_numpy() for c in ("cid", "rep", "n", "role", "_b"))
-            cell, b1, b2 = (t.column(c).combine_chunks().to_numpy() for c in ("cell", "b1", "b2"))
+        worker_of("near vectors")
+        hashes: dict[int, LatticeHash] = {}
+        for t, starts in sorted_groups(batches, order):
+            home = t.column("home").combine_chunks().to_numpy(zero_copy_only=False)
+            cell, block, b1, b2, cid, n = (t.column(c).combine_chunks().to_numpy() for c in ("cell", "_b", "b1", "b2", "cid", "n"))
             column = t.column("embedding").combine_chunks()
-            flat, at = column.flatten().to_numpy(), np.append(0, np.cumsum(np.diff(column.offsets.to_numpy())))
-            keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(cid), tables, -1)
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            size = np.diff(column.offsets.to_numpy())
+            flat, at = column.flatten().to_numpy(), np.append(0, np.cumsum(size))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                homes = role[s:e] % (1 + blocks * probes) == 0
-                if e - s < 2 or not homes.any():
+                if e - s < 2 or size[s:e].min() != size[s:e].max():  # vectors of two lengths share a cell by a clash of names
                     continue
-                x = flat[at[s] : at[e]].reshape(e - s, -1).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                i, j = np.nonzero(x @ x.T >= least)
-                fit = (i < j) & (homes[i] | homes[j]) & (cid[s + i] != cid[s + j])
+                x = _unit(flat[at[s] : at[e]], e - s)
+                i, j = np.nonzero(np.triu(x @ x.T >= least, 1))
+                i, j = s + i, s + j
+                fit = home[i] | home[j]
                 if b1[s] != b2[s]:
-                    fit &= block[s + i] != block[s + j]
-                i, j = s + i[fit], s + j[fit]
-                if len(i):
-                    i, j = _first_meetings(keys, i, j, int(role[s]) // (1 + blocks * probes), cell[s])
-                if len(i):
-                    root = s + local_roots(e - s, i - s, j - s)
-                    links = np.bincount(np.concatenate([i, j]) - s, np.concatenate([n[j], n[i]]), e - s).astype(np.int64)
-                    own = np.flatnonzero(links)
-                    out[0].append(cid[s + own])
-                    out[1].append(rep[s + own])
-                    out[2].append(links[own])
-                    out[3].append(rep[root[own]])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["cid", "rep", "links", "root"])
-
-    found = cut(dealt.mapInArrow(linked, "cid long, rep long, links long, root long"), "vector-links")
+                    fit &= block[i] != block[j]
+                found.append((i[fit], j[fit]))
+            if not found:
+                continue
+            i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+            need = np.unique(np.concatenate([i, j]))
+            keys = np.zeros((len(need), tables, 1 + blocks * probes), np.int64)
+            for dim in np.unique(size[need]).tolist():
+                if dim not in hashes:
+                    hashes[dim] = LatticeHash(dim, tables, blocks, probes, scale)
+                own = np.flatnonzero(size[need] == dim)
+                at_home, probe = hashes[dim].keys(_unit(flat[at[need[own]][:, None] + np.arange(dim)], len(own)))
+                keys[own] = np.concatenate([at_home[:, :, None], probe], 2)
+            first = _first_meetings(keys, np.searchsorted(need, i), np.searchsorted(need, j), cell[i])
+            i, j = i[first], j[first]
+            if len(i):
+                links = np.bincount(np.concatenate([i, j]), np.concatenate([n[j], n[i]]), len(cid)).astype(np.int64)
+                own, root = np.flatnonzero(links), local_roots(len(cid), i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cid[own], links[own], cid[root[own]])], names=["cid", "links", "root"])
+
+    found = cut(ready.mapInArrow(linked, "cid long, links long, root long"), "vector-links")
+    discard(met, members)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
-    known = classes.select("cid", "rep", "n").join(links, "cid", "left").join(joined, F.col("rep") == F.col("id"), "left")
-    known = known.select(F.col("cid").alias("_cid"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(known, (rows["cid"] == known["_cid"]) & rows["embedding"].isNotNull(), "left")
-    component = F.coalesce("component_id", "vec_id")
+    joined = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "vectors")
+    known = classes.select("cid", "name", "check", "rep", "n").join(links, "cid", "left").join(joined, F.col("cid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid")).drop("id")
+    heads = known.groupBy(F.col("component").alias("id")).agg(F.min("rep").alias("head"))
+    known = known.join(heads, F.col("component") == F.col("id")).select(F.col("name").alias("_name"), F.col("check").alias("_check"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "head")
+    out = rows.join(known, (rows["name"] == known["_name"]) & (rows["check"] == known["_check"]) & rows["embedding"].isNotNull(), "left")
+    component = F.coalesce("head", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _first_meetings(keys: np.ndarray, i: np.ndarray, j: np.ndarray, t: int, cell: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs that meet in a cell of table t, those that met in no earlier table and count in this cell of theirs."""
-    first = np.ones(len(i), bool)
-    for u in range(t + 1):
+def _first_meetings(keys: np.ndarray, i: np.ndarray, j: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Of pairs that meet in the given cells, those that met in no earlier table and count in this cell of theirs."""
+    before, first = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    for u in range(keys.shape[1]):
         hi, hj = keys[i, u, 0], keys[j, u, 0]
         same = hi == hj
         i_at_j = (keys[i, u, 1:] == hj[:, None]).any(1)
         j_at_i = (keys[j, u, 1:] == hi[:, None]).any(1)
-        if u < t:
-            first &= ~(same | i_at_j | j_at_i)
-        else:
-            chosen = np.where(same, hi, np.where(i_at_j & j_at_i, np.minimum(hi, hj), np.where(i_at_j, hj, hi)))
-            first &= chosen == cell
-    return i[first], j[first]
+        chosen = np.where(same, hi, np.where(i_at_j & j_at_i, np.minimum(hi, hj), np.where(i_at_j, hj, hi)))
+        met = same | i_at_j | j_at_i
+        first |= met & ~before & (chosen == cell)
+        before |= met
+    return first
 
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
