@@ -18,8 +18,9 @@ from spreadloom.operators import coint as C
 from spreadloom.operators import equity as E
 from spreadloom.operators import trades as T
 from spreadloom.params import BacktestParams, ScanParams
-from spreadloom.plans.backtest import Backtest, backtest, compare, sweep
+from spreadloom.plans.backtest import Backtest, backtest
 from spreadloom.plans.scan import scan_pairs
+from spreadloom.plans.sweep import compare, scan_lookbacks, sweep
 from spreadloom.session import settle
 
 PARAMS = ScanParams(window=100, step=25, z_entry=1.0, benchmark="S00", cointegration=None)
@@ -72,6 +73,20 @@ def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
     return S.pair_rows(w, W.usable_windows(w, PARAMS.window), PARAMS.benchmark)
 
 
+def _spotty(spark: SparkSession, d: str) -> DataFrame:
+    """The walk, with a symbol that hardly moves, one that never does and one without every 151st bar."""
+    flat = F.when(F.col("symbol") == "S05", F.lit(0.25)).when(F.col("symbol") == "S06", 0.25 + F.col("bar_idx") % 2 * 1e-6)
+    return _walk(spark, d).withColumn("logp", F.when((F.col("symbol") != "S07") | (F.col("bar_idx") % 151 != 0), F.coalesce(flat, F.col("logp"))))
+
+
+def _odd_signals(spark: SparkSession, d: str) -> DataFrame:
+    """A signal a bar, of which one in five has a time, pair or symbol that no trade can come from."""
+    kind = F.col("bar_idx") % 10
+    pair = F.when(kind == 1, "S01").when(kind == 3, "S01-S02-S03").when(kind == 5, "S01-S99").otherwise("S01-S02")
+    late = F.col("ts") + F.when(kind == 7, F.expr("interval 400 days")).otherwise(F.expr("interval 0 days"))
+    return _walk(spark, d).filter("symbol = 'S01'").select(F.concat_ws("#", F.lit("x"), "bar_idx").alias("signal_id"), pair.alias("pair"), F.when(kind != 9, late).alias("signal_time"))
+
+
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     """The scan's signals with their times; every third window leaves the dollars to the backtest."""
     walk = _walk(spark, d)
@@ -128,7 +143,7 @@ QUERIES = {
     "bars_from_events": lambda s, d: _ts(_bars(s, d)),
     "bar_index": lambda s, d: _ts(B.with_bar_idx(_bars(s, d)).select("symbol", "ts", "bar_idx")),
     "duplicate_bars": lambda s, d: _ts(B.duplicate_bars(_bars(s, d).union(_bars(s, d).filter("symbol = 'S03'")))),
-    "dedupe_bars": lambda s, d: _ts(B.dedupe_bars(_bars(s, d).union(_bars(s, d).filter("symbol = 'S03'"))).select("symbol", "ts", "close")),
+    "dedupe_bars": lambda s, d: _ts(B.dedupe_bars(_bars(s, d).unionByName(_bars(s, d).filter("symbol = 'S03'").withColumn("close", 100 - F.col("close")))).select("symbol", "ts", "close")),
     "dense_grid": lambda s, d: _ts(B.dense_grid(_bars(s, d))),
     "log_prices": lambda s, d: _round(_ts(B.log_prices(_bars(s, d)).select("symbol", "ts", "shift", "logp")), 6, "shift", "logp"),
     "log_returns": lambda s, d: _round(B.log_returns(_walk(s, d)).select("symbol", "bar_idx", "ret"), 8, "ret"),
@@ -137,6 +152,13 @@ QUERIES = {
     "normalised_price": lambda s, d: _round(_ts(B.normalised(_bars(s, d)).select("symbol", "ts", "norm")), 6, "norm"),
     "assign_windows": lambda s, d: W.assign_windows(_walk(s, d), PARAMS.window, PARAMS.step).groupBy("symbol", "window_id").agg(F.count("*").alias("n"), F.min("bar_idx").alias("first_bar"), F.max("bar_idx").alias("last_bar")),
     "usable_windows": lambda s, d: W.usable_windows(w := W.assign_windows(B.log_prices(B.grid(_bars(s, d))), PARAMS.window, PARAMS.step), PARAMS.window),
+    "usable_windows_mixed": lambda s, d: W.usable_windows(W.assign_windows(_spotty(s, d), PARAMS.window, PARAMS.step), PARAMS.window),
+    "limited_pairs": lambda s, d: W.limit_pairs(W.pairs(W.candidates(_bars(s, d), "S00")), 7),
+    "scan_sizes": lambda s, d: _round(scan_pairs(_walk(s, d), _PARAMS.get()).select("pair", "window_id", "qty1", "qty2"), 1, "qty1", "qty2"),
+    "scan_lookbacks": lambda s, d: _round(scan_lookbacks(_walk(s, d), PARAMS, (100, 150)).select("lookback", "pair", "window_id", "signal", "z"), 4, "z"),
+    "exit_reasons_ordered": lambda s, d: _round(P.by_exit_reason(_trades(s, d), True).select("exit_reason", "total_net"), 4, "total_net"),
+    "equal_return_index": lambda s, d: _round(_ts(E.market_index(_walk(s, d), "equal_return")), 8, "market", "market_ret"),
+    "rejected_signals": lambda s, d: T.rejected_signals(_odd_signals(s, d), _walk(s, d)).select("signal_id", "reason"),
     "pair_universe": lambda s, d: W.pairs(W.candidates(_bars(s, d), "S00", ("S05",))),
     "rolling_z": lambda s, d: _round(S.rolling_z(_walk(s, d)).select("symbol", "bar_idx", "z"), 5, "z"),
     "pair_statistics": _pair_stats,
@@ -215,8 +237,20 @@ st AS (SELECT *, CASE WHEN phi > 0 AND phi < 1 THEN round_even(-ln(2) / ln(phi),
 SQL = {
     "bars_from_events": f"WITH {_BARS} SELECT symbol, {_F}, open, close FROM bars",
     "bar_index": f"WITH {_BARS} SELECT symbol, {_F}, bar_idx FROM bars JOIN dates USING (ts)",
-    "duplicate_bars": f"WITH {_BARS} SELECT symbol, {_F}, 2::BIGINT AS n FROM bars WHERE symbol = 'S03'",
-    "dedupe_bars": f"WITH {_BARS} SELECT symbol, {_F}, close FROM bars",
+    "duplicate_bars": f"WITH {_BARS}, twice AS (SELECT * FROM bars UNION ALL SELECT * FROM bars WHERE symbol = 'S03') SELECT symbol, {_F}, n FROM (SELECT symbol, ts, count(*) AS n FROM twice GROUP BY ALL HAVING count(*) > 1)",
+    "dedupe_bars": f"WITH {_BARS}, twice AS (SELECT symbol, ts, close FROM bars UNION ALL SELECT symbol, ts, 100 - close FROM bars WHERE symbol = 'S03') SELECT symbol, {_F}, close FROM (SELECT symbol, ts, min(close) AS close FROM twice GROUP BY ALL)",
+    "usable_windows_mixed": f"""WITH {_WALK}, spotty AS (SELECT symbol, bar_idx, CASE WHEN symbol = 'S05' THEN 0.25 WHEN symbol = 'S06' THEN 0.25 + bar_idx % 2 * 1e-6 WHEN symbol = 'S07' AND bar_idx % 151 = 0 THEN NULL ELSE logp END::DOUBLE AS logp FROM walk), {_WINDOWED.format(src="spotty")},
+        g AS (SELECT symbol, window_id, count(logp) AS n, arg_min(logp, bar_idx) AS x0, min(logp) AS a, max(logp) AS b FROM windowed GROUP BY ALL)
+        SELECT symbol, window_id FROM g WHERE n = {_W} AND greatest(b - x0, x0 - a) > 1e-8 + 1e-5 * abs(x0)""",
+    "limited_pairs": f"WITH {_BARS}, u AS (SELECT DISTINCT symbol FROM bars WHERE symbol <> 'S00') SELECT x.symbol AS a, y.symbol AS b FROM u x JOIN u y ON x.symbol < y.symbol ORDER BY 1, 2 LIMIT 7",
+    "scan_sizes": f"""WITH {_STATS}, w AS (SELECT st.*, 1 / vol_a AS wa, abs(hedge_ratio) / vol_b AS wb, exp(x.logp) AS pa, exp(y.logp) AS pb FROM st JOIN walk x ON x.symbol = a AND x.bar_idx = end_index JOIN walk y ON y.symbol = b AND y.bar_idx = end_index)
+        SELECT a || '-' || b AS pair, window_id, round(wa / (wa + wb) * 100000 / pa, 1) AS qty1, round(wb / (wa + wb) * 100000 / pb, 1) AS qty2 FROM w WHERE half_life > 0 AND half_life <= 200 AND abs(beta) < 0.11 AND abs(z) >= 1""",
+    "scan_lookbacks": " UNION ALL ".join(f"SELECT * FROM (WITH {_STATS.replace(_LAST, _LAST.replace(f'1 - {_W}', f'1 - {n}')).replace(f'{_S} + {_W - 1})', f'{_S} + {n - 1})')} SELECT {n}::INTEGER AS lookback, a || '-' || b AS pair, window_id, (CASE WHEN z >= 1 THEN -1 ELSE 1 END)::INTEGER AS signal, round(z, 4) AS z FROM st WHERE half_life > 0 AND half_life <= 200 AND abs(beta) < 0.11 AND abs(z) >= 1)" for n in (100, 150)),
+    "exit_reasons_ordered": f"WITH {_TRADES} SELECT exit_reason, round(sum(pnl_net), 4) AS total_net FROM flags WHERE exit_reason IS NOT NULL GROUP BY 1 ORDER BY 2 DESC",
+    "equal_return_index": f"""WITH {_WALK}, r AS (SELECT symbol, ts, exp(logp) / lag(exp(logp)) OVER (PARTITION BY symbol ORDER BY bar_idx) - 1 AS ret FROM walk), m AS (SELECT ts, avg(ret) AS ret FROM r GROUP BY 1),
+        i AS (SELECT ts, exp(sum(ln(1 + coalesce(ret, 0))) OVER (ORDER BY ts)) AS market FROM m) SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(market, 8) AS market, round(ln(market) - ln(lag(market) OVER (ORDER BY i.ts)), 8) AS market_ret FROM i""",
+    "rejected_signals": f"""WITH {_BARS}, o AS (SELECT bar_idx, bar_idx % 10 AS k, ts + CASE WHEN bar_idx % 10 = 7 THEN INTERVAL 400 DAY ELSE INTERVAL 0 DAY END AS moment, max(ts) OVER () AS final FROM dates)
+        SELECT 'x#' || bar_idx AS signal_id, CASE WHEN k IN (1, 3) THEN 'bad_pair' WHEN k = 5 THEN 'unknown_symbol' WHEN k = 9 THEN 'no_time' ELSE 'no_next_bar' END AS reason FROM o WHERE k IN (1, 3, 5, 9) OR moment >= final""",
     "dense_grid": f"""WITH {_BARS}, f AS (SELECT symbol, ts, bar_idx, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx) AS c FROM grid)
         SELECT symbol, {_F}, bar_idx, first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM f""",
     "log_prices": f"""WITH {_BARS}, m AS (SELECT *, min(close) OVER (PARTITION BY symbol) AS lo FROM bars), s AS (SELECT *, CASE WHEN lo <= 0 THEN abs(lo) + 1e-6::DOUBLE ELSE 0.0::DOUBLE END AS shift FROM m)
@@ -310,7 +344,12 @@ def _summary(name: str, p: BacktestParams) -> str:
     return f"SELECT * FROM (WITH {_book(p)} SELECT '{name}' AS param_id, count(*) AS n_trades, count(pnl_net) AS n_closed, round(avg((pnl_net > 0)::INT), 2) AS win_rate, round(sum(pnl_net), 2) AS net FROM tr)"
 
 
+#: Standard normal distribution function (Abramowitz and Stegun 26.2.17) of the small-tail polynomial in t.
+_TAIL = "exp(-y * y / 2) * 0.3989422804014327 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))"
+
 SQL |= {
+    "cointegrated_scan": f"""WITH {_EG}, y AS (SELECT *, 2.92::DOUBLE + 1.5012::DOUBLE * t + 0.039796::DOUBLE * t * t AS y FROM st JOIN eg USING (a, b, window_id) WHERE t < crit5), k AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(y)) AS k FROM y)
+        SELECT a || '-' || b AS pair, window_id, (CASE WHEN z >= 0.5 THEN -1 ELSE 1 END)::INTEGER AS signal, round(CASE WHEN t <= -18.86 THEN 0 ELSE {_TAIL} END, 5) AS p_value FROM k WHERE half_life > 0 AND half_life <= 200 AND abs(beta) < 0.11 AND abs(z) >= 0.5""",
     "engle_granger_lag0": f"WITH {_EG} SELECT a, b, window_id, n, round(t, 5) AS t, round(crit5, 5) AS crit5 FROM eg",
     "coint_transitions": f"""WITH {_EG}, f AS (SELECT a, b, window_id, t < crit5 AS coint FROM eg), g AS (SELECT *, lag(coint) OVER o AS before, coalesce(bool_or(coint) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ever FROM f WINDOW o AS (PARTITION BY a, b ORDER BY window_id))
         SELECT * FROM (SELECT a, b, window_id, coint, CASE WHEN coint AND NOT ever THEN 'start' WHEN coint AND NOT before THEN 'return' WHEN NOT coint AND before THEN 'break' END AS change FROM g) WHERE change IS NOT NULL""",

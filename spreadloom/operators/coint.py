@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import normal_cdf, ratio
 
-# Response surfaces of MacKinnon (1994, 2010) for two variables with a constant.
+# Response surfaces of MacKinnon (1994, 2010) for two variables with a constant, as remembered, not compared
+# with the papers; the rejection rates in tests back the critical values only.
 CRITICAL = {1: (-3.89644, -10.9519, -22.527), 5: (-3.33613, -6.1101, -6.823), 10: (-3.04445, -4.2412, -2.720)}
 SMALL_P = (2.92, 1.5012, 0.039796)
 LARGE_P = (2.1945, 0.64695, -0.29198, -0.042377)

@@ -67,10 +67,20 @@ def equity_curve(trades: DataFrame, prices: DataFrame, dates: DataFrame, p: Back
     return bars.select("ts", "bar_idx", (F.lit(p.capital) + gained - paid + F.coalesce("unrealised", F.lit(0.0))).alias("equity"))
 
 
-def market_index(prices: DataFrame) -> DataFrame:
-    """ts, market (mean close of all symbols) and its log return."""
-    m = prices.groupBy("ts").agg(F.avg("close").alias("market"))
-    return m.withColumn("market_ret", F.log("market") - F.log(F.lag("market").over(Window.orderBy("ts"))))
+def market_index(prices: DataFrame, kind: str = "mean_price") -> DataFrame:
+    """ts, market and its log return: the mean close of all symbols, or with `equal_return` an index from 1 whose return is
+    the mean of the symbols' returns, so that dear symbols weigh no more than cheap ones."""
+    order = Window.orderBy("ts")
+    if kind == "mean_price":
+        m = prices.groupBy("ts").agg(F.avg("close").alias("market"))
+        return m.withColumn("market_ret", F.log("market") - F.log(F.lag("market").over(order)))
+    if kind != "equal_return":
+        raise ValueError(f"unknown index {kind}")
+    own = prices.withColumn("_ret", F.try_divide("close", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))) - 1)
+    m = own.groupBy("ts").agg(F.avg("_ret").alias("_mean"))
+    growth = F.sum(F.log(1 + F.coalesce("_mean", F.lit(0.0)))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    m = m.withColumn("market", F.exp(growth))
+    return m.select("ts", "market", (F.log("market") - F.log(F.lag("market").over(order))).alias("market_ret"))
 
 
 def portfolio_beta(equity: DataFrame, market: DataFrame) -> DataFrame:

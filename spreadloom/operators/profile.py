@@ -17,21 +17,51 @@ def _pct(c: Column) -> Column:
     return F.avg(c.cast("double")) * 100
 
 
+def exact_quantile(rows: DataFrame, value: str, q: float, out: str, *by: str) -> DataFrame:
+    """(by..., out): the exact quantile, interpolated between ranks, of each group's values that are not null; without `by`
+    one row, null where there are none.
+
+    No group is gathered: values are counted by range, a fixed monotone function of the value, and only the one or two
+    ranges that hold the wanted ranks are counted value by value.
+    """
+    keys = [F.col(c) for c in by]
+    v = F.col(value).cast("double")
+    x = rows.select(*keys, v.alias("_v")).filter("_v is not null")
+    x = x.withColumn("_range", (F.signum("_v") * F.floor(F.log1p(F.abs("_v") * 1e6) * 256)).cast("long"))
+    running = lambda order: F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ranges = x.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_to", running("_range"))
+    ranges = ranges.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    place = F.lit(q) * (F.col("_all") - 1)
+    low, high = F.floor(place), F.ceil(place)
+    holds = lambda r: (F.col("_to") > r) & (F.col("_to") - F.col("_n") <= r)
+    wanted = ranges.filter(holds(low) | holds(high)).select(*keys, "_range", (F.col("_to") - F.col("_n")).alias("_base"), "_all")
+    counts = x.join(wanted, [*by, "_range"]).groupBy(*keys, "_range", "_base", "_all", "_v").agg(F.count("*").alias("_n"))
+    inner = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_to", F.col("_base") + inner)
+    both = counts.groupBy(*keys).agg(F.min(F.when(holds(low), F.col("_v"))).alias("_lo"), F.min(F.when(holds(high), F.col("_v"))).alias("_hi"), F.first(place - low).alias("_part"))
+    return both.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
+
+
 def trade_summary(trades: DataFrame) -> DataFrame:
     t = trade_flags(trades)
-    return t.agg(F.count("*").alias("n_trades"), _pct(F.col("win")).alias("win_pct"), F.sum("pnl_net").alias("total_net"), F.avg("pnl_net").alias("mean_net"), F.percentile("pnl_net", F.lit(0.5)).alias("median_net"), F.sum("commission_total").alias("total_commission"), ratio(F.sum(F.when(F.col("pnl_net") > 0, F.col("pnl_net"))), F.abs(F.sum(F.when(F.col("pnl_net") < 0, F.col("pnl_net"))))).alias("profit_factor"))
+    median = exact_quantile(t, "pnl_net", 0.5, "median_net")
+    one = t.agg(F.count("*").alias("n_trades"), _pct(F.col("win")).alias("win_pct"), F.sum("pnl_net").alias("total_net"), F.avg("pnl_net").alias("mean_net"), F.sum("commission_total").alias("total_commission"), ratio(F.sum(F.when(F.col("pnl_net") > 0, F.col("pnl_net"))), F.abs(F.sum(F.when(F.col("pnl_net") < 0, F.col("pnl_net"))))).alias("profit_factor"))
+    return one.crossJoin(median)  # one row each
 
 
-def by_exit_reason(trades: DataFrame) -> DataFrame:
+def by_exit_reason(trades: DataFrame, ordered: bool = False) -> DataFrame:
+    """One row per exit reason; with `ordered` in order of total profit, best first."""
     t = trade_flags(trades).filter("exit_reason is not null")
-    return t.groupBy("exit_reason").agg(F.count("*").alias("n_trades"), _pct(F.col("win")).alias("win_pct"), F.avg("pnl_net").alias("mean_net"), F.percentile("pnl_net", F.lit(0.5)).alias("median_net"), F.sum("pnl_net").alias("total_net"), F.avg("hold_hours").alias("mean_hold"), F.avg("commission_total").alias("mean_commission"))
+    out = t.groupBy("exit_reason").agg(F.count("*").alias("n_trades"), _pct(F.col("win")).alias("win_pct"), F.avg("pnl_net").alias("mean_net"), F.sum("pnl_net").alias("total_net"), F.avg("hold_hours").alias("mean_hold"), F.avg("commission_total").alias("mean_commission"))
+    out = out.join(exact_quantile(t, "pnl_net", 0.5, "median_net", "exit_reason"), "exit_reason", "left")
+    return out.orderBy(F.col("total_net").desc_nulls_last(), "exit_reason") if ordered else out
 
 
 def commission_profile(trades: DataFrame) -> DataFrame:
     t = trade_flags(trades)
     small = F.coalesce(F.abs("pnl_gross") < 1, F.lit(False))
     over = F.col("gross_is_zero") | F.coalesce(F.col("comm_ratio") > 1, F.lit(False))
-    return t.agg(_pct(small).alias("small_gross_pct"), _pct(over).alias("ratio_over_one_pct"), F.percentile("comm_ratio", F.lit(0.5)).alias("median_ratio"))
+    return t.agg(_pct(small).alias("small_gross_pct"), _pct(over).alias("ratio_over_one_pct")).crossJoin(exact_quantile(t, "comm_ratio", 0.5, "median_ratio"))
 
 
 def hold_pnl_corr(trades: DataFrame) -> DataFrame:

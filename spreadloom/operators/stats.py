@@ -33,7 +33,7 @@ def pair_statistics(rows: DataFrame, vol_bars: int = 60) -> DataFrame:
     recent = F.col("bar_idx") > F.col("end_bar") - (vol_bars - 1)
     out = x.groupBy("a", "b", "window_id").agg(
         F.first("h").alias("hedge_ratio"), F.min("bar_idx").alias("start_index"), F.max("bar_idx").alias("end_index"), F.count("*").alias("n"),
-        (1 + F.regr_slope("d_s", "s_lag")).alias("phi"), ratio(F.covar_samp("d_pair", "d_lc"), F.var_pop(F.when(F.col("d_pair").isNotNull(), F.col("d_lc")))).alias("beta"),
+        (1 + F.regr_slope("d_s", "s_lag")).alias("phi"), F.when(F.count(F.when(F.col("d_lc").isNotNull(), F.col("d_pair"))) >= 5, ratio(F.covar_samp("d_pair", "d_lc"), F.var_pop(F.when(F.col("d_pair").isNotNull(), F.col("d_lc"))))).alias("beta"),
         F.max_by("s", "bar_idx").alias("s_last"), F.avg("s").alias("s_mean"), F.stddev_samp("s").alias("s_std"),
         F.stddev_pop(F.when(recent, F.col("d_la"))).alias("vol_a"), F.stddev_pop(F.when(recent, F.col("d_lb"))).alias("vol_b"),
         F.max_by("la", "bar_idx").alias("last_a"), F.max_by("lb", "bar_idx").alias("last_b"), F.first("shift_a").alias("shift_a"), F.first("shift_b").alias("shift_b"),

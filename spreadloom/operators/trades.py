@@ -15,7 +15,7 @@ def _maybe(df: DataFrame, *names: str, kind: str = "double") -> Column:
 
 
 def _number(df: DataFrame, *names: str) -> Column:
-    return null_if_nan(_maybe(df, *names).cast("double"))
+    return null_if_nan(_maybe(df, *names).try_cast("double"))
 
 
 def map_signals(signals: DataFrame, dates: DataFrame) -> DataFrame:
@@ -45,8 +45,22 @@ def split_pair(signals: DataFrame, symbols: DataFrame) -> DataFrame:
     return x
 
 
+def rejected_signals(signals: DataFrame, prices: DataFrame) -> DataFrame:
+    """Signals that map_signals and split_pair leave out, with the reason: bad_pair (another number of dashes, or none),
+    unknown_symbol, no_time, or no_next_bar (at the last bar or after it)."""
+    legs = F.split("pair", "-")
+    x = signals.withColumn("_a", F.when(F.size(legs) == 2, legs[0])).withColumn("_b", F.when(F.size(legs) == 2, legs[1]))
+    for leg in ("_a", "_b"):
+        x = x.join(prices.select(F.col("symbol").alias(leg), F.lit(True).alias(f"{leg}_known")).distinct(), leg, "left")
+    x = x.crossJoin(F.broadcast(prices.agg(F.max("ts").alias("_end"))))
+    unknown = F.col("_a_known").isNull() | F.col("_b_known").isNull()
+    reason = F.when(F.col("_a").isNull(), "bad_pair").when(unknown, "unknown_symbol").when(F.col("signal_time").isNull(), "no_time").when(F.col("signal_time") >= F.col("_end"), "no_next_bar")
+    return x.withColumn("reason", reason).filter("reason is not null").select(*signals.columns, "reason")
+
+
 def normalise_side(signals: DataFrame) -> DataFrame:
     """side (+1 long a, -1 short a) from signal, side or sig: words, else the sign of a number, else against entry_z."""
+    # The words for either side.
     raw = F.lower(F.trim(_maybe(signals, "signal", "side", "sig", kind="string").cast("string")))
     number = null_if_nan(raw.try_cast("double"))
     z = _number(signals, "z", "z_entry")
@@ -67,27 +81,40 @@ def _zero(c: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), c)
 
 
+def current_z(signals: DataFrame, prices: DataFrame, window: int) -> DataFrame:
+    """signal_id, z_now: z of the spread at the signal bar, over its trailing bars; null while flat or short."""
+    rows = leg_rows(signals, prices, _zero(F.col("signal_bar") - (window - 1)), F.col("signal_bar"), "hedge").withColumn("s", F.col("la") - F.col("hedge") * F.col("lb"))
+    z = F.when((F.count("s") >= 10) & (F.stddev_samp("s") > 0), (F.max_by("s", "bar_idx") - F.avg("s")) / F.stddev_samp("s"))
+    return rows.groupBy("signal_id").agg(z.alias("z_now"))
+
+
 def gate_current_z(signals: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
     """Signals whose spread, over the trailing bars of the signal bar, is at least `z_gate` deviations out; z and side are
     taken anew from it."""
-    rows = leg_rows(signals, prices, _zero(F.col("signal_bar") - (p.window - 1)), F.col("signal_bar"), "hedge").withColumn("s", F.col("la") - F.col("hedge") * F.col("lb"))
-    z = F.when((F.count("s") >= 10) & (F.stddev_samp("s") > 0), (F.max_by("s", "bar_idx") - F.avg("s")) / F.stddev_samp("s"))
-    now = rows.groupBy("signal_id").agg(z.alias("_z")).filter(F.abs("_z") >= p.z_gate)
-    return signals.join(now, "signal_id").withColumn("entry_z", F.col("_z")).withColumn("side", F.when(F.col("_z") > 0, -1).otherwise(1)).drop("_z")
+    now = current_z(signals, prices, p.window).filter(F.abs("z_now") >= p.z_gate)
+    return signals.join(now, "signal_id").withColumn("entry_z", F.col("z_now")).withColumn("side", F.when(F.col("z_now") > 0, -1).otherwise(1)).drop("z_now")
+
+
+def trailing_volatility(signals: DataFrame, prices: DataFrame, vol_bars: int) -> DataFrame:
+    """The signals with _va, _vb: deviations of both legs' log returns on the trailing bars."""
+    rows = leg_rows(signals, prices, _zero(F.col("signal_bar") - (vol_bars - 1)), F.col("signal_bar"))
+    order = Window.partitionBy("signal_id").orderBy("bar_idx")
+    rows = rows.withColumn("ra", F.col("la") - F.lag("la").over(order)).withColumn("rb", F.col("lb") - F.lag("lb").over(order))
+    return signals.join(rows.groupBy("signal_id").agg(F.stddev_pop("ra").alias("_va"), F.stddev_pop("rb").alias("_vb")), "signal_id", "left")
 
 
 def resolve_alloc(signals: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
+    return allocate(trailing_volatility(signals, prices, p.vol_bars), p)
+
+
+def allocate(signals: DataFrame, p: BacktestParams) -> DataFrame:
     """alloc_a, alloc_b: the signal's dollars, else its allocations, else volatility parity on the trailing bars; null where
     nothing gives one."""
-    rows = leg_rows(signals, prices, _zero(F.col("signal_bar") - (p.vol_bars - 1)), F.col("signal_bar"))
-    order = Window.partitionBy("signal_id").orderBy("bar_idx")
-    rows = rows.withColumn("ra", F.col("la") - F.lag("la").over(order)).withColumn("rb", F.col("lb") - F.lag("lb").over(order))
-    vol = rows.groupBy("signal_id").agg(F.stddev_pop("ra").alias("_va"), F.stddev_pop("rb").alias("_vb"))
     wa, wb = F.coalesce(ratio(F.lit(1.0), F.col("_va")), F.lit(0.0)), F.coalesce(ratio(F.abs("hedge"), F.col("_vb")), F.lit(0.0))
     given = lambda m, n: (_number(signals, m), _number(signals, n))
     (d1, d2), (g1, g2) = given("dollar1", "dollar2"), given("alloc_A_usd", "alloc_B_usd")
     pick = lambda d, g, w: F.when(d1.isNotNull() & d2.isNotNull(), d).when(g1.isNotNull() & g2.isNotNull(), g).otherwise(F.coalesce(ratio(w * p.notional, wa + wb), F.lit(0.0)))
-    return signals.join(vol, "signal_id", "left").withColumn("alloc_a", pick(d1, g1, wa)).withColumn("alloc_b", pick(d2, g2, wb)).drop("_va", "_vb")
+    return signals.withColumn("alloc_a", pick(d1, g1, wa)).withColumn("alloc_b", pick(d2, g2, wb)).drop("_va", "_vb")
 
 
 def mae95(allocated: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
@@ -145,14 +172,19 @@ def exit_reason(p: BacktestParams) -> Column:
     return F.when(z.isNull(), None).when(back, "mean_revert").when((F.abs(z) >= p.z_stop) & (z * e > 0), "stop_loss").when((F.col("bar_idx") - F.col("entry_idx")) / 24.0 >= p.max_hold_days, "time_exit")
 
 
+def first_reason(bars: DataFrame) -> DataFrame:
+    """signal_id, exit_bar, exit_reason, exit_z of the first bar that has a reason."""
+    at = bars.filter("reason is not null").groupBy("signal_id")
+    return at.agg(F.min("bar_idx").alias("exit_bar"), F.min_by("reason", "bar_idx").alias("exit_reason"), F.min_by("z", "bar_idx").alias("exit_z"))
+
+
 def first_exit(fills: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
     """signal_id, exit_bar, exit_reason, exit_z of the first bar with a reason. Bars are looked at up to the longest hold;
     the few positions flat at that bar are taken up again without an end."""
     held = int(-(-24 * p.max_hold_days // 1))
 
     def found(x: DataFrame, last: Column) -> DataFrame:
-        z = position_z(x, prices, last, p).withColumn("reason", exit_reason(p)).filter("reason is not null")
-        return z.groupBy("signal_id").agg(F.min("bar_idx").alias("exit_bar"), F.min_by("reason", "bar_idx").alias("exit_reason"), F.min_by("z", "bar_idx").alias("exit_z"))
+        return first_reason(position_z(x, prices, last, p).withColumn("reason", exit_reason(p)))
 
     near = found(fills, F.least(F.col("entry_idx") + held, F.col("last_bar")))
     rest = fills.filter(F.col("entry_idx") + held < F.col("last_bar")).join(near, "signal_id", "left_anti")

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 
 def assign_windows(series: DataFrame, window: int, step: int, n_bars: int | None = None, cap: int | None = None) -> DataFrame:
-    """A row per bar and window that holds it; window k covers bars k * step to k * step + window - 1."""
+    """A row per bar and window that holds it; window k covers bars k * step to k * step + window - 1. Without `n_bars` the
+    count comes from the series itself, in the same plan: one row that goes to all of it."""
+    count = F.lit(n_bars)
     if n_bars is None:
-        n_bars = (series.agg(F.max("bar_idx")).first()[0] or 0) + 1
-    last = (n_bars - window) // step
-    last = min(last, cap - 1) if cap is not None else last
-    if last < 0:
-        return series.withColumn("window_id", F.lit(None).cast("long")).filter("false")
+        count = F.col("_bars")
+        series = series.crossJoin(F.broadcast(series.agg((F.max("bar_idx") + 1).alias("_bars"))))
+    last = F.floor((count - window) / step).cast("long")
+    last = F.least(last, F.lit(cap - 1).cast("long")) if cap is not None else last
     low = F.greatest(F.lit(0), F.expr(f"cast(ceil((bar_idx - {window - 1}) / {step}) as bigint)"))
-    high = F.least(F.expr(f"bar_idx div {step}"), F.lit(last))
-    return series.filter(low <= high).withColumn("window_id", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+    high = F.least(F.expr(f"bar_idx div {step}"), last)
+    return series.filter(low <= high).withColumn("window_id", F.explode(F.sequence(low.cast("long"), high.cast("long")))).drop("_bars")
 
 
 def usable_windows(windowed: DataFrame, window: int) -> DataFrame:

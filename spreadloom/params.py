@@ -1,4 +1,4 @@
-"""Scan parameters."""
+"""Scan and backtest parameters. The defaults and presets."""
 
 from __future__ import annotations
 
@@ -30,6 +30,7 @@ class BacktestParams:
     risk_share: float = 0.1
     notional_share: float = 0.1
     z_gate: float | None = None  # entry gate on a z taken anew; None trusts the signal's own
+    z_entry: float | None = None  # least |z| of a signal
     z_exit: float = 0.0
     z_stop: float = 4.0
     hold_multiplier: float = 3.0

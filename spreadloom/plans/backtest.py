@@ -1,11 +1,7 @@
-"""Signals and prices to trades, equity and metrics, and the same under several parameter sets."""
+"""Signals and prices to trades, equity and metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import replace
-from functools import reduce
-from itertools import product
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -13,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spreadloom.operators import equity as E
 from spreadloom.operators import trades as T
-from spreadloom.params import PRESETS, BacktestParams
+from spreadloom.operators.profile import drawdown
+from spreadloom.params import BacktestParams
 from spreadloom.session import settle
 
 
@@ -35,6 +32,11 @@ class Backtest(NamedTuple):
     def ledger(self, full: bool = False) -> DataFrame:
         return E.ledger(self.allocated, self.trades, self.dates, full)
 
+    def report(self) -> dict[str, DataFrame]:
+        """What sources.io.write_report writes."""
+        equity = self.equity()
+        return {"trades": self.trades, "metrics": self.metrics(), "equity": equity.select("ts", "equity"), "drawdown": drawdown(equity).select("ts", "drawdown"), "ledger": self.ledger(True)}
+
     def metrics(self) -> DataFrame:
         return E.report(self.trades, self.equity(), self.prices)
 
@@ -45,6 +47,8 @@ def backtest(signals: DataFrame, prices: DataFrame, p: BacktestParams = Backtest
     signals, allocations, fills and trades are settled, since each is read by several later steps; the rest is lazy."""
     dates = prices.select("bar_idx", "ts").distinct()
     x = settle(T.normalise_side(T.split_pair(T.map_signals(signals, dates), prices)))
+    if p.z_entry is not None:
+        x = x.filter(F.abs("entry_z") >= p.z_entry)
     if p.z_gate is not None:
         x = T.gate_current_z(x, prices, p)
     allocated = settle(T.resolve_alloc(x, prices, p))
@@ -55,17 +59,3 @@ def backtest(signals: DataFrame, prices: DataFrame, p: BacktestParams = Backtest
     fills = settle(T.entry_fills(scaled, prices, p))
     done = settle(T.trades(fills, T.exit_fills(fills, T.first_exit(fills, prices, p), prices, p)))
     return Backtest(allocated, scaled, fills, done, prices, dates, p)
-
-
-def compare(signals: DataFrame, prices: DataFrame, sets: dict[str, BacktestParams] = PRESETS) -> DataFrame:
-    """Trade counts, win rate and profit of each parameter set, keyed by param_id."""
-    def one(name: str, p: BacktestParams) -> DataFrame:
-        t = backtest(signals, prices, p).trades
-        return t.agg(F.count("*").alias("n_trades"), F.count("pnl_net").alias("n_closed"), F.avg((F.col("pnl_net") > 0).cast("double")).alias("win_rate"), F.sum("pnl_net").alias("net")).withColumn("param_id", F.lit(name))
-
-    return reduce(DataFrame.unionByName, (one(n, p) for n, p in sets.items()))
-
-
-def sweep(base: BacktestParams = BacktestParams(), **values: Iterable) -> dict[str, BacktestParams]:
-    """Parameter sets of a grid, named by their values, for `compare`."""
-    return {",".join(f"{k}={v}" for k, v in zip(values, point)): replace(base, **dict(zip(values, point))) for point in product(*values.values())}
