@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import block_pairs, components, cut, discard, local_roots, sorted_groups, table, worker_of
+from spreadloom.llm.common import block_pairs, components, cut, discard, large_keys, local_roots, meet_large, sorted_groups, table, worker_of
 from spreadloom.llm.shingles import MinHash, set_names, shingle_sets
 from spreadloom.llm.tokens import slices, texts
 
@@ -68,13 +68,15 @@ def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
     for depth in range(DEPTH + 1):
         nodes = cut(nodes, f"path-level{depth}")
         spent.append(nodes)
-        sizes = nodes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = nodes.join(sizes, "key")
+        hot = large_keys(nodes, "key", most, f"path-large{depth}")
+        spent.append(hot)
+        small = meet_large(nodes, hot, "key", "cid", "left_anti")
+        several = small.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        out.append(small.join(several, "key", "left_semi").select("key", "cid"))
+        large = meet_large(nodes, hot, "key", "cid", "inner").withColumnRenamed("_n", "n")
         if depth == DEPTH:
-            out.append(sized.select("key", "cid"))
+            out.append(large.select("key", "cid"))
             break
-        out.append(sized.filter(F.col("n") <= most).select("key", "cid"))
-        large = sized.filter(F.col("n") > most)
         split = large.withColumn("child", F.explode(F.array(*[F.lit(c) for c in range(CHILDREN)]))).withColumn("coord", F.pmod(F.xxhash64("key", "child"), F.lit(WIDTH)))
         split = cut(split.join(sigs, "cid").select("cid", F.col("key").alias("parent"), "n", F.xxhash64("key", "child", token).alias("key")), f"path-split{depth}")
         spent.append(split)

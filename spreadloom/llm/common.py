@@ -190,21 +190,22 @@ def components(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
     """Smallest reachable id of every vertex of `edges` (a long, b long): columns id, component.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). Both steps re-point neighbours at a minimum and
-    never join a vertex's neighbours with each other; each round is written out, and stars are formed by min() partial
-    aggregates and equi-joins, so a vertex with very many neighbours is split like any skewed join side.
+    never join a vertex's neighbours with each other; each round is written out. Minima are aggregated before they are
+    shuffled and written before they are joined: Spark splits a skewed side (a vertex with very many neighbours) only where
+    both sides come straight from a shuffle.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e, f"{label}-edges")
     last = None
     for i in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{label}-low{i}")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large.filter("a <> b").distinct(), f"{label}-large{i}")
+        low2 = cut(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-low2{i}")
         small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         was, e = e, cut(small.filter("a <> b").distinct(), f"{label}-star{i}")
-        discard(was)
+        discard(was, low, large, low2)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(e.groupBy("b").agg(F.min("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
@@ -259,16 +260,36 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+MOST_BROADCAST, SALTS = 1 << 17, 256
+
+
+def large_keys(rows: DataFrame, key: str, most: int, label: str) -> DataFrame:
+    """Keys of more than `most` rows with their number, `_n`, written out: rows / `most` of them at most. Counts are added
+    up before they are shuffled."""
+    return cut(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most), label)
+
+
+def meet_large(rows: DataFrame, large: DataFrame, key: str, id_col: str, how: str) -> DataFrame:
+    """Join of `rows` with their large_keys(), in which no task gets the whole of a key: up to MOST_BROADCAST keys (counted
+    first; 16 bytes each) are broadcast, more are merged by key and one of SALTS hashes of the id."""
+    if large.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(large), key, how)
+    salt = F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(SALTS))
+    salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", salt).join(salted.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 def block_pairs(members: DataFrame, key: str, id_col: str, most: int) -> DataFrame:
-    """`members` (key, id and other narrow columns) dealt to (key, b1, b2): all pairs of a key's rows meet once, in tasks
-    of at most about 2 * `most` rows; `_b` is a row's own block. Keys of one row are left out.
+    """`members` (key, id and other narrow columns, best a written table, which is read twice) dealt to (key, b1, b2): all
+    pairs of a key's rows meet once, in tasks of at most about 2 * `most` rows; `_b` is a row's own block. A key of one row
+    comes as a group of one.
 
     A key with more than `most` rows is cut into blocks by a hash of the id; each row goes to the pairs of its block with
     every block, so a large group is spread over many tasks and no task, and no row of output, grows with its square.
-    Rows meet their key's count in a plain merge join, of which Spark splits skewed partitions, so rows should be narrow
-    here and fetch what is wide afterwards.
+    Rows learn of a large key's number by meet_large(), so they are never dealt by the key alone.
     """
-    counts = members.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = members.join(counts.hint("merge"), key).withColumn("_nb", F.expr(f"(_n + {most - 1}) div {most}")).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_nb")))
+    large = large_keys(members, key, most, "large-keys")
+    blocks = F.coalesce(F.expr(f"(_n + {most - 1}) div {most}"), F.lit(1).cast("long"))
+    rows = meet_large(members, large, key, id_col, "left").withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_nb")))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     return rows.withColumn("b1", F.least("_b", "_o")).withColumn("b2", F.greatest("_b", "_o")).drop("_n", "_nb", "_o")
