@@ -83,9 +83,10 @@ def leaves(classes: DataFrame, runs: int, most: int) -> DataFrame:
         if split.isEmpty():
             break
         shares = split.groupBy("parent", "key", "n").agg(F.count("*").alias("m")).groupBy("parent").agg(F.max(F.col("m") / F.col("n")).alias("share"))
-        alike = shares.filter("share >= 0.5").select("parent")
-        out.append(split.join(alike, "parent", "left_semi").select(F.col("parent").alias("key"), "cid").distinct())
-        nodes = split.join(alike, "parent", "left_anti").select("cid", "key")
+        alike = cut(shares.filter("share >= 0.5").select("parent"), f"path-alike{depth}")
+        spent.append(alike)
+        out.append(meet_large(split, alike, "parent", "cid", "left_semi").select(F.col("parent").alias("key"), "cid").distinct())
+        nodes = meet_large(split, alike, "parent", "cid", "left_anti").select("cid", "key")
     found = out[0]
     for o in out[1:]:
         found = found.unionByName(o)

@@ -270,7 +270,7 @@ def large_keys(rows: DataFrame, key: str, most: int, label: str) -> DataFrame:
 
 
 def meet_large(rows: DataFrame, large: DataFrame, key: str, id_col: str, how: str) -> DataFrame:
-    """Join of `rows` with their large_keys(), in which no task gets the whole of a key: up to MOST_BROADCAST keys (counted
+    """Join of `rows` with some of their large_keys(), in which no task gets the whole of a key: up to MOST_BROADCAST keys (counted
     first; 16 bytes each) are broadcast, more are merged by key and one of SALTS hashes of the id."""
     if large.count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(large), key, how)

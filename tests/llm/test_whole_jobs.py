@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("spreadloom.llm")
 
 import corpus_pipeline  # noqa: E402
-from spreadloom.llm import chosenpath, lattice, licenses, shards  # noqa: E402
+from spreadloom.llm import chosenpath, common, lattice, licenses, shards  # noqa: E402
 
 
 def test_licenses_of_a_file_with_all_notices():
@@ -72,3 +72,21 @@ def test_written_shards_of_a_repeated_id(spark, tmp_path):
         got += [(r.doc_id, r.text) for r in rows]
     assert sorted(got, key=str) == sorted(texts, key=str)
     assert len([f for f in folders if "-" in f.name]) > 1
+
+
+@pytest.mark.parametrize("broadcast", [1 << 17, 0])
+def test_block_pairs_meet_each_pair_of_a_hot_key(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "MOST_BROADCAST", broadcast)
+    rows = [(1, i) for i in range(40)] + [(2, i) for i in range(5)] + [(3, 0)]
+    members = spark.createDataFrame(rows, "key long, cid long")
+    met: dict = {}
+    for r in common.block_pairs(members, "key", "cid", 8).collect():
+        met.setdefault((r.key, r.b1, r.b2), []).append((r.cid, r._b))
+    pairs = [(k, *sorted((x, y))) for (k, b1, b2), ids in met.items() for n, (x, bx) in enumerate(ids) for y, by in ids[n + 1 :] if b1 == b2 or bx != by]
+    assert len(pairs) == len(set(pairs)) == 40 * 39 // 2 + 5 * 4 // 2
+    assert max(map(len, met.values())) < 40
+    large = common.large_keys(members, "key", 8, "test-large")
+    assert [tuple(r) for r in large.collect()] == [(1, 40)]
+    left = common.meet_large(members, large, "key", "cid", "left_anti")
+    assert left.columns == ["key", "cid"] and sorted(map(tuple, left.collect())) == sorted(rows[40:])
+    assert common.large_keys(members.limit(0), "key", 8, "test-large").count() == 0
