@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import normal_cdf, ratio
+from spreadloom.operators.stats import KEYS, pair_keys
 
 # Response surfaces of MacKinnon (1994, 2010) for two variables with a constant, as remembered, not compared
 # with the papers; the rejection rates in tests back the critical values only.
@@ -18,8 +19,6 @@ SMALL_P = (2.92, 1.5012, 0.039796)
 LARGE_P = (2.1945, 0.64695, -0.29198, -0.042377)
 LOWEST, TURN, HIGHEST = -18.86, -2.62, 0.92
 
-KEYS = ["a", "b", "window_id"]
-
 
 def critical_value(level: int, n: Column) -> Column:
     """Critical value at 1, 5 or 10 per cent of a window of n bars."""
@@ -35,15 +34,15 @@ def p_value(t: Column) -> Column:
 
 def residuals(rows: DataFrame) -> DataFrame:
     """u: what a least-squares line of la on lb (with intercept) leaves, per pair and window."""
-    whole = Window.partitionBy(*KEYS)
+    whole = Window.partitionBy(*pair_keys(rows))
     return rows.withColumn("u", F.col("la") - F.regr_intercept("la", "lb").over(whole) - F.regr_slope("la", "lb").over(whole) * F.col("lb"))
 
 
 def lag0_statistic(rows: DataFrame) -> DataFrame:
     """a, b, window_id, n, t: the Dickey-Fuller t of the residuals without lagged differences, in built-ins only. A window
     whose residuals are all zero (collinear legs) has t = -infinity as its limit; it is given as -1e9."""
-    u = residuals(rows).withColumn("u1", F.lag("u").over(Window.partitionBy(*KEYS).orderBy("bar_idx"))).withColumn("du", F.col("u") - F.col("u1"))
-    g = u.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count("du").alias("m"), F.sum(F.col("u1") * F.col("du")).alias("xy"), F.sum(F.when(F.col("du").isNotNull(), F.col("u1") * F.col("u1"))).alias("xx"), F.sum(F.col("du") * F.col("du")).alias("yy"), F.max(F.abs("u")).alias("size"))
+    u = residuals(rows).withColumn("u1", F.lag("u").over(Window.partitionBy(*pair_keys(rows)).orderBy("bar_idx"))).withColumn("du", F.col("u") - F.col("u1"))
+    g = u.groupBy(*pair_keys(rows)).agg(F.count("*").alias("n"), F.count("du").alias("m"), F.sum(F.col("u1") * F.col("du")).alias("xy"), F.sum(F.when(F.col("du").isNotNull(), F.col("u1") * F.col("u1"))).alias("xx"), F.sum(F.col("du") * F.col("du")).alias("yy"), F.max(F.abs("u")).alias("size"))
     slope = ratio(F.col("xy"), F.col("xx"))
     error = F.sqrt(ratio(F.greatest(F.col("yy") - slope * F.col("xy"), F.lit(0.0)), F.col("m") - 1))
     t = F.when(F.col("size") < 1e-10, F.lit(-1e9)).otherwise(ratio(slope * F.sqrt("xx"), error))
@@ -84,7 +83,7 @@ def _aic_batch(u: np.ndarray) -> np.ndarray:
 
 def aic_statistic(rows: DataFrame) -> DataFrame:
     """As `lag0_statistic`, with lagged differences chosen by AIC. A pair window travels as one array of its residuals."""
-    arrays = residuals(rows).groupBy(*KEYS).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("bar_idx", "u"))), lambda x: x["u"]).alias("u"))
+    arrays = residuals(rows).groupBy(*pair_keys(rows)).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("bar_idx", "u"))), lambda x: x["u"]).alias("u"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,9 +118,9 @@ def coint_transitions(flags: DataFrame) -> DataFrame:
 
 def pair_corr(rows: DataFrame) -> DataFrame:
     """Correlation of the legs' log returns in every pair window."""
-    order = Window.partitionBy(*KEYS).orderBy("bar_idx")
+    order = Window.partitionBy(*pair_keys(rows)).orderBy("bar_idx")
     r = rows.withColumn("ra", F.col("la") - F.lag("la").over(order)).withColumn("rb", F.col("lb") - F.lag("lb").over(order))
-    return r.groupBy(*KEYS).agg(F.corr("ra", "rb").alias("corr"))
+    return r.groupBy(*pair_keys(rows)).agg(F.corr("ra", "rb").alias("corr")).select(*KEYS, "corr")
 
 
 def hurst(series: DataFrame, lags: tuple[int, ...] = (2, 4, 8, 16, 32)) -> DataFrame:

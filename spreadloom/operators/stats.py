@@ -8,22 +8,50 @@ from pyspark.sql import functions as F
 from spreadloom.functions.numeric import ratio
 
 
-def pair_rows(windowed: DataFrame, usable: DataFrame, benchmark: str, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """a, b, window_id, bar_idx, la, lb, lc: the logs of both legs and of the benchmark, for usable windows only."""
+KEYS = ["a", "b", "window_id"]
+BLOCKS = ["block_a", "block_b"]
+
+
+def pair_keys(rows: DataFrame) -> list[str]:
+    """What a pair window is grouped by: with its blocks, where rows carry them, so that no exchange follows pair_rows()."""
+    return KEYS + [c for c in BLOCKS if c in rows.columns]
+
+
+def pair_rows(windowed: DataFrame, usable: DataFrame, benchmark: str, excluded: tuple[str, ...] = (), only: DataFrame | None = None, per_block: int = 64) -> DataFrame:
+    """a, b, window_id, bar_idx, la, lb, lc: the logs of both legs and of the benchmark, for usable windows only.
+
+    A symbol's window travels as one array. Symbols fall into blocks of about `per_block`; the join is on (window_id,
+    block_a, block_b), so that what is shuffled is symbols x windows x blocks, not pairs x bars, and bars are laid out
+    where the pair was met. With `only` (a, b, window_id) just these pair windows are laid out, fetched by leg.
+    Memory is bound by a window's length; windows of a symbol that `usable` does not list meet nothing.
+    """
     rows = windowed.join(usable, ["symbol", "window_id"], "left_semi")
-    legs = rows.filter(~F.col("symbol").isin(benchmark, *excluded))
-    leg = lambda n: legs.select("window_id", "bar_idx", F.col("symbol").alias(n), F.col("logp").alias(f"l{n}"), F.col("shift").alias(f"shift_{n}"))
-    bench = rows.filter(F.col("symbol") == benchmark).select("window_id", "bar_idx", F.col("logp").alias("lc"))
-    keys = ["window_id", "bar_idx"]
-    return leg("a").join(leg("b"), keys).filter("a < b").join(bench, keys)
+    bars = F.array_sort(F.collect_list(F.struct("bar_idx", "logp")))
+    arrays = rows.groupBy("symbol", "window_id").agg(F.first("shift").alias("shift"), bars.alias("bars"))
+    bench = arrays.filter(F.col("symbol") == benchmark).select("window_id", F.col("bars.logp").alias("lc"))
+    legs = arrays.filter(~F.col("symbol").isin(benchmark, *excluded))
+    side = lambda n, *more: [F.col("symbol").alias(n), "window_id", F.col("shift").alias(f"shift_{n}"), F.col("bars.logp").alias(f"l{n}"), *more]
+    first = legs.join(bench, "window_id").select(*side("a", F.col("bars.bar_idx").alias("bar_idx"), "lc"))
+    second, blocks = legs.select(*side("b")), []
+    if only is not None:
+        met = only.select(*KEYS).join(first, ["a", "window_id"]).join(second, ["b", "window_id"])
+    else:
+        blocks = BLOCKS
+        n = F.broadcast(usable.agg(F.ceil(F.countDistinct("symbol") / per_block).alias("_n")))
+        own, all_ = lambda c: F.pmod(F.xxhash64(c), F.col("_n")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+        first = first.crossJoin(n).select(*first.columns, own("a").alias("block_a"), all_.alias("block_b"))
+        second = second.crossJoin(n).select(*second.columns, all_.alias("block_a"), own("b").alias("block_b"))
+        met = first.join(second, ["window_id", *blocks]).filter("a < b")
+    return met.select(*KEYS, *blocks, "shift_a", "shift_b", F.inline(F.arrays_zip("bar_idx", "la", "lb", "lc")))
 
 
 def pair_statistics(rows: DataFrame, vol_bars: int = 60) -> DataFrame:
     """One row per pair and window: hedge_ratio, half_life, beta, z, volatilities and last logs.
 
-    One exchange on (a, b, window_id) serves the hedge ratio, the lags and the final aggregate.
+    The exchange that met the legs serves the hedge ratio, the lags and the final aggregate.
     """
-    whole = Window.partitionBy("a", "b", "window_id")
+    keys = pair_keys(rows)
+    whole = Window.partitionBy(*keys)
     order = whole.orderBy("bar_idx")
     x = rows.withColumn("h", F.regr_slope("la", "lb").over(whole)).withColumn("end_bar", F.max("bar_idx").over(whole))
     x = x.withColumn("s", F.col("la") - F.col("h") * F.col("lb"))
@@ -31,7 +59,7 @@ def pair_statistics(rows: DataFrame, vol_bars: int = 60) -> DataFrame:
         x = x.withColumn(f"d_{c}", F.col(c) - F.lag(c).over(order))
     x = x.withColumn("s_lag", F.col("s") - F.col("d_s")).withColumn("d_pair", F.col("d_la") - F.col("h") * F.col("d_lb"))
     recent = F.col("bar_idx") > F.col("end_bar") - (vol_bars - 1)
-    out = x.groupBy("a", "b", "window_id").agg(
+    out = x.groupBy(*keys).agg(
         F.first("h").alias("hedge_ratio"), F.min("bar_idx").alias("start_index"), F.max("bar_idx").alias("end_index"), F.count("*").alias("n"),
         (1 + F.regr_slope("d_s", "s_lag")).alias("phi"), F.when(F.count(F.when(F.col("d_lc").isNotNull(), F.col("d_pair"))) >= 5, ratio(F.covar_samp("d_pair", "d_lc"), F.var_pop(F.when(F.col("d_pair").isNotNull(), F.col("d_lc"))))).alias("beta"),
         F.max_by("s", "bar_idx").alias("s_last"), F.avg("s").alias("s_mean"), F.stddev_samp("s").alias("s_std"),
@@ -40,7 +68,7 @@ def pair_statistics(rows: DataFrame, vol_bars: int = 60) -> DataFrame:
     )
     half = F.when((F.col("phi") > 0) & (F.col("phi") < 1) & (F.col("n") >= 10), F.bround(-F.log(F.lit(2.0)) / F.log("phi"), 2))
     z = F.when(F.col("s_std") > 0, (F.col("s_last") - F.col("s_mean")) / F.col("s_std"))
-    return out.withColumn("half_life", half).withColumn("z", z)
+    return out.withColumn("half_life", half).withColumn("z", z).drop(*BLOCKS)
 
 
 def rolling_z(series: DataFrame, n: int = 200, least: int = 10, value: str = "logp", key: str = "symbol") -> DataFrame:

@@ -27,11 +27,11 @@ def scan_pairs(series: DataFrame, p: ScanParams) -> DataFrame:
     """Signals of every pair and window that pass all filters. Native aggregates filter first; the cointegration test, the
     dear one, sees only the windows that they leave."""
     windowed = assign_windows(series, p.window, p.step, cap=p.max_windows)
-    rows = pair_rows(windowed, usable_windows(windowed, p.window), p.benchmark, p.excluded)
-    s = pair_statistics(rows, p.vol_bars)
+    usable = usable_windows(windowed, p.window)
+    s = pair_statistics(pair_rows(windowed, usable, p.benchmark, p.excluded), p.vol_bars)
     s = s.filter((F.col("half_life") > 0) & (F.col("half_life") <= p.max_half_life) & (F.abs("beta") < p.max_beta) & (F.abs("z") >= p.z_entry))
     if p.cointegration:
-        left = engle_granger(rows.join(s.select(*KEYS), KEYS, "left_semi"), p.cointegration)
+        left = engle_granger(pair_rows(windowed, usable, p.benchmark, p.excluded, only=s), p.cointegration)
         s = s.join(left.drop("n"), KEYS).filter(coint_flag(p.max_half_life))
     else:
         s = s.withColumn("p", F.lit(None).cast("double"))
