@@ -3,6 +3,8 @@ pseudorandom index permutations, and a join of slots with blocks by index. DataF
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,15 +57,16 @@ def sized(docs: DataFrame) -> DataFrame:
     return running_start(rows, "key", "bucket", [F.col("h"), F.col("doc_id")], "size", "start")
 
 
-def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST, seed: int = 17) -> dict[str, DataFrame]:
+def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST, seed: int = 17) -> dict[str, Any]:
     """Plan a mix of `docs` (doc_id, text, source; other columns are ignored).
 
     sources: source, key, source_size, target, n_blocks, n_slots.
     documents: doc_id, source, key, size, start, h (place on its source's word axis, packed into blocks of `block_words`).
-    blocks: document_blocks() of them. slots: shard, slot, key, block: which block fills each slot of each output shard. counts: shard, key, slots.
-    Every slot is dealt to a shard by one pseudorandom permutation, so a shard's source counts are a multinomial draw
-    given the totals; the k-th slot of a source takes block permutation_epoch(k mod n_blocks), epoch = k div n_blocks,
-    so no block is taken more than `most` times, and all blocks are taken equally often, give or take one.
+    blocks: document_blocks() of them. counts: shard, key, slots. slots: shard, slot, key, block: which block fills each slot of each output shard.
+    Places are dealt to output shards by one pseudorandom permutation, so a shard's source counts are a multinomial draw
+    given the totals, which meet their targets. A shard's slots of a source follow on those of the shards before it: the
+    k-th takes block permutation_epoch(k mod n_blocks), epoch = k div n_blocks, so no block is taken more than `most`
+    times, and all blocks are taken equally often, give or take one. Slots of a shard stand in a pseudorandom order.
     Null text has size 0; empty texts and sources of size 0 are never taken; an empty table gives empty tables.
     """
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_h"))
@@ -80,13 +83,21 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     # A source's slots come in runs, so that a source with a third of them is dealt over many tasks; their number follows
     # that of the slots, since the few rows here do not tell how many they become.
     total = sources.agg(F.max("all_slots")).first()[0] or 0
-    runs = sources.filter("n_slots > 0").select("*", F.explode(F.expr("sequence(0, (n_slots - 1) div 4096)")).alias("run")).repartition(min(20_000, total // 32_768 + 1), "key", "run")
-    slots = runs.select("key", "n_blocks", "slot_base", "all_slots", F.explode(F.expr("sequence(run * 4096, least(n_slots, (run + 1) * 4096) - 1)")).alias("k"))
-    place = permuted(F.col("slot_base") + F.col("k"), F.col("all_slots"), F.lit(seed))
+    tasks = min(20_000, total // 32_768 + 1)
+    runs = sources.filter("n_slots > 0").select("*", F.explode(F.expr("sequence(0, (n_slots - 1) div 4096)")).alias("run")).repartition(tasks, "key", "run")
+    places = runs.select("key", "n_blocks", "all_slots", F.explode(F.expr("sequence(slot_base + run * 4096, slot_base + least(n_slots, (run + 1) * 4096) - 1)")).alias("place"))
+    at = permuted(F.col("place"), F.col("all_slots"), F.lit(seed))
+    counts = places.withColumn("at", at).groupBy(F.expr(f"at div {shard_slots}").alias("shard"), "key", "n_blocks", "all_slots").agg(F.count("*").alias("slots"))
+    counts = cut(counts, "mix-counts")
+    draws = running_start(counts.withColumn("bucket", F.expr("shard div 256")), "key", "bucket", [F.col("shard")], "slots", "first").drop("bucket").repartition(tasks, "shard")
+    inside = Window.partitionBy("shard").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    draws = draws.withColumn("offset", F.coalesce(F.sum("slots").over(inside), F.lit(0)))
+    slots = draws.select("*", F.explode(F.expr("sequence(0L, slots - 1)")).alias("i")).withColumn("k", F.col("first") + F.col("i"))
+    held = F.least(F.lit(shard_slots).cast("long"), F.col("all_slots") - F.col("shard") * shard_slots)
+    slot = permuted(F.col("offset") + F.col("i"), held, F.lit(seed), F.col("shard"))
     block = permuted(F.expr("k % n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("key"), F.expr("k div n_blocks"))
-    slots = slots.select("key", place.alias("at"), block.alias("block"))
-    slots = slots.select(F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"), "key", "block")
-    return {"sources": sources, "documents": documents, "blocks": document_blocks(documents, block_words), "slots": slots, "counts": slots.groupBy("shard", "key").agg(F.count("*").alias("slots"))}
+    slots = slots.select("shard", slot.alias("slot"), "key", block.alias("block"))
+    return {"sources": sources, "documents": documents, "blocks": document_blocks(documents, block_words), "slots": slots, "counts": counts.select("shard", "key", "slots"), "block_words": block_words}
 
 
 def document_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -96,12 +107,20 @@ def document_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> Dat
     return d.select("key", "block", "doc_id", "h", "start", "size", words.alias("words"))
 
 
-def _uses(plan: dict[str, DataFrame]) -> DataFrame:
+def mixed_shards(plan: dict[str, Any]) -> DataFrame:
+    """The mix as output shards: shard, slot, doc_id, first_word (in the document, from 0), words. Slots join blocks by index;
+    a slot's pieces stand in order of their place on the source's axis (`at`). A block fills at most three slots."""
+    at = F.greatest(F.lit(0), F.col("block") * F.lit(plan["block_words"]) - F.col("start"))
+    met = plan["slots"].hint("merge").join(plan["blocks"], ["key", "block"])
+    return met.select("shard", "slot", "doc_id", at.alias("first_word"), "words", (F.col("start") + at).alias("at"))
+
+
+def _uses(plan: dict[str, Any]) -> DataFrame:
     """How often each block is taken. It grows with the corpus, so it is merged, never broadcast."""
     return plan["slots"].groupBy("key", "block").agg(F.count("*").alias("uses")).hint("merge")
 
 
-def taken(plan: dict[str, DataFrame]) -> DataFrame:
+def taken(plan: dict[str, Any]) -> DataFrame:
     """Words that the mix takes of each document: doc_id, size, source_size, target, taken."""
     held = plan["blocks"].join(_uses(plan), ["key", "block"], "left")
     # A document with words has its place on the axis to itself; those without have none and take nothing.

@@ -148,6 +148,19 @@ def test_mixing(docs, empty):
     assert mixture.taken(mixture.mix_plan(empty)).count() == 0
 
 
+def test_mix_shards(docs):
+    plan = mixture.mix_plan(docs, block_words=16, shard_slots=8)
+    slots, counts = plan["slots"].toPandas(), plan["counts"].toPandas()
+    assert slots.groupby(["shard", "key"]).size().to_dict() == counts.set_index(["shard", "key"])["slots"].to_dict()
+    per_shard = slots.sort_values(["shard", "slot"]).groupby("shard")["slot"].apply(list)
+    assert all(s == list(range(len(s))) and len(s) == 8 for s in per_shard[:-1]) and per_shard.iloc[-1] == list(range(len(per_shard.iloc[-1])))
+    assert counts.groupby("key")["slots"].sum().sort_index().tolist() == [r.n_slots for r in plan["sources"].filter("n_slots > 0").orderBy("key").collect()]
+    assert slots.groupby(["key", "block"]).size().max() <= 3 and (slots["block"] >= 0).all()
+    pieces = mixture.mixed_shards(plan).toPandas()
+    assert pieces["words"].sum() == mixture.taken(plan).agg({"taken": "sum"}).first()[0] and (pieces["first_word"] >= 0).all()
+    assert pieces.groupby(["shard", "slot"])["words"].sum().max() <= 16
+
+
 def test_jaccard(docs, empty):
     sets = {}
     for i, t, *_ in corpus():
