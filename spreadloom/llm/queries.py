@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spreadloom.llm import chosenpath, hamming, lattice, licenses, mixture, packing, quality, repair, rules, shards, suffixes, tokenfile
+from spreadloom.llm import chosenpath, hamming, lattice, licenses, mixture, packing, quality, repair, rules, shards, suffixes, tokenfile, treap
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,8 +16,9 @@ QUERIES = {
     "op9_hamming_top_k": hamming.op9_hamming_top_k,
     "op10_pack": packing.op10_pack,
     "op11_quality_rules": rules.op11_quality_rules,
+    "op12_ranked_search": treap.op12_ranked_search,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 #: The others depend on hashes or vocabularies that SQL does not have; tests hold them against brute force.
-SQL = {"op6_extendible_shards": shards.OP6_SQL, "op11_quality_rules": rules.OP11_SQL}
+SQL = {"op6_extendible_shards": shards.OP6_SQL, "op11_quality_rules": rules.OP11_SQL, "op12_ranked_search": treap.OP12_SQL}

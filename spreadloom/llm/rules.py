@@ -109,8 +109,8 @@ RULES = (
     Rule("symbols", _mille("n_symbols", "n_words"), (2000, 1000, 500, 300, 200, 100)),
     Rule("marks", _mille("n_marks", "n_words"), (1500, 1000, 700, 400, 200)),
     Rule("upper", _mille("n_upper", "word_chars"), (900, 800, 600, 400)),
-    Rule("dup_lines", _mille("n_dup_lines", "n_lines"), (900, 700, 500, 400, 300)),
-    Rule("repeats", _mille("n_repeat_words", "n_words"), (450, 400, 300, 200)),
+    Rule("dup_lines", _mille("n_dup_lines", "n_lines"), (900, 700, 500)),
+    Rule("repeats", _mille("n_repeat_words", "n_words"), (450, 400)),
     Rule("long_words", _mille("word_chars", "n_words"), (12000, 10000, 8000, 7000)),
     Rule("short_words", "-" + _mille("word_chars", "n_words"), (-2000, -2500, -3000, -3500)),
 )
