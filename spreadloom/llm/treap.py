@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import numpy as np
@@ -142,7 +143,7 @@ def search(treap: Treap, rows: np.ndarray, weights: np.ndarray, ids: np.ndarray,
 
 
 BLOCK = "block long, n_docs int, ids binary, named binary, terms binary, frequencies binary, top int, masks array<binary>, drops array<binary>"
-BLOCK_DOCS, BLOCK_BYTES = 1 << 14, 8 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1 << 14, 4 << 20
 
 
 def term_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -178,7 +179,7 @@ class _Blocks:
         text, term, times, terms = term_counts(data, at)
         mine = self.vocabulary
         number = np.fromiter((mine.setdefault(t, len(mine)) for t in terms), np.int64, len(terms))
-        self.parts.append((text + self.n_docs, number[term], times))
+        self.parts.append(tuple(x.astype(np.int32) for x in (text + self.n_docs, number[term], times)))
         self.ids.append(ids)
         self.named.append(named)
         self.n_docs += len(ids)
@@ -187,6 +188,7 @@ class _Blocks:
     def close(self, block: int) -> dict | None:
         """The block as a row of BLOCK; None where no document has a term."""
         doc, term, times = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts.clear()
         ids, named = np.concatenate(self.ids), np.concatenate(self.named)
         if not len(doc):
             return None
@@ -202,7 +204,8 @@ class _Blocks:
         row = np.empty(len(held), np.int64)
         row[by_frequency] = np.arange(len(held))
         size = np.array([50 + 50 * n * self.n_texts // self.n_terms for n in length.tolist()], np.int64)
-        impact = SCALE * times // (K1_MILLE * times + 20 * size[doc])
+        times = times.astype(np.int64)
+        impact = (SCALE * times // (K1_MILLE * times + 20 * size[doc])).astype(np.int32)
         top, masks, drops = build(row[term], place[doc], impact)
         words = list(self.vocabulary)
         return {
@@ -215,7 +218,7 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all their terms with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("ranked search")
+        worker_of("ranked index")
         some = every = 0
         for b in batches:
             data, at = texts(b.column("text"))
@@ -237,7 +240,7 @@ def index_documents(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_bytes:
     n_texts, n_terms = corpus_size(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("ranked search")
+        worker_of("ranked index")
         held, block = _Blocks(n_texts, max(1, n_terms)), None
         schema = pa.schema([("block", pa.int64()), ("n_docs", pa.int32()), *((c, pa.binary()) for c in ("ids", "named", "terms", "frequencies")), ("top", pa.int32()), ("masks", pa.list_(pa.binary())), ("drops", pa.list_(pa.binary()))])
 
@@ -285,6 +288,20 @@ def _opened(block: dict) -> tuple[Treap, np.ndarray, np.ndarray, list[np.ndarray
     return treap, ids, named, least[::-1]
 
 
+@contextmanager
+def _block_by_block(spark: SparkSession) -> Iterator[None]:
+    """Blocks are read and sent to Python one at a time, so that a task holds one, however many a file has."""
+    own = {"spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 HIT = "item int, doc_id long, named boolean, score long"
 
 
@@ -355,16 +372,17 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = TOP, block_docs: i
     by_item = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("named").desc(), "doc_id")
     out = spark.createDataFrame([], f"item_id {item_type}, rank int, doc_id long, score long")
     while some := list(islice(stated, items_at_once)):
-        held = _frequencies(index, frozenset(t.encode() for r in some for t in r["terms"]))
-        weight = {t: math.floor(WEIGHT_SCALE * math.log((2 * n_texts + 2) / (2 * n + 1))) for t, n in held.items()}
-        weights = [{t: weight[t] for t in (x.encode() for x in r["terms"]) if weight.get(t)} for r in some]
-        best = lambda rows: rows.withColumn("rank", F.row_number().over(by_item)).filter(F.col("rank") <= k)
-        seed = best(_search_blocks(index.filter(F.col("block").isin(first)), weights, k, [(0, NO_ID)] * len(some))).filter(F.col("rank") == k).collect()
-        floors = [(0, NO_ID)] * len(some)
-        for r in seed:
-            floors[r["item"]] = r["score"], r["doc_id"]
+        with _block_by_block(spark):
+            held = _frequencies(index, frozenset(t.encode() for r in some for t in r["terms"]))
+            weight = {t: math.floor(WEIGHT_SCALE * math.log((2 * n_texts + 2) / (2 * n + 1))) for t, n in held.items()}
+            weights = [{t: weight[t] for t in (x.encode() for x in r["terms"]) if weight.get(t)} for r in some]
+            best = lambda rows: rows.withColumn("rank", F.row_number().over(by_item)).filter(F.col("rank") <= k)
+            seed = best(_search_blocks(index.filter(F.col("block").isin(first)), weights, k, [(0, NO_ID)] * len(some))).filter(F.col("rank") == k).collect()
+            floors = [(0, NO_ID)] * len(some)
+            for r in seed:
+                floors[r["item"]] = r["score"], r["doc_id"]
+            found = cut(best(_search_blocks(index, weights, k, floors)), "ranked-items")
         names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(some)], f"item int, item_id {item_type}")
-        found = cut(best(_search_blocks(index, weights, k, floors)), "ranked-items")
         # As many names as items that are searched at once.
         out = out.unionByName(found.join(F.broadcast(names), "item").select("item_id", "rank", F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "score"))
     discard(index)
