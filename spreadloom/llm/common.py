@@ -66,20 +66,26 @@ def release() -> None:
         pass
 
 
+ARROW_BYTES = 8 << 20
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: later stages restart from files, not from lineage.
 
-    The shuffle files behind a written table are of no more use, so they are released with the write.
+    The shuffle files behind a written table are of no more use, so they are released with the write. Python is sent
+    batches of ARROW_BYTES, so that a worker's size does not follow that of the texts in 10,000 rows.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(release, "false")
-    spark.conf.set(release, "true")
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    was = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(release, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

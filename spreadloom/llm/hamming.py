@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import cut, discard, table
+from spreadloom.llm.common import cut, discard, table, worker_of
 
 BITS = 64
 
@@ -20,6 +20,7 @@ def binary_codes(vectors: DataFrame, seed: int = 11) -> DataFrame:
     non-finite components, or have a null id get no code and take no part; a zero vector's code is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("binary codes")
         axes: dict[int, np.ndarray] = {}
         for b in batches:
             ids, codes = [], []

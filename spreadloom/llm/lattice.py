@@ -116,7 +116,9 @@ def _sketches(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
 
 
 def _unit(flat: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of length 1. They are divided by their largest component first, whose square may be beyond a double's range."""
     x = flat.reshape(rows, -1).astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 

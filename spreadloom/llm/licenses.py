@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import table
+from spreadloom.llm.common import table, worker_of
 from spreadloom.llm.tokens import texts
 
 # Phrases that count wherever their words stand consecutively, and their labels.
@@ -51,6 +51,7 @@ def document_frequencies(docs: DataFrame) -> dict[str, int]:
     vocabulary = frozenset(w.encode() for w in VOCABULARY)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("licences")
         total: Counter = Counter()
         for b in batches:
             for t in b.column("text"):
@@ -124,6 +125,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     index = LicenseIndex(document_frequencies(docs))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("licences")
         for b in batches:
             found = [index.scan(t.as_py() or b"") for t in b.column("text")]
             if found:

@@ -135,16 +135,18 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     in blocks taken c times or more (c = 1..3). A copy that keeps all words keeps its text as it is, else the words are
     joined by spaces. n_chars follows the text. Rows without words are never taken."""
     plan = mix_plan(docs, block_words)
-    held = plan["blocks"].join(_uses(plan), ["key", "block"])
-    per_doc = held.groupBy("key", "doc_id", "h", "start").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("uses"))
+    held = plan["blocks"].join(_uses(plan), ["key", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # A document's blocks follow one another, so the uses of its k-th block are entry k of an array.
+    per_doc = held.groupBy("key", "doc_id", "h", "start").agg(F.array_sort(F.collect_list(F.struct("block", "uses"))).getField("uses").alias("uses")).filter(F.array_max("uses") > 0)
     # Wholly equal rows share a hash; each takes its own place on the axis.
     per_doc = per_doc.select("doc_id", "h", "start", "uses", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("key", "start")).alias("nth"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("own_h"), F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).alias("own_key"))
     rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_h").orderBy("own_key")))
     j = rows.join(per_doc.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")) & (F.col("own_nth") == F.col("nth")))
     words = F.regexp_extract_all(F.col("row").getField("text"), F.lit(WORD), F.lit(0))
-    j = j.withColumn("words", words).withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.map_values("uses")))))
-    chosen = F.filter("words", lambda w, i: F.coalesce(F.element_at("uses", F.floor((F.col("start") + i) / block_words).cast("long")), F.lit(0)) >= F.col("copy"))
+    j = j.withColumn("words", words).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("uses"))))
+    block = lambda i: F.expr(f"cast(start % {block_words} as int)") + i
+    chosen = F.filter("words", lambda w, i: F.get("uses", F.floor(block(i) / block_words).cast("int")) >= F.col("copy"))
     j = j.withColumn("kept", chosen)
     text = F.when(F.size("kept") == F.size("words"), F.col("row").getField("text")).otherwise(F.array_join("kept", " "))
     j = j.withColumn("new_text", text)

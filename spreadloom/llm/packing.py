@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spreadloom.llm.common import table
 from spreadloom.llm.tokens import encoder, public, slices, texts
 
-WINDOW = 2048
+WINDOW, OPEN = 2048, 512
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -21,16 +21,30 @@ class Packer:
     """Online sum-of-squares packing (Csirik et al. 2006) of pieces shorter than a window.
 
     level[h] counts the open windows filled to h; a piece goes where the sum of squared counts grows least (the fullest
-    of equals). `close()` ends the stream: what lies in open windows is laid end to end and cut into full windows, and
-    the last part into runs of power-of-two lengths, which need no padding.
+    of equals). While `most` windows are open, a piece is cut to fill the fullest of them instead, so that no more ever
+    are. `close()` ends the stream: what lies in open windows is laid end to end and cut into full windows, and the last
+    part into runs of power-of-two lengths, which need no padding.
     """
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.level, self.made = window, np.zeros(window + 1, np.int64), 0
+    def __init__(self, window: int = WINDOW, most: int = OPEN):
+        self.window, self.most, self.level, self.n_open = window, most, np.zeros(window + 1, np.int64), 0
         self.open: list[list[list]] = [[] for _ in range(window + 1)]  # level -> windows -> pieces
 
-    def place(self, piece: tuple, size: int) -> list[tuple] | None:
-        """Put a piece (doc_id, start, ids, doc_tokens); the pieces of the window that it completes, if it does."""
+    def place(self, piece: tuple) -> list[list[tuple]]:
+        """Put a piece (doc_id, start, ids, doc_tokens); the pieces of each window that it completes."""
+        doc, start, ids, total = piece
+        done: list[list[tuple]] = []
+        while len(ids) and self.n_open >= self.most:
+            h = int(np.flatnonzero(self.level)[-1])
+            part = ids[: self.window - h]
+            self._put(h, (doc, start, part, total), done)
+            start, ids = start + len(part), ids[len(part) :]
+        if len(ids):
+            self._put(self._least(len(ids)), (doc, start, ids, total), done)
+        return done
+
+    def _least(self, size: int) -> int:
+        """The level at which a piece makes the sum of squares grow least; 0 opens a window."""
         c, n = self.window, self.level
         rest = c - size
         grow = n[size : c + 1].astype(np.float64)  # new count at level h + size, for h = 0..rest; h = 0 opens a window
@@ -38,16 +52,21 @@ class Packer:
         cost[0] = 2 * n[size] + 1
         cost[rest] = 1 - 2 * n[rest] if rest else cost[0]
         cost[1:][n[1 : rest + 1] == 0] = np.inf
-        h = rest - int(np.argmin(cost[::-1]))
-        held = [] if h == 0 else self.open[h].pop()
+        return rest - int(np.argmin(cost[::-1]))
+
+    def _put(self, h: int, piece: tuple, done: list[list[tuple]]) -> None:
+        held = self.open[h].pop() if h else []
         if h:
-            n[h] -= 1
+            self.level[h] -= 1
+            self.n_open -= 1
         held.append(piece)
-        if h + size == c:
-            return held
-        n[h + size] += 1
-        self.open[h + size].append(held)
-        return None
+        h += len(piece[2])
+        if h == self.window:
+            done.append(held)
+        else:
+            self.level[h] += 1
+            self.n_open += 1
+            self.open[h].append(held)
 
     def close(self) -> Iterator[list[tuple]]:
         pieces = [p for h in range(self.window, 0, -1) for held in self.open[h] for p in held]
@@ -68,13 +87,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each input partition is one stream packed where it lies, without a shuffle: full windows are cut off a document
-    first, what remains is packed. A lost task packs the same split again, with the same result. Sequence ids hold the
-    partition in their upper bits. State is the level array and the open windows, whatever the partition's size. Null
-    text is empty (the end id alone); null doc_id is kept; other columns are ignored; an empty table gives no rows.
+    first; what remains is cut into pieces of a quarter of a window at most, since pieces over half of one never meet, and
+    packed. A lost task packs the same split again, with the same result. Sequence ids hold the partition in their upper
+    bits. State is the level array and OPEN windows at most, whatever the partition's size. Null text is empty (the end id
+    alone); null doc_id is kept; rows that repeat are documents of their own; other columns are ignored; an empty table
+    gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(vocabulary), Packer(window)
+        enc, packer, piece = encoder(vocabulary), Packer(window), max(1, window // 4)
         state = {"sequence": None}
         rows: list[tuple] = []
 
@@ -105,8 +126,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
                     full = n - n % window
                     for k in range(0, full, window):
                         emit([(doc, k, tokens[s + k : s + k + window], n)])
-                    if full < n and (done := packer.place((doc, full, tokens[s + full : e].copy(), n), n - full)):
-                        emit(done)
+                    for k in range(full, n, piece):
+                        for done in packer.place((doc, k, tokens[s + k : min(e, s + k + piece)].copy(), n)):
+                            emit(done)
                 yield out()
         for done in packer.close():
             emit(done)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import table
+from spreadloom.llm.common import table, worker_of
 
 STATISTICS = [
     "log_bytes", "log_words", "word_length", "longest_word", "distinct_words", "top_word", "distinct_pairs", "repeated_next",
@@ -113,6 +113,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
 
 def _statistics_of(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("quality")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([statistics(t.as_py() or b"") for t in b.column("text")], pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -147,6 +148,7 @@ def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
     where = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("quality")
         for b in batches:
             if b.num_rows:
                 x = np.array([statistics((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(where)], float)
@@ -168,6 +170,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(docs: DataFrame, model: Trees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("quality")
         for b in batches:
             if b.num_rows:
                 x = np.array([statistics(t.as_py() or b"") for t in b.column("text")], float)

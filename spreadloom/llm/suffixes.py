@@ -28,26 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import cut, discard, mix, pair, sorted_groups, table, unused, worker_of
+from spreadloom.llm.common import cut, discard, mix, pair, running_start, sorted_groups, table, unused, worker_of
 from spreadloom.llm.tokens import slices, texts
 
 LENGTHS = (20, 40, 50)
 SEED, CORE, LENGTH = LENGTHS
 REACH, RUN = LENGTH - SEED + 1, LENGTH - CORE + 1
 SINGLE, SHARED, WITNESS, SETTLED = range(4)
-CHECK = (1 << 19) - 1
 PIECE, TOGETHER = 1 << 18, 8 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def _pack(lo: np.ndarray, back: np.ndarray | int, count: np.ndarray | int, check: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
-    """First start (32 bits), sampled position from there (5), number of strings less 1 (5), check (19), kind (2) in one long."""
-    return (lo.astype(np.int64) << 31) | (np.int64(1) * back << 26) | ((np.int64(1) * count - 1) << 21) | (check.astype(np.int64) << 2) | kind
+def _pack(lo: np.ndarray, back: np.ndarray | int, count: np.ndarray | int, kind: np.ndarray | int) -> np.ndarray:
+    """First start, sampled position from there (5 bits), number of strings less 1 (5), kind (2) in one long."""
+    return (lo.astype(np.int64) << 12) | (np.int64(1) * back << 7) | ((np.int64(1) * count - 1) << 2) | kind
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 31, (place >> 26) & 31, ((place >> 21) & 31) + 1, (place >> 2) & CHECK
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 12, (place >> 7) & 31, ((place >> 2) & 31) + 1
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -124,19 +123,19 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]
                 yield i + doc, s + lo, *rest
 
 
-def _merge(doc: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Unions of overlapping or touching intervals of each (doc, check)."""
+def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unions of overlapping or touching intervals of each row."""
     if not len(doc):
-        return doc, check, start, end
-    order = np.lexsort((start, check, doc))
-    doc, check, start, end = doc[order], check[order], start[order], end[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (check[1:] != check[:-1]))
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    new = np.append(True, doc[1:] != doc[:-1])
     group = np.cumsum(new) - 1
     far = int(end.max()) + 1
     reach = np.maximum.accumulate(end + group * far) - group * far
     new[1:] |= start[1:] > reach[:-1]
     heads = np.flatnonzero(new)
-    return doc[heads], check[heads], start[heads], np.append(reach[heads[1:] - 1], reach[-1])
+    return doc[heads], start[heads], np.append(reach[heads[1:] - 1], reach[-1])
 
 
 def _grouped(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,59 +157,62 @@ def _batch(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, pa.int64()) for c in columns], names=[c.split()[0] for c in names.split(", ")])
 
 
-def _settled_rows(doc: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _settled_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Spans that need no further rank: dealt out by a hash of their own, `low` holds the end."""
-    doc, check, start, end = _merge(doc, check, start, end)
-    return _batch([mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), end, doc, _pack(start, 0, 1, check, SETTLED)], ROWS)
+    doc, start, end = _merge(doc, start, end)
+    return _batch([mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), end, doc, _pack(start, 0, 1, SETTLED)], ROWS)
 
 
-def _shared(high: np.ndarray, doc: np.ndarray, new: np.ndarray) -> np.ndarray:
+def _shared(doc: np.ndarray, new: np.ndarray, bits: int) -> np.ndarray:
     """Of rows in order, whether several documents hold their group's rank."""
     heads, group = np.flatnonzero(new), np.cumsum(new) - 1
-    return (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads))[group]
+    return (np.minimum.reduceat(doc, heads) >> bits != np.maximum.reduceat(doc, heads) >> bits)[group]
 
 
-def _round1(batches: Batches) -> Batches:
+def _round1(bits: int) -> Callable[[Batches], Batches]:
     """Rows to sort: high is the rank, low the stretch. What TOGETHER bytes of texts settle by themselves leaves them as
     spans; a rank that several of their documents hold leaves them as one witness, and its rows trade high and low, so
     that a string that a third of the corpus holds gives one row for all of them."""
-    worker_of("suffixes")
-    for b in batches:
-        data, at = texts(b.column("text"))
-        at = np.asarray(at, np.int64)
-        ids, checks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "check"))
-        held: list[tuple[np.ndarray, ...]] = []
-        for part in _pieces(data, at):
-            held.append(part)
-            if sum(len(p[0]) for p in held) >= TOGETHER // 16:
-                yield from _rows1(held, ids, checks)
-                held = []
-        if held:
-            yield from _rows1(held, ids, checks)
-
-
-def _rows1(held: list[tuple[np.ndarray, ...]], ids: np.ndarray, checks: np.ndarray) -> Batches:
+
+    def run(batches: Batches) -> Batches:
+        worker_of("suffixes")
+        for b in batches:
+            data, at = texts(b.column("text"))
+            at = np.asarray(at, np.int64)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            held: list[tuple[np.ndarray, ...]] = []
+            for part in _pieces(data, at):
+                held.append(part)
+                if sum(len(p[0]) for p in held) >= TOGETHER // 16:
+                    yield from _rows1(held, ids, bits)
+                    held = []
+            if held:
+                yield from _rows1(held, ids, bits)
+
+    return run
+
+
+def _rows1(held: list[tuple[np.ndarray, ...]], ids: np.ndarray, bits: int) -> Batches:
     row, lo, count, back, seed, name = (np.concatenate(c) for c in zip(*held, strict=True))
     if not len(row):
         return
     doc = ids[row]
     order, _, least = _grouped(seed, name, doc=doc)
     row, doc, lo, count, back, seed, name = (x[order] for x in (row, doc, lo, count, back, seed, name))
-    check = checks[row]
-    settled = doc > least
+    settled = doc >> bits > least >> bits
     new = np.append(True, seed[1:] != seed[:-1])
-    many = _shared(seed, doc, new)
+    many = _shared(doc, new, bits)
     first = ~settled
-    place = _pack(lo, back, count, check, np.where(many, SHARED, SINGLE))
+    place = _pack(lo, back, count, np.where(many, SHARED, SINGLE))
     yield _batch([np.where(many, name, seed)[first], np.where(many, seed, name)[first], doc[first], place[first]], ROWS)
     w = np.flatnonzero(new & many)
     if len(w):
         yield _batch([seed[w], seed[w], doc[w], np.full(len(w), WITNESS)], ROWS)
     if settled.any():
-        yield _settled_rows(doc[settled], check[settled], lo[settled], lo[settled] + count[settled] - 1 + LENGTH)
+        yield _settled_rows(doc[settled], lo[settled], lo[settled] + count[settled] - 1 + LENGTH)
 
 
-def _pairs(length: int) -> Callable[[Batches], Batches]:
+def _pairs(length: int, bits: int) -> Callable[[Batches], Batches]:
     """Rank pairs of the listed places of each text. Before the last round a rank that several documents of a batch hold
     is sent as one witness, and its rows are spread out, as in round 1; in the last round a batch settles its own."""
 
@@ -219,16 +221,14 @@ def _pairs(length: int) -> Callable[[Batches], Batches]:
         for b in batches:
             data, at = texts(b.column("text"))
             at = np.asarray(at, np.int64)
-            ids, checks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "check"))
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             lists = b.column("places")
             flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             of = np.repeat(np.arange(len(ids)), size)
             step = 1 << 15
             for s in range(0, len(flat), step):
                 row = of[s : s + step]
-                lo, back, count, check = _unpack(flat[s : s + step])
-                fit = check == checks[row]
-                row, lo, back, count = row[fit], lo[fit], back[fit], count[fit]
+                lo, back, count = _unpack(flat[s : s + step])
                 if length < LENGTH:
                     # Runs of the offsets 0-10, 11-21 and 22-30 from the sampled position; x: where their common bytes begin.
                     least, most = back - count + 1, back
@@ -244,31 +244,31 @@ def _pairs(length: int) -> Callable[[Batches], Batches]:
                 if len(each):
                     row = row[each]
                     first, second = rank_pairs(data, at[row] + x, length)
-                    yield from _rows(length, first, second, ids[row], checks[row], start, count)
+                    yield from _rows(length, first, second, ids[row], start, count, bits)
 
     return run
 
 
-def _rows(length: int, first: np.ndarray, second: np.ndarray, doc: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray | int) -> Batches:
+def _rows(length: int, first: np.ndarray, second: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray | int, bits: int) -> Batches:
     order, new, least = _grouped(first, second, doc=doc)
     count = np.broadcast_to(count, len(doc))
-    first, second, doc, check, start, count = (x[order] for x in (first, second, doc, check, start, count))
+    first, second, doc, start, count = (x[order] for x in (first, second, doc, start, count))
     if length < LENGTH:
-        many = _shared(first, doc, new)
+        many = _shared(doc, new, bits)
         spread = mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64))
-        yield _batch([np.where(many, spread, first), second, doc, _pack(start, 0, count, check, np.where(many, SHARED, SINGLE))], ROWS)
+        yield _batch([np.where(many, spread, first), second, doc, _pack(start, 0, count, np.where(many, SHARED, SINGLE))], ROWS)
         w = np.flatnonzero(new & many)
         if len(w):
             yield _batch([first[w], second[w], doc[w], np.full(len(w), WITNESS)], ROWS)
     else:
-        settled = doc > least
+        settled = doc >> bits > least >> bits
         keep = ~settled
-        yield _batch([first[keep], second[keep], doc[keep], _pack(start, 0, count, check, SINGLE)[keep]], ROWS)
+        yield _batch([first[keep], second[keep], doc[keep], _pack(start, 0, count, SINGLE)[keep]], ROWS)
         if settled.any():
-            yield _settled_rows(doc[settled], check[settled], start[settled], start[settled] + LENGTH)
+            yield _settled_rows(doc[settled], start[settled], start[settled] + LENGTH)
 
 
-def _in_order(batches: Batches, keys: list[str], wait: bool) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+def _in_order(batches: Batches, keys: list[str], wait: bool, bits: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
     """Rows sorted by the keys and doc_id, a batch at a time, with the smallest document of each row's group and whether
     several hold it. Groups may be of any size: only where `wait` is set do rows wait, and only while all rows of their
     group are of one document."""
@@ -291,7 +291,7 @@ def _in_order(batches: Batches, keys: list[str], wait: bool) -> Iterator[tuple[d
             new[1:] |= c[k][1:] != c[k][:-1]
         group = np.cumsum(new)
         smallest = np.append(least, doc[new])[group]
-        several = np.bincount(group, (doc != smallest) | (kind == WITNESS), group[-1] + 1) > 0
+        several = np.bincount(group, (doc >> bits != smallest >> bits) | (kind == WITNESS), group[-1] + 1) > 0
         several[0] |= many
         stop = len(doc)
         if wait and b is not None and not several[-1]:
@@ -310,12 +310,12 @@ def _then_none(batches: Batches) -> Iterator[pa.RecordBatch | None]:
     yield None
 
 
-def _drop_unique(keys: list[str]) -> Callable[[Batches], Batches]:
+def _drop_unique(keys: list[str], bits: int) -> Callable[[Batches], Batches]:
     """Leaves out the ranks that one document alone holds. Rows that traded high and low in round 1 get them back."""
 
     def run(batches: Batches) -> Batches:
         worker_of("suffixes")
-        for c, _, several in _in_order(batches, keys, True):
+        for c, _, several in _in_order(batches, keys, True, bits):
             kind = c["place"] & 3
             keep = (kind == SHARED) | (kind == SETTLED) | ((kind == SINGLE) & several)
             traded = (kind == SHARED)[keep]
@@ -328,20 +328,20 @@ def _drop_unique(keys: list[str]) -> Callable[[Batches], Batches]:
 JUDGED = "doc_id long, place long, end long"
 
 
-def _settle(length: int | None) -> Callable[[Batches], Batches]:
+def _settle(length: int | None, bits: int) -> Callable[[Batches], Batches]:
     """Rows whose rank an earlier document holds become settled spans; others stay open before the last round, and go in it."""
 
     def run(batches: Batches) -> Batches:
         worker_of("suffixes")
-        for c, least, _ in _in_order(batches, ["high", "low"], False):
+        for c, least, _ in _in_order(batches, ["high", "low"], False, bits):
             doc, place = c["doc_id"], c["place"]
-            lo, _, count, check = _unpack(place)
+            lo, _, count = _unpack(place)
             ready = (place & 3) == SETTLED
-            later = ~ready & (doc > least)
+            later = ~ready & (doc >> bits > least >> bits)
             gone = ready | later
             end = np.where(ready, c["low"], lo + count - 1 + LENGTH)
-            d, k, s, e = _merge(doc[gone], check[gone], lo[gone], end[gone])
-            yield _batch([d, _pack(s, 0, 1, k, SETTLED), e], JUDGED)
+            d, s, e = _merge(doc[gone], lo[gone], end[gone])
+            yield _batch([d, _pack(s, 0, 1, SETTLED), e], JUDGED)
             if length is None:
                 yield _batch([doc[~gone], place[~gone], end[~gone]], JUDGED)
 
@@ -352,32 +352,55 @@ def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(CHECK)).alias("check"), text.alias("text")).filter("doc_id is not null and text is not null")
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: of each document that has any, the disjoint byte spans covered by a 50-byte string that a document of
-    smaller doc_id holds too, as int64 triples (check, start, end) in order.
-
-    `docs` has doc_id and text; other columns are ignored. Strings are judged on the input. Rows without doc_id or text
-    take no part; rows that share a doc_id do not cover each other and are told apart by `check`, 19 bits of a hash of the
-    text; texts under 50 bytes have no spans; an empty table gives no rows.
+def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """`docs` with a long of its own for each row, in order of doc_id, in the column `key`; and the number of its lowest
+    bits that tell rows of one doc_id apart (null where the row takes no part). Where no doc_id repeats it is the doc_id
+    itself, of which only a count is made. Else the ids are ranked (sorted by ranges), and the rows of an id counted off in
+    buckets, so that no task gets an id's rows."""
+    takes = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    counts = docs.filter(takes).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    if most <= 1:
+        return docs.withColumn(key, F.when(takes, F.col("doc_id").cast("long"))), 0
+    row, = unused(docs, "_row")
+    copy = cut(docs.withColumn(row, F.monotonically_increasing_id()), "suffix-rows")
+    own = copy.filter(takes).select(F.col("doc_id").cast("long").alias("_id"), F.col(row).alias("_row"))
+    ranges = cut(counts.select(F.col("doc_id").alias("_id")).repartitionByRange("_id").withColumn("_range", F.spark_partition_id()), "suffix-ids")
+    ranks = running_start(ranges.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1)), "_all", "_range", [F.col("_id")], "_one", "_rank").select("_id", "_rank")
+    nth = running_start(own.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(4096))).withColumn("_one", F.lit(1)), "_id", "_bucket", [F.col("_row")], "_one", "_nth")
+    nth = cut(nth.select("_id", "_row", "_nth"), "suffix-counts")
+    bits = int(most - 1).bit_length()
+    if ranges.count().bit_length() + bits > 62:
+        raise ValueError("doc_ids and their repeats are beyond 62 bits")
+    keys = cut(nth.join(ranks, "_id").select("_row", F.shiftleft("_rank", bits).bitwiseOR(F.col("_nth")).alias("_key")), "suffix-keys")
+    discard(ranges, nth)
+    out = copy.join(keys.hint("merge"), copy[row] == keys["_row"], "left").drop(row, "_row").withColumnRenamed("_key", key)
+    out = cut(out, "suffix-numbered")
+    discard(copy, keys)
+    return out, bits
+
+
+def repeated_spans(docs: DataFrame, key: str, bits: int) -> DataFrame:
+    """doc_id (that is, a row's number in the column `key`, see numbered()), spans: of each row that has any, the disjoint
+    byte spans covered by a 50-byte string that a document of smaller doc_id holds too, as int64 pairs (start, end) in order.
+
+    `docs` has text and the key; other columns are ignored. Strings are judged on the input. Rows without a number take no
+    part; rows that share a doc_id do not cover each other; texts under 50 bytes have no spans; an empty table gives no
+    rows.
     """
-    base = _base(docs)
+    base = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kind = F.col("place").bitwiseAND(F.lit(3))
-    rows = cut(_sorted(base.mapInArrow(_round1, ROWS), "high").mapInArrow(_drop_unique(["high"]), ROWS), "suffix-round1")
-    judged = cut(_sorted(rows, "high", "low").mapInArrow(_settle(None), JUDGED), "suffix-round2")
+    rows = cut(_sorted(base.mapInArrow(_round1(bits), ROWS), "high").mapInArrow(_drop_unique(["high"], bits), ROWS), "suffix-round1")
+    judged = cut(_sorted(rows, "high", "low").mapInArrow(_settle(None, bits), JUDGED), "suffix-round2")
     discard(rows)
     open_places, settled = judged.filter(kind != SETTLED), judged.filter(kind == SETTLED)
     for number, length in enumerate(LENGTHS[1:], 3):
-        lists = open_places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-        rows = base.join(lists.hint("merge"), "doc_id").select("doc_id", "check", "text", "places").mapInArrow(_pairs(length), ROWS)
+        lists = open_places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # of one text
+        rows = base.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(_pairs(length, bits), ROWS)
         if length < LENGTH:
-            open_places = cut(_sorted(rows, "high", "low").mapInArrow(_drop_unique(["high", "low"]), ROWS), f"suffix-round{number}")
+            open_places = cut(_sorted(rows, "high", "low").mapInArrow(_drop_unique(["high", "low"], bits), ROWS), f"suffix-round{number}")
         else:
-            last = cut(_sorted(rows, "high", "low").mapInArrow(_settle(length), JUDGED), f"suffix-round{number}")
+            last = cut(_sorted(rows, "high", "low").mapInArrow(_settle(length, bits), JUDGED), f"suffix-round{number}")
             discard(open_places)
             settled = settled.unionByName(last)
 
@@ -385,31 +408,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         worker_of("suffixes")
         for t, starts in sorted_groups(batches, ["doc_id"], 1 << 17):
             doc, place, end = (t.column(c).combine_chunks().to_numpy() for c in ("doc_id", "place", "end"))
-            lo, _, _, check = _unpack(place)
-            doc, check, start, end = _merge(doc, check, lo, end)
+            doc, start, end = _merge(doc, _unpack(place)[0], end)
             heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            raw = np.stack([check, start, end], 1).astype("<i8").tobytes()
-            ends = np.append(heads[1:], len(doc)) * 24
-            yield pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.array([raw[s:e] for s, e in zip((heads * 24).tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "spans"])
+            raw = np.stack([start, end], 1).astype("<i8").tobytes()
+            ends = np.append(heads[1:], len(doc)) * 16
+            yield pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.array([raw[s:e] for s, e in zip((heads * 16).tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "spans"])
 
     out = cut(settled.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(united, "doc_id long, spans binary"), "suffix-spans")
     discard(judged, last)
     return out
 
 
-def _with_spans(docs: DataFrame, id_col: str, check: str, spans: str) -> DataFrame:
-    """`docs` with the check of its text and its spans, in columns of the given names."""
-    found = repeated_spans(docs).select(F.col("doc_id").alias(id_col), F.col("spans").alias(spans))
-    own = docs.withColumn(check, F.xxhash64(F.col("text").cast("binary")).bitwiseAND(F.lit(CHECK)))
-    return own.join(found.hint("merge"), own["doc_id"].cast("long") == found[id_col], "left").drop(found[id_col])
+def _with_spans(docs: DataFrame, spans: str) -> DataFrame:
+    """`docs` with the spans of its rows in a column of the given name."""
+    key, number = unused(docs, "_key", "_number")
+    rows, bits = numbered(docs, key)
+    found = repeated_spans(rows, key, bits).select(F.col("doc_id").alias(number), F.col("spans").alias(spans))
+    return rows.join(found.hint("merge"), rows[key] == found[number], "left").drop(key, number)
 
 
-def _removed(data: bytes, spans: bytes | None, check: int, whole_characters: bool = False) -> list[tuple[int, int]]:
+def _removed(data: bytes, spans: bytes | None, whole_characters: bool = False) -> list[tuple[int, int]]:
     """Removed spans of one text, in order."""
     if not spans:
         return []
-    triples = np.frombuffer(spans, "<i8").reshape(-1, 3)
-    out = [(s, e) for s, e in triples[triples[:, 0] == check, 1:].tolist()]
+    out = [(s, e) for s, e in np.frombuffer(spans, "<i8").reshape(-1, 2).tolist()]
     if whole_characters:
         inner = lambda p: p < len(data) and data[p] & 0xC0 == 0x80
         fixed = []
@@ -433,22 +455,23 @@ def _kept(data: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; a null text counts as empty."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; a null text counts as empty. Rows that repeat a
+    doc_id are reported one by one and do not cover each other."""
 
     def run(batches: Batches) -> Batches:
         worker_of("suffixes")
         for b in batches:
             out = []
-            for text, check, spans in zip(b.column("text"), b.column("check").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
                 data = text.as_py() or b""
-                gone = _removed(data, spans, check)
+                gone = _removed(data, spans)
                 out.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest()))
             if out:
                 n, r, k, h = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, r, k)), pa.array(h)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), "_id", "check", "spans")
-    return rows.select("doc_id", "text", "check", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), "spans")
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -461,11 +484,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         worker_of("suffixes")
         for b in batches:
             text, keep = [], []
-            for t, check, spans in zip(b.column(where), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
+            for t, spans in zip(b.column(where), b.column(len(names)).to_pylist(), strict=True):
                 data = t.as_py()
                 if data is not None and spans is not None:
                     raw = data.encode("utf-8", "surrogatepass")
-                    gone = _removed(raw, spans, check, True)
+                    gone = _removed(raw, spans, True)
                     if gone:
                         data = _kept(raw, gone).decode("utf-8", "replace") or None
                     keep.append(data is not None)
@@ -479,8 +502,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[k] = pa.array([None if t is None else len(t) for t in text], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    own = unused(docs, "_id", "_check", "_spans")
-    return _with_spans(docs, *own).select(*names, *own[1:]).mapInArrow(run, docs.schema)
+    own, = unused(docs, "_spans")
+    return _with_spans(docs, own).select(*names, own).mapInArrow(run, docs.schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ FILE = "part int, chunk int, n_ids long, doc_ids binary, lengths binary, has_id
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, n_parts: int | None = None) -> None:
     """Tokenize whole texts (doc_id, text; other columns are ignored) and write the files.
 
-    Range partitions of (doc_id, hash of text) are sorted and encoded where they lie, in runs of about 4 MB of text, so a
+    Range partitions of (doc_id, hash of text) are sorted and encoded where they lie, in runs of about 1 MB of text, so a
     task's memory does not depend on its partition; rows of one repeated doc_id can spread over partitions. Null text is
     empty, null doc_id comes first, each document ends in `end_id`, an empty table gives files without rows.
     """

@@ -26,7 +26,7 @@ class TextEncoder:
     """Ids of `encode(text, add_special_tokens=False)`. `keep` and `keep_bytes` bound the chunks remembered (about 40 bytes
     each) and their text; beyond them they are forgotten and learnt anew."""
 
-    def __init__(self, path: str, keep: int = 2_500_000, keep_bytes: int = 1 << 26):
+    def __init__(self, path: str, keep: int = 1_000_000, keep_bytes: int = 1 << 25):
         self.tokenizer = Tokenizer.from_file(path)
         self.keep, self.keep_bytes = keep, keep_bytes
         vocab = self.tokenizer.get_vocab()
