@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.llm.chosenpath import jaccard_join
-from spreadloom.llm.common import cut, table
+from spreadloom.llm.common import cut, discard, table
 from spreadloom.llm.mixture import mixed_documents
 from spreadloom.llm.packing import pack_documents
 from spreadloom.llm.quality import fit_quality, score_quality
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
