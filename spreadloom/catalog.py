@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.operators import bars as B
+from spreadloom.operators import panes as N
 from spreadloom.operators import profile as P
 from spreadloom.operators import stats as S
 from spreadloom.operators import windows as W
@@ -63,8 +64,7 @@ def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def _pair_stats(spark: SparkSession, d: str) -> DataFrame:
-    w = W.assign_windows(_walk(spark, d), PARAMS.window, PARAMS.step)
-    s = S.pair_statistics(S.pair_rows(w, W.usable_windows(w, PARAMS.window), PARAMS.benchmark))
+    s = N.window_statistics(_walk(spark, d), PARAMS.benchmark, [PARAMS.window], PARAMS.step)
     return _round(s.select("a", "b", "window_id", "hedge_ratio", "half_life", "beta", "z", "vol_a", "vol_b"), 5, "hedge_ratio", "beta", "z", "vol_a", "vol_b").withColumn("half_life", F.round("half_life", 1))
 
 

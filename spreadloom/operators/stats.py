@@ -45,32 +45,6 @@ def pair_rows(windowed: DataFrame, usable: DataFrame, benchmark: str, excluded:
     return met.select(*KEYS, *blocks, "shift_a", "shift_b", F.inline(F.arrays_zip("bar_idx", "la", "lb", "lc")))
 
 
-def pair_statistics(rows: DataFrame, vol_bars: int = 60) -> DataFrame:
-    """One row per pair and window: hedge_ratio, half_life, beta, z, volatilities and last logs.
-
-    The exchange that met the legs serves the hedge ratio, the lags and the final aggregate.
-    """
-    keys = pair_keys(rows)
-    whole = Window.partitionBy(*keys)
-    order = whole.orderBy("bar_idx")
-    x = rows.withColumn("h", F.regr_slope("la", "lb").over(whole)).withColumn("end_bar", F.max("bar_idx").over(whole))
-    x = x.withColumn("s", F.col("la") - F.col("h") * F.col("lb"))
-    for c in ("s", "la", "lb", "lc"):
-        x = x.withColumn(f"d_{c}", F.col(c) - F.lag(c).over(order))
-    x = x.withColumn("s_lag", F.col("s") - F.col("d_s")).withColumn("d_pair", F.col("d_la") - F.col("h") * F.col("d_lb"))
-    recent = F.col("bar_idx") > F.col("end_bar") - (vol_bars - 1)
-    out = x.groupBy(*keys).agg(
-        F.first("h").alias("hedge_ratio"), F.min("bar_idx").alias("start_index"), F.max("bar_idx").alias("end_index"), F.count("*").alias("n"),
-        (1 + F.regr_slope("d_s", "s_lag")).alias("phi"), F.when(F.count(F.when(F.col("d_lc").isNotNull(), F.col("d_pair"))) >= 5, ratio(F.covar_samp("d_pair", "d_lc"), F.var_pop(F.when(F.col("d_pair").isNotNull(), F.col("d_lc"))))).alias("beta"),
-        F.max_by("s", "bar_idx").alias("s_last"), F.avg("s").alias("s_mean"), F.stddev_samp("s").alias("s_std"),
-        F.stddev_pop(F.when(recent, F.col("d_la"))).alias("vol_a"), F.stddev_pop(F.when(recent, F.col("d_lb"))).alias("vol_b"),
-        F.max_by("la", "bar_idx").alias("last_a"), F.max_by("lb", "bar_idx").alias("last_b"), F.first("shift_a").alias("shift_a"), F.first("shift_b").alias("shift_b"),
-    )
-    half = F.when((F.col("phi") > 0) & (F.col("phi") < 1) & (F.col("n") >= 10), F.bround(-F.log(F.lit(2.0)) / F.log("phi"), 2))
-    z = F.when(F.col("s_std") > 0, (F.col("s_last") - F.col("s_mean")) / F.col("s_std"))
-    return out.withColumn("half_life", half).withColumn("z", z).drop(*BLOCKS)
-
-
 def rolling_z(series: DataFrame, n: int = 200, least: int = 10, value: str = "logp", key: str = "symbol") -> DataFrame:
     w = Window.partitionBy(key).orderBy("bar_idx").rowsBetween(-(n - 1), 0)
     std = F.stddev_samp(value).over(w)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import replace
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.operators import trades as T
 from spreadloom.params import PRESETS, BacktestParams, ScanParams
-from spreadloom.plans.scan import scan_pairs
+from spreadloom.plans.scan import scan_windows
 from spreadloom.session import settle
 
 NUMBERS = ["capital", "commission", "slippage", "risk_share", "notional_share", "z_gate", "z_entry", "z_exit", "z_stop", "hold_multiplier", "max_hold_days"]
@@ -24,9 +23,9 @@ def sweep(base: BacktestParams = BacktestParams(), **values: Iterable) -> dict[s
 
 
 def scan_lookbacks(series: DataFrame, p: ScanParams, windows: Iterable[int]) -> DataFrame:
-    """The scan under several window lengths, with the length as `lookback`. Windows of another length are other rows from
-    the first step on, so each length is a branch of its own."""
-    return reduce(DataFrame.unionByName, (scan_pairs(series, replace(p, window=n)).withColumn("lookback", F.lit(n)) for n in windows))
+    """The scan under several window lengths, with the length as `lookback`: one plan, in which windows of all lengths are
+    assembled from the same panes."""
+    return scan_windows(series, p, windows, [p.vol_bars]).drop("vol_bars")
 
 
 def sweep_trades(signals: DataFrame, prices: DataFrame, sets: dict[str, BacktestParams]) -> DataFrame:
