@@ -130,7 +130,7 @@ def settle_backtest(spark: SparkSession, d: str) -> DataFrame:
 
 def _mae(spark: SparkSession, d: str) -> DataFrame:
     b = _backtest(spark, d)
-    return T.mae95(b.allocated, b.prices, b.params)
+    return T.mae95(b.allocated, b.chunks, b.params)
 
 
 def _market(spark: SparkSession, d: str) -> DataFrame:

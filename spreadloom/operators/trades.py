@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import null_if_nan, ratio
+from spreadloom.operators.paths import leg_arrays, moments, rolling_z, steps
 from spreadloom.params import BacktestParams
+from spreadloom.session import settle
 
 
 def _maybe(df: DataFrame, *names: str, kind: str = "double") -> Column:
@@ -81,30 +83,36 @@ def _zero(c: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), c)
 
 
-def current_z(signals: DataFrame, prices: DataFrame, window: int) -> DataFrame:
+def current_z(signals: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
     """signal_id, z_now: z of the spread at the signal bar, over its trailing bars; null while flat or short."""
-    rows = leg_rows(signals, prices, _zero(F.col("signal_bar") - (window - 1)), F.col("signal_bar"), "hedge").withColumn("s", F.col("la") - F.col("hedge") * F.col("lb"))
-    z = F.when((F.count("s") >= 10) & (F.stddev_samp("s") > 0), (F.max_by("s", "bar_idx") - F.avg("s")) / F.stddev_samp("s"))
-    return rows.groupBy("signal_id").agg(z.alias("z_now"))
+    rows = leg_arrays(signals.select("signal_id", "a", "b", "hedge", "signal_bar"), chunks, "signal_id", _zero(F.col("signal_bar") - (window - 1)), F.col("signal_bar"))
+    rows = rows.withColumn("_s", F.transform("bars", lambda b: b["la"] - F.col("hedge") * b["lb"])).withColumn("_m", moments(F.col("_s")))
+    std = F.sqrt(F.col("_m.m2") / (F.col("_m.n") - 1))
+    z = F.when((F.col("_m.n") >= 10) & (std > 0), (F.element_at("_s", -1) - F.col("_m.mean")) / std)
+    return rows.select("signal_id", z.alias("z_now"))
 
 
-def gate_current_z(signals: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
+def gate_current_z(signals: DataFrame, chunks: DataFrame, p: BacktestParams) -> DataFrame:
     """Signals whose spread, over the trailing bars of the signal bar, is at least `z_gate` deviations out; z and side are
     taken anew from it."""
-    now = current_z(signals, prices, p.window).filter(F.abs("z_now") >= p.z_gate)
+    now = current_z(signals, chunks, p.window).filter(F.abs("z_now") >= p.z_gate)
     return signals.join(now, "signal_id").withColumn("entry_z", F.col("z_now")).withColumn("side", F.when(F.col("z_now") > 0, -1).otherwise(1)).drop("z_now")
 
 
-def trailing_volatility(signals: DataFrame, prices: DataFrame, vol_bars: int) -> DataFrame:
-    """The signals with _va, _vb: deviations of both legs' log returns on the trailing bars."""
-    rows = leg_rows(signals, prices, _zero(F.col("signal_bar") - (vol_bars - 1)), F.col("signal_bar"))
-    order = Window.partitionBy("signal_id").orderBy("bar_idx")
-    rows = rows.withColumn("ra", F.col("la") - F.lag("la").over(order)).withColumn("rb", F.col("lb") - F.lag("lb").over(order))
-    return signals.join(rows.groupBy("signal_id").agg(F.stddev_pop("ra").alias("_va"), F.stddev_pop("rb").alias("_vb")), "signal_id", "left")
+def volatility(bars: Column, vol_bars: Column | int) -> dict[str, Column]:
+    """_va, _vb: deviations of both legs' log returns on the last `vol_bars` of an array of bars; null without a return."""
+    of = lambda c: moments(steps(bars[c], vol_bars))
+    return {f"_v{n}": F.when(of(f"l{n}")["n"] > 0, F.sqrt(of(f"l{n}")["m2"] / of(f"l{n}")["n"])) for n in "ab"}
 
 
-def resolve_alloc(signals: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
-    return allocate(trailing_volatility(signals, prices, p.vol_bars), p)
+def trailing_bars(signals: DataFrame, chunks: DataFrame, vol_bars: int) -> DataFrame:
+    """The signals with `bars`, both legs' logs on the trailing bars (null where there are none)."""
+    rows = leg_arrays(signals.select("signal_id", "a", "b", "signal_bar"), chunks, "signal_id", _zero(F.col("signal_bar") - (vol_bars - 1)), F.col("signal_bar"))
+    return signals.join(rows.select("signal_id", "bars"), "signal_id", "left")
+
+
+def resolve_alloc(signals: DataFrame, chunks: DataFrame, p: BacktestParams) -> DataFrame:
+    return allocate(trailing_bars(signals, chunks, p.vol_bars).withColumns(volatility(F.col("bars"), p.vol_bars)).drop("bars"), p)
 
 
 def allocate(signals: DataFrame, p: BacktestParams) -> DataFrame:
@@ -117,20 +125,35 @@ def allocate(signals: DataFrame, p: BacktestParams) -> DataFrame:
     return signals.withColumn("alloc_a", pick(d1, g1, wa)).withColumn("alloc_b", pick(d2, g2, wb)).drop("_va", "_vb")
 
 
-def mae95(allocated: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
+def mae95(allocated: DataFrame, chunks: DataFrame, p: BacktestParams) -> DataFrame:
     """signal_id, mae: 95th percentile, over all runs of `hold` of the trailing returns, of the worst running loss. Signals
-    with fewer returns than a run have no row. A signal has at most (n + 1)^2 / 4 run-bars, n = vol_bars + 10 returns."""
-    reach = p.vol_bars + 10
+    with fewer returns than a run have no row.
+
+    A signal is one array of its n + 1 running values; the lowest of each run comes from a sparse table: minima of 2**k
+    values, doubled while they fit into a run, two of which cover it.
+    """
+    reach = (F.lit(p.vol_bars) if isinstance(p.vol_bars, int) else p.vol_bars).cast("long") + 10
     hold = F.greatest(F.lit(1.0), F.bround(F.coalesce("half_life", F.lit(3.0)) * p.hold_multiplier)).cast("long")
     x = allocated.withColumn("hold", hold).withColumn("base", _zero(F.col("signal_bar") - reach)).withColumn("n", F.col("signal_bar") - F.col("base"))
-    rows = leg_rows(x.filter("n >= 2 and n >= hold"), prices, F.col("base"), F.col("signal_bar"), "base", "n", "hold", "alloc_a", "alloc_b")
-    order = Window.partitionBy("signal_id").orderBy("bar_idx")
-    moved = F.col("alloc_a") * (F.col("la") - F.lag("la").over(order)) - F.col("alloc_b") * (F.col("lb") - F.lag("lb").over(order))
-    rows = rows.withColumn("pnl", moved).withColumn("run", F.sum("pnl").over(order)).filter("bar_idx > base").withColumn("i", F.col("bar_idx") - F.col("base"))
-    starts = F.sequence(F.greatest(F.lit(1).cast("long"), F.col("i") - F.col("hold") + 1), F.least(F.col("i"), F.col("n") - F.col("hold") + 1))
-    runs = rows.filter("greatest(1, i - hold + 1) <= least(i, n - hold + 1)").select("signal_id", "i", "run", "pnl", F.explode(starts).alias("start"))
-    worst = runs.groupBy("signal_id", "start").agg((F.min("run") - F.min_by(F.col("run") - F.col("pnl"), "i")).alias("worst"))
-    return worst.groupBy("signal_id").agg(F.percentile(F.greatest(F.lit(0.0), -F.col("worst")), F.lit(0.95)).alias("mae"))
+    x = x.filter("n >= 2 and n >= hold").select("signal_id", "a", "b", "signal_bar", "base", "hold", "alloc_a", "alloc_b")
+    rows = leg_arrays(x, chunks, "signal_id", F.col("base"), F.col("signal_bar"))
+    rows = rows.select("signal_id", F.col("hold").cast("int").alias("hold"), F.transform("bars", lambda b: F.col("alloc_a") * b["la"] - F.col("alloc_b") * b["lb"]).cast("array<double>").alias("run"))
+    rows = rows.filter(F.size("run") > F.col("hold")).withColumn("k", F.floor(F.log2("hold")).cast("int"))
+    doublings = F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def doubled(low: Column, k: Column) -> Column:
+        step = F.pow(F.lit(2), k).cast("int")
+        n = F.size(low) - step
+        return F.zip_with(F.slice(low, 1, n), F.slice(low, step + 1, n), lambda u, v: F.least(u, v)).cast("array<double>")
+
+    rows = rows.withColumn("low", F.aggregate(doublings, F.slice("run", 2, F.size("run")), doubled))
+    runs, apart = F.size("run") - F.col("hold"), F.col("hold") - F.pow(F.lit(2), F.col("k")).cast("int")
+    lowest = F.zip_with(F.slice("low", 1, runs), F.slice("low", apart + 1, runs), lambda u, v: F.least(u, v))
+    losses = F.zip_with(F.slice("run", 1, runs), lowest, lambda u, v: F.greatest(F.lit(0.0), u - v))
+    rows = rows.select("signal_id", F.sort_array(losses).alias("loss")).withColumn("at", (F.size("loss") - 1) * F.lit(0.95))
+    below, above = F.floor("at").cast("int"), F.ceil("at").cast("int")
+    value = F.get("loss", below) + (F.col("at") - below) * (F.get("loss", above) - F.get("loss", below))
+    return rows.select("signal_id", value.alias("mae"))
 
 
 def risk_scale(allocated: DataFrame, mae: DataFrame, limit: float) -> DataFrame:
@@ -157,12 +180,7 @@ def entry_fills(entries: DataFrame, prices: DataFrame, p: BacktestParams) -> Dat
     return x.withColumn("entry_comm", comm).drop("pa", "pb")
 
 
-def position_z(fills: DataFrame, prices: DataFrame, last: Column, p: BacktestParams) -> DataFrame:
-    """z of each position's spread on every bar from its entry to `last`, over the trailing bars; null while flat or short."""
-    rows = leg_rows(fills, prices, _zero(F.col("entry_idx") - (p.window - 1)), last, "hedge", "entry_idx", "entry_z").withColumn("s", F.col("la") - F.col("hedge") * F.col("lb"))
-    w = Window.partitionBy("signal_id").orderBy("bar_idx").rowsBetween(-(p.window - 1), 0)
-    z = F.when((F.count("s").over(w) >= 10) & (F.stddev_samp("s").over(w) > 0), (F.col("s") - F.avg("s").over(w)) / F.stddev_samp("s").over(w))
-    return rows.withColumn("z", z).filter("bar_idx >= entry_idx").select("signal_id", "entry_idx", "entry_z", "bar_idx", "z")
+HORIZON = 64
 
 
 def exit_reason(p: BacktestParams) -> Column:
@@ -178,18 +196,36 @@ def first_reason(bars: DataFrame) -> DataFrame:
     return at.agg(F.min("bar_idx").alias("exit_bar"), F.min_by("reason", "bar_idx").alias("exit_reason"), F.min_by("z", "bar_idx").alias("exit_z"))
 
 
-def first_exit(fills: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
-    """signal_id, exit_bar, exit_reason, exit_z of the first bar with a reason. Bars are looked at up to the longest hold;
-    the few positions flat at that bar are taken up again without an end."""
-    held = int(-(-24 * p.max_hold_days // 1))
-
-    def found(x: DataFrame, last: Column) -> DataFrame:
-        return first_reason(position_z(x, prices, last, p).withColumn("reason", exit_reason(p)))
+def first_exit(fills: DataFrame, chunks: DataFrame, p: BacktestParams, path: str = "signal_id", horizon: int = HORIZON) -> DataFrame:
+    """signal_id, exit_bar, exit_reason, exit_z of the first bar with a reason.
 
-    near = found(fills, F.least(F.col("entry_idx") + held, F.col("last_bar")))
-    rest = fills.filter(F.col("entry_idx") + held < F.col("last_bar")).join(near, "signal_id", "left_anti")
-    out = near.unionByName(found(rest, F.col("last_bar")))
-    return out if not p.causal else out.join(fills.select("signal_id", "last_bar"), "signal_id").filter("exit_bar < last_bar").drop("last_bar")
+    Bars are looked at `horizon` at a time, twice as many in each round, and only for positions that are still open: no
+    position has more than about twice its held bars looked at, or `horizon`. Rows with one `path` are one position under
+    several parameter sets, of one pair, hedge, entry and window, and share its z. Each round is settled.
+    """
+    window = p.window if isinstance(p.window, int) else F.first("p_window")
+    keep = [c for c in fills.columns if c.startswith("p_")]
+    left = fills.select("signal_id", *([] if path == "signal_id" else [path]), "a", "b", "hedge", "entry_idx", "entry_z", "last_bar", *keep).withColumn("from_bar", F.col("entry_idx"))
+    found = None
+    while True:
+        last = F.least(F.col("from_bar") + horizon - 1, F.col("last_bar"))
+        one = lambda c: F.first(c).alias(c)
+        paths = left if path == "signal_id" else left.groupBy(path).agg(*map(one, ("a", "b", "hedge", "from_bar", "last_bar")), F.lit(window).cast("int").alias("window") if isinstance(window, int) else window.cast("int").alias("window"))
+        size = p.window if path == "signal_id" else F.col("window")
+        some = leg_arrays(paths, chunks, path, _zero(F.col("from_bar") - (size - 1)), last)
+        bars = rolling_z(some, size)
+        if path != "signal_id":
+            bars = bars.select(path, "bar_idx", "z").join(left, path)
+        now = settle(first_reason(bars.withColumn("reason", exit_reason(p))))
+        found = now if found is None else found.unionByName(now)
+        left = settle(left.filter(F.col("from_bar") + horizon <= F.col("last_bar")).join(now, "signal_id", "left_anti").withColumn("from_bar", F.col("from_bar") + horizon))
+        if left.isEmpty():
+            break
+        horizon *= 2
+    if p.causal is False:
+        return found
+    causal = F.lit(True) if p.causal is True else p.causal
+    return found.join(fills.select("signal_id", "last_bar", *([] if p.causal is True else ["p_causal"])), "signal_id").filter(~causal | (F.col("exit_bar") < F.col("last_bar"))).select(*found.columns)
 
 
 def exit_fills(fills: DataFrame, exits: DataFrame, prices: DataFrame, p: BacktestParams) -> DataFrame:
