@@ -151,7 +151,21 @@ def _scan(spark: SparkSession, d: str, lags: str | None = None) -> DataFrame:
     return _round(s.withColumn("half_life", F.round("half_life", 1)), 4, "hedge_ratio", "beta", "z").drop("qty1", "qty2", "p_value").withColumns({c: F.round(c, 0) for c in ("dollar1", "dollar2")})
 
 
+PANEL = replace(PARAMS, z_entry=2.0, benchmark="P000001")
+
+
+def _panel_bars(spark: SparkSession, d: str) -> DataFrame:
+    return B.bars_from_lineitem(_table(spark, d, "lineitem"))
+
+
+def _panel_scan(spark: SparkSession, d: str) -> DataFrame:
+    s = scan_pairs(B.log_prices(B.dense_grid(_panel_bars(spark, d))), PANEL)
+    return _round(s.select("pair", "window_id", "signal", "hedge_ratio", "beta", "z"), 4, "hedge_ratio", "beta", "z")
+
+
 QUERIES = {
+    "panel_bars": lambda s, d: _round(_ts(_panel_bars(s, d)), 8, "open", "close"),
+    "panel_scan": _panel_scan,
     "bars_from_events": lambda s, d: _ts(_bars(s, d)),
     "bar_index": lambda s, d: _ts(B.with_bar_idx(_bars(s, d)).select("symbol", "ts", "bar_idx")),
     "duplicate_bars": lambda s, d: _ts(B.duplicate_bars(_bars(s, d).union(_bars(s, d).filter("symbol = 'S03'")))),
@@ -246,7 +260,19 @@ t AS (SELECT a, b, window_id, min(bar_idx) AS start_index, max(bar_idx) AS end_i
     stddev_pop(CASE WHEN bar_idx > e - 59 THEN da END) AS vol_a, stddev_pop(CASE WHEN bar_idx > e - 59 THEN db END) AS vol_b FROM r GROUP BY a, b, window_id),
 st AS (SELECT *, CASE WHEN phi > 0 AND phi < 1 THEN round_even(-ln(2) / ln(phi), 2) END AS half_life, CASE WHEN sd > 0 THEN (s_last - m) / sd END AS z FROM t)"""
 
+_LINES = """bars AS (SELECT 'P' || lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, date_trunc('week', l_shipdate)::TIMESTAMP AS ts,
+    first(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber) AS open, last(l_extendedprice / l_quantity ORDER BY l_shipdate, l_orderkey, l_linenumber) AS close
+    FROM lineitem GROUP BY 1, 2)"""
+_PANEL = _LINES + """,
+dates AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar_idx FROM (SELECT DISTINCT ts FROM bars)),
+grid AS (SELECT s.symbol, d.ts, d.bar_idx, b.close FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN dates d LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = d.ts),
+walk AS (SELECT symbol, ts, bar_idx, ln(coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx),
+    first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS logp FROM grid)"""
+
 SQL = {
+    "panel_bars": f"WITH {_LINES} SELECT symbol, {_F}, round(open, 8) AS open, round(close, 8) AS close FROM bars",
+    "panel_scan": f"""WITH {_STATS.replace(_WALK, _PANEL).replace("'S00'", f"'{PANEL.benchmark}'")} SELECT a || '-' || b AS pair, window_id, CASE WHEN z >= {PANEL.z_entry} THEN -1 ELSE 1 END AS signal,
+    round(hedge_ratio, 4) AS hedge_ratio, round(beta, 4) AS beta, round(z, 4) AS z FROM st WHERE half_life > 0 AND half_life <= {PANEL.max_half_life} AND abs(beta) < {PANEL.max_beta} AND abs(z) >= {PANEL.z_entry}""",
     "bars_from_events": f"WITH {_BARS} SELECT symbol, {_F}, open, close FROM bars",
     "bar_index": f"WITH {_BARS} SELECT symbol, {_F}, bar_idx FROM bars JOIN dates USING (ts)",
     "duplicate_bars": f"WITH {_BARS}, twice AS (SELECT * FROM bars UNION ALL SELECT * FROM bars WHERE symbol = 'S03') SELECT symbol, {_F}, n FROM (SELECT symbol, ts, count(*) AS n FROM twice GROUP BY ALL HAVING count(*) > 1)",

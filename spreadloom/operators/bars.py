@@ -13,6 +13,16 @@ def bars_from_events(events: DataFrame, symbols: int = 12) -> DataFrame:
     return rows.groupBy("symbol", F.col("hour").alias("ts")).agg(F.min_by("value", "at").alias("open"), F.max_by("value", "at").alias("close"))
 
 
+def bars_from_lineitem(lineitem: DataFrame, unit: str = "week") -> DataFrame:
+    """A symbol per supplier, so that the panel grows with the table: first and last unit price of each `unit`, by ship date,
+    order and line, in one partial aggregate. Lines without a supplier, date or price per unit are left out."""
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    price = F.try_divide("l_extendedprice", "l_quantity")
+    rows = lineitem.select(F.concat(F.lit("P"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("symbol"), F.date_trunc(unit, F.col("l_shipdate").cast("timestamp")).alias("bar_ts"), at.alias("at"), price.alias("price"))
+    rows = rows.filter("symbol is not null and bar_ts is not null and price is not null")
+    return rows.groupBy("symbol", F.col("bar_ts").alias("ts")).agg(F.min_by("price", "at").alias("open"), F.max_by("price", "at").alias("close"))
+
+
 def duplicate_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "ts").agg(F.count("*").alias("n")).filter("n > 1")
 
