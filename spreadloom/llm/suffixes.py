@@ -362,7 +362,7 @@ def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     most = counts.agg(F.max("n")).first()[0] or 0
     if most <= 1:
         return docs.withColumn(key, F.when(takes, F.col("doc_id").cast("long"))), 0
-    row, = unused(docs, "_row")
+    row, match, value = unused(docs, "_row", "_match", "_value")
     copy = cut(docs.withColumn(row, F.monotonically_increasing_id()), "suffix-rows")
     own = copy.filter(takes).select(F.col("doc_id").cast("long").alias("_id"), F.col(row).alias("_row"))
     ranges = cut(counts.select(F.col("doc_id").alias("_id")).repartitionByRange("_id").withColumn("_range", F.spark_partition_id()), "suffix-ids")
@@ -372,9 +372,9 @@ def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     bits = int(most - 1).bit_length()
     if ranges.count().bit_length() + bits > 62:
         raise ValueError("doc_ids and their repeats are beyond 62 bits")
-    keys = cut(nth.join(ranks, "_id").select("_row", F.shiftleft("_rank", bits).bitwiseOR(F.col("_nth")).alias("_key")), "suffix-keys")
+    keys = cut(nth.join(ranks, "_id").select(F.col("_row").alias(match), F.shiftleft("_rank", bits).bitwiseOR(F.col("_nth")).alias(value)), "suffix-keys")
     discard(ranges, nth)
-    out = copy.join(keys.hint("merge"), copy[row] == keys["_row"], "left").drop(row, "_row").withColumnRenamed("_key", key)
+    out = copy.join(keys.hint("merge"), copy[row] == keys[match], "left").drop(row, match).withColumnRenamed(value, key)
     out = cut(out, "suffix-numbered")
     discard(copy, keys)
     return out, bits
