@@ -160,7 +160,8 @@ def _panel_bars(spark: SparkSession, d: str) -> DataFrame:
 
 def _panel_scan(spark: SparkSession, d: str) -> DataFrame:
     s = scan_pairs(B.log_prices(B.dense_grid(_panel_bars(spark, d))), PANEL)
-    return _round(s.select("pair", "window_id", "signal", "hedge_ratio", "beta", "z"), 4, "hedge_ratio", "beta", "z")
+    s = _round(s.select("pair", "window_id", "signal", "hedge_ratio", "beta", "z"), 4, "hedge_ratio", "beta", "z")
+    return s.withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in ("hedge_ratio", "beta")})  # no -0
 
 
 QUERIES = {
@@ -272,7 +273,7 @@ walk AS (SELECT symbol, ts, bar_idx, ln(coalesce(last_value(close IGNORE NULLS)
 SQL = {
     "panel_bars": f"WITH {_LINES} SELECT symbol, {_F}, round(open, 8) AS open, round(close, 8) AS close FROM bars",
     "panel_scan": f"""WITH {_STATS.replace(_WALK, _PANEL).replace("'S00'", f"'{PANEL.benchmark}'")} SELECT a || '-' || b AS pair, window_id, CASE WHEN z >= {PANEL.z_entry} THEN -1 ELSE 1 END AS signal,
-    round(hedge_ratio, 4) AS hedge_ratio, round(beta, 4) AS beta, round(z, 4) AS z FROM st WHERE half_life > 0 AND half_life <= {PANEL.max_half_life} AND abs(beta) < {PANEL.max_beta} AND abs(z) >= {PANEL.z_entry}""",
+    CASE WHEN round(hedge_ratio, 4) = 0 THEN 0.0::DOUBLE ELSE round(hedge_ratio, 4) END AS hedge_ratio, CASE WHEN round(beta, 4) = 0 THEN 0.0::DOUBLE ELSE round(beta, 4) END AS beta, round(z, 4) AS z FROM st WHERE half_life > 0 AND half_life <= {PANEL.max_half_life} AND abs(beta) < {PANEL.max_beta} AND abs(z) >= {PANEL.z_entry}""",
     "bars_from_events": f"WITH {_BARS} SELECT symbol, {_F}, open, close FROM bars",
     "bar_index": f"WITH {_BARS} SELECT symbol, {_F}, bar_idx FROM bars JOIN dates USING (ts)",
     "duplicate_bars": f"WITH {_BARS}, twice AS (SELECT * FROM bars UNION ALL SELECT * FROM bars WHERE symbol = 'S03') SELECT symbol, {_F}, n FROM (SELECT symbol, ts, count(*) AS n FROM twice GROUP BY ALL HAVING count(*) > 1)",
