@@ -187,7 +187,7 @@ QUERIES = {
     "equal_return_index": lambda s, d: _round(_ts(E.market_index(_walk(s, d), "equal_return")), 8, "market", "market_ret"),
     "rejected_signals": lambda s, d: T.rejected_signals(_odd_signals(s, d), _walk(s, d)).select("signal_id", "reason"),
     "pair_universe": lambda s, d: W.pairs(W.candidates(_bars(s, d), "S00", ("S05",))),
-    "rolling_z": lambda s, d: _round(S.rolling_z(_walk(s, d)).select("symbol", "bar_idx", "z"), 5, "z"),
+    "rolling_z": lambda s, d: _round(S.rolling_z(_walk(s, d), dense=True).select("symbol", "bar_idx", "z"), 5, "z"),
     "pair_statistics": _pair_stats,
     "pair_scan": lambda s, d: _scan(s, d),
     "pair_scan_aic": lambda s, d: _scan(s, d, "aic"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spreadloom.operators.chunks import Carry, bar_chunk, carried, time_chunk
 
 def bars_from_events(events: DataFrame, symbols: int = 12) -> DataFrame:
     """Hourly bars: first and last value of each symbol and hour, in one partial aggregate."""
@@ -33,8 +34,8 @@ def dedupe_bars(bars: DataFrame) -> DataFrame:
 
 
 def bar_index(bars: DataFrame) -> DataFrame:
-    """ts, bar_idx: place in the sorted union of dates. Only distinct dates reach the global order."""
-    return bars.select("ts").distinct().withColumn("bar_idx", (F.row_number().over(Window.orderBy("ts")) - 1).cast("long"))
+    """ts, bar_idx: place in the sorted union of dates, counted by stretches of time."""
+    return carried(bars.select("ts").distinct(), "ts", time_chunk(), {"bar_idx": Carry("count", F.lit(1), True)})
 
 
 def with_bar_idx(bars: DataFrame) -> DataFrame:
@@ -48,23 +49,30 @@ def grid(bars: DataFrame) -> DataFrame:
     return cells.join(bars, ["symbol", "ts"], "left")
 
 
+def _first_closes(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(F.min_by("close", F.when(F.col("close").isNotNull(), F.struct("ts"))).alias("_first"))
+
+
 def dense_grid(bars: DataFrame) -> DataFrame:
-    """The grid with closes carried forward, then leading gaps filled backward."""
-    past = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(0, Window.unboundedFollowing)
-    filled = grid(bars).withColumn("close", F.last("close", True).over(past))
-    return filled.withColumn("close", F.first("close", True).over(later)).select("symbol", "ts", "bar_idx", "close")
+    """The grid with closes carried forward by runs of bars; a leading gap takes the symbol's first close."""
+    filled = carried(grid(bars), "bar_idx", bar_chunk(), {"_last": Carry("last", F.col("close"))}, ("symbol",))
+    return filled.join(_first_closes(bars), "symbol", "left").select("symbol", "ts", "bar_idx", F.coalesce("_last", "_first").alias("close"))
 
 
 def log_prices(bars: DataFrame) -> DataFrame:
-    """logp and shift: a symbol whose smallest close is not positive is shifted by its size and 1e-6 first."""
-    low = F.min("close").over(Window.partitionBy("symbol"))
-    shift = F.when(low <= 0, F.abs(low) + 1e-6).otherwise(F.lit(0.0))
-    return bars.withColumn("shift", shift).withColumn("logp", F.log(F.col("close") + F.col("shift")))
+    """logp and shift: a symbol whose smallest close is not positive is shifted by its size and 1e-6 first. The smallest is a
+    partial aggregate, a row a symbol; a symbol's bars are never gathered."""
+    low = bars.groupBy("symbol").agg(F.min("close").alias("_low"))
+    shift = F.when(F.col("_low") <= 0, F.abs("_low") + 1e-6).otherwise(F.lit(0.0))
+    x = bars.join(low.withColumnRenamed("symbol", "_symbol"), F.col("symbol").eqNullSafe(F.col("_symbol")))
+    return x.select(*bars.columns, shift.alias("shift"), F.log(F.col("close") + shift).alias("logp"))
 
 
 def log_returns(series: DataFrame, order: str = "bar_idx") -> DataFrame:
-    return series.withColumn("ret", F.col("logp") - F.lag("logp").over(Window.partitionBy("symbol").orderBy(order)))
+    """ret: the difference to the row before, by runs of bars, or of time where `order` is not the bar index."""
+    chunk = bar_chunk(order) if order == "bar_idx" else time_chunk(order)
+    x = carried(series, order, chunk, {"_before": Carry("lag", F.col("logp"))}, ("symbol",))
+    return x.withColumn("ret", F.col("logp") - F.col("_before")).drop("_before")
 
 
 def wide_matrix(bars: DataFrame, symbols: list[str]) -> DataFrame:
@@ -77,12 +85,11 @@ def resample(bars: DataFrame, unit: str = "day") -> DataFrame:
 
 
 def normalised(bars: DataFrame) -> DataFrame:
-    first = F.first("close", True).over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return bars.withColumn("norm", F.try_divide("close", first))
+    """norm: closes over the symbol's first one, which is a partial aggregate."""
+    return bars.join(_first_closes(bars), "symbol").withColumn("norm", F.try_divide("close", "_first")).drop("_first")
 
 
 def random_walk(bars: DataFrame, centre: float = 50.0, scale: float = 5000.0) -> DataFrame:
     """A price-like series from arbitrary values: the running sum of centred closes, missing ones counting as the centre."""
-    run = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    moved = grid(bars).withColumn("logp", F.sum((F.coalesce("close", F.lit(centre)) - centre) / scale).over(run))
+    moved = carried(grid(bars), "bar_idx", bar_chunk(), {"logp": Carry("sum", (F.coalesce("close", F.lit(centre)) - centre) / scale)}, ("symbol",))
     return moved.select("symbol", "ts", "bar_idx", "logp", F.lit(0.0).alias("shift"), F.exp("logp").alias("close"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import ratio
 from spreadloom.operators import profile
+from spreadloom.operators.chunks import Carry, bar_chunk, carried, time_chunk
 from spreadloom.operators.trades import leg_rows
 from spreadloom.params import BacktestParams
 
@@ -21,13 +22,12 @@ def cash_by_bar(trades: DataFrame, dates: DataFrame) -> DataFrame:
 def cash_audit(scaled: DataFrame, trades: DataFrame, dates: DataFrame, p: BacktestParams) -> DataFrame:
     """free cash before each signal of a bar, in order of signal_id, and whether its estimated commission exceeds it.
 
-    Signals are summed within their bar, bars before them; only one row per bar reaches the global order.
+    Signals are summed within their bar, bars before them by runs of bars.
     """
     est = scaled.groupBy(F.col("signal_bar").alias("bar_idx")).agg(F.sum("est_comm").alias("est"))
     bars = cash_by_bar(trades, dates).join(est, "bar_idx", "left").fillna(0.0, ["est"])
-    order = Window.orderBy("bar_idx")
-    before = F.coalesce(F.sum(F.col("gained") - F.col("paid")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    held = bars.select(F.col("bar_idx").alias("signal_bar"), (F.lit(p.capital) + before - F.coalesce(F.lag("est").over(order), F.lit(0.0))).alias("_bar"))
+    bars = carried(bars, "bar_idx", bar_chunk(), {"_before": Carry("sum", F.col("gained") - F.col("paid"), True), "_lag": Carry("lag", F.col("est"))})
+    held = bars.select(F.col("bar_idx").alias("signal_bar"), (F.lit(p.capital) + F.coalesce("_before", F.lit(0.0)) - F.coalesce("_lag", F.lit(0.0))).alias("_bar"))
     inner = Window.partitionBy("signal_bar").orderBy("signal_id").rowsBetween(Window.unboundedPreceding, -1)
     x = scaled.withColumn("_own", F.coalesce(F.sum("est_comm").over(inner), F.lit(0.0))).join(held, "signal_bar")
     x = x.withColumn("free", F.col("_bar") - F.col("_own"))
@@ -60,31 +60,30 @@ def unrealised(trades: DataFrame, prices: DataFrame) -> DataFrame:
 
 def equity_curve(trades: DataFrame, prices: DataFrame, dates: DataFrame, p: BacktestParams) -> DataFrame:
     """ts, bar_idx, equity: capital, less commissions up to the bar, plus exits triggered before it, plus open marks."""
-    order = Window.orderBy("bar_idx")
-    bars = cash_by_bar(trades, dates).join(unrealised(trades, prices), "bar_idx", "left")
-    gained = F.coalesce(F.sum("gained").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    paid = F.sum("paid").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return bars.select("ts", "bar_idx", (F.lit(p.capital) + gained - paid + F.coalesce("unrealised", F.lit(0.0))).alias("equity"))
+    bars = carried(cash_by_bar(trades, dates), "bar_idx", bar_chunk(), {"_gained": Carry("sum", F.col("gained"), True), "_paid": Carry("sum", F.col("paid"))})
+    bars = bars.join(unrealised(trades, prices), "bar_idx", "left")
+    return bars.select("ts", "bar_idx", (F.lit(p.capital) + F.coalesce("_gained", F.lit(0.0)) - F.col("_paid") + F.coalesce("unrealised", F.lit(0.0))).alias("equity"))
 
 
 def market_index(prices: DataFrame, kind: str = "mean_price") -> DataFrame:
     """ts, market and its log return: the mean close of all symbols, or with `equal_return` an index from 1 whose return is
-    the mean of the symbols' returns, so that dear symbols weigh no more than cheap ones."""
-    order = Window.orderBy("ts")
+    the mean of the symbols' returns, so that dear symbols weigh no more than cheap ones. Scanned by stretches of time."""
+    chunk = time_chunk()
     if kind == "mean_price":
         m = prices.groupBy("ts").agg(F.avg("close").alias("market"))
-        return m.withColumn("market_ret", F.log("market") - F.log(F.lag("market").over(order)))
+        m = carried(m, "ts", chunk, {"_lag": Carry("lag", F.col("market"))})
+        return m.select("ts", "market", (F.log("market") - F.log("_lag")).alias("market_ret"))
     if kind != "equal_return":
         raise ValueError(f"unknown index {kind}")
-    own = prices.withColumn("_ret", F.try_divide("close", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))) - 1)
+    own = carried(prices, "ts", chunk, {"_lag": Carry("lag", F.col("close"))}, ("symbol",)).withColumn("_ret", F.try_divide("close", "_lag") - 1)
+    step = F.log(1 + F.coalesce("_mean", F.lit(0.0)))
     m = own.groupBy("ts").agg(F.avg("_ret").alias("_mean"))
-    growth = F.sum(F.log(1 + F.coalesce("_mean", F.lit(0.0)))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    m = m.withColumn("market", F.exp(growth))
-    return m.select("ts", "market", (F.log("market") - F.log(F.lag("market").over(order))).alias("market_ret"))
+    m = carried(m, "ts", chunk, {"_growth": Carry("sum", step), "_n": Carry("count", F.lit(1), True)})
+    return m.select("ts", F.exp("_growth").alias("market"), F.when(F.col("_n") > 0, step).alias("market_ret"))
 
 
 def portfolio_beta(equity: DataFrame, market: DataFrame) -> DataFrame:
-    r = equity.select("ts", (F.log("equity") - F.log(F.lag("equity").over(Window.orderBy("ts")))).alias("ret"))
+    r = carried(equity.select("ts", "equity"), "ts", time_chunk(), {"_lag": Carry("lag", F.col("equity"))}).select("ts", (F.log("equity") - F.log("_lag")).alias("ret"))
     j = r.join(market, "ts").filter("ret is not null and market_ret is not null")
     return j.agg(F.when(F.count("*") >= 2, ratio(F.covar_samp("ret", "market_ret"), F.var_pop("market_ret"))).alias("beta"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import ratio
+from spreadloom.operators.chunks import Carry, carried, time_chunk
 
 
 def trade_flags(trades: DataFrame) -> DataFrame:
@@ -73,19 +74,21 @@ def worst_trades(trades: DataFrame, n: int, *ties: str) -> DataFrame:
 
 
 def equity_from_events(events: DataFrame, capital: float) -> DataFrame:
-    """Equity by ts of cash events (ts, cash): one row per ts reaches the ordered sum."""
+    """Equity by ts of cash events (ts, cash): summed by ts first, then by stretches of time."""
     daily = events.filter("cash is not null").groupBy("ts").agg(F.sum("cash").alias("cash"))
-    return daily.select("ts", (F.lit(capital) + F.sum("cash").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
+    return carried(daily, "ts", time_chunk(), {"_sum": Carry("sum", F.col("cash"))}).select("ts", (F.lit(capital) + F.col("_sum")).alias("equity"))
 
 
 def drawdown(equity: DataFrame) -> DataFrame:
-    peak = F.max("equity").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return equity.withColumn("drawdown", F.col("equity") / peak - 1)
+    """drawdown: equity over its highest value so far, less 1."""
+    x = carried(equity, "ts", time_chunk(), {"_peak": Carry("max", F.col("equity"))})
+    return x.withColumn("drawdown", F.col("equity") / F.col("_peak") - 1).drop("_peak")
 
 
 def metrics(equity: DataFrame, periods: float = 8760.0) -> DataFrame:
     """cagr, mdd, cagr_mdd, sharpe, final_equity as rows (metric, value)."""
-    d = drawdown(equity).withColumn("ret", F.try_divide("equity", F.lag("equity").over(Window.orderBy("ts"))) - 1)
+    d = carried(equity, "ts", time_chunk(), {"_peak": Carry("max", F.col("equity")), "_lag": Carry("lag", F.col("equity"))})
+    d = d.withColumn("drawdown", F.col("equity") / F.col("_peak") - 1).withColumn("ret", F.try_divide("equity", "_lag") - 1)
     one = d.agg(F.min_by("equity", "ts").alias("e0"), F.max_by("equity", "ts").alias("e1"), ((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / (365.0 * 86400)).alias("years"), F.min("drawdown").alias("mdd"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("std"))
     one = one.withColumn("cagr", F.when(F.col("years") > 0, F.pow(F.try_divide("e1", "e0"), F.try_divide(F.lit(1.0), F.col("years"))) - 1))
     one = one.withColumn("sharpe", F.when(F.col("std") > 0, F.col("mean") * periods / (F.col("std") * F.sqrt(F.lit(periods))))).withColumn("cagr_mdd", F.when(F.col("mdd") < 0, F.col("cagr") / F.abs("mdd"))).withColumn("final_equity", F.col("e1"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import ratio
-
+from spreadloom.operators.bars import log_returns
+from spreadloom.operators.chunks import Carry, bar_chunk, carried, with_halo
 
 KEYS = ["a", "b", "window_id"]
 BLOCKS = ["block_a", "block_b"]
@@ -45,16 +46,21 @@ def pair_rows(windowed: DataFrame, usable: DataFrame, benchmark: str, excluded:
     return met.select(*KEYS, *blocks, "shift_a", "shift_b", F.inline(F.arrays_zip("bar_idx", "la", "lb", "lc")))
 
 
-def rolling_z(series: DataFrame, n: int = 200, least: int = 10, value: str = "logp", key: str = "symbol") -> DataFrame:
-    w = Window.partitionBy(key).orderBy("bar_idx").rowsBetween(-(n - 1), 0)
+def rolling_z(series: DataFrame, n: int = 200, least: int = 10, value: str = "logp", key: str = "symbol", dense: bool = False) -> DataFrame:
+    """z of the last n rows, which hold at least `least` values. Frames run in runs of bars that carry the n - 1 rows before
+    them. With `dense` each key has a row at every bar; else its rows are numbered first."""
+    x, place = series, "bar_idx"
+    if not dense:
+        x, place = carried(series, "bar_idx", bar_chunk(), {"_row": Carry("count", F.lit(1), True)}, (key,)), "_row"
+    w = Window.partitionBy(key, "_part").orderBy(place).rowsBetween(-(n - 1), 0)
     std = F.stddev_samp(value).over(w)
     z = F.when((F.count(value).over(w) >= least) & (std > 0), (F.col(value) - F.avg(value).over(w)) / std)
-    return series.withColumn("z", z)
+    return with_halo(x, n, key, place).withColumn("z", z).filter("_own").select(*series.columns, "z")
 
 
 def symbol_beta(series: DataFrame, benchmark: str) -> DataFrame:
     """Beta of each symbol's log returns to the benchmark's, both taken from one grid: sample covariance over population variance."""
-    r = series.withColumn("ret", F.col("logp") - F.lag("logp").over(Window.partitionBy("symbol").orderBy("bar_idx")))
+    r = log_returns(series)
     bench = r.filter(F.col("symbol") == benchmark).select("bar_idx", F.col("ret").alias("bench"))
     j = r.filter(F.col("symbol") != benchmark).join(bench, "bar_idx").filter("ret is not null and bench is not null")
     return j.groupBy("symbol").agg(ratio(F.covar_samp("ret", "bench"), F.var_pop("bench")).alias("beta"), F.corr("ret", "bench").alias("corr"), F.count("*").alias("n"))
