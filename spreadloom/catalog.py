@@ -6,6 +6,7 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from dataclasses import replace
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ from spreadloom.operators import equity as E
 from spreadloom.operators import trades as T
 from spreadloom.params import BacktestParams, ScanParams
 from spreadloom.plans.backtest import Backtest, backtest
+from spreadloom.plans.resume import resume_scan, scan_signals
 from spreadloom.plans.scan import scan_pairs
 from spreadloom.plans.sweep import compare, scan_lookbacks, sweep
-from spreadloom.session import settle
+from spreadloom.session import settle, shared_folder
+from spreadloom.sources import io
 
 PARAMS = ScanParams(window=100, step=25, z_entry=1.0, benchmark="S00", cointegration=None)
 TRADING = BacktestParams(risk_share=0.0005)
@@ -151,6 +154,47 @@ def _scan(spark: SparkSession, d: str, lags: str | None = None) -> DataFrame:
     return _round(s.withColumn("half_life", F.round("half_life", 1)), 4, "hedge_ratio", "beta", "z").drop("qty1", "qty2", "p_value").withColumns({c: F.round(c, 0) for c in ("dollar1", "dollar2")})
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def _resumed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The scan in three sittings: some symbols up to bar 400, all their bars, all symbols."""
+    path, walk = _folder(spark, "scan"), settle(_walk(spark, d))
+    older = F.col("symbol") < "S07"
+    for part in (walk.filter(older & (F.col("bar_idx") < 400)), walk.filter(older), walk):
+        resume_scan(part, PARAMS, path, per_block=4)
+    return _round(scan_signals(spark, path).select("pair", "window_id", "signal", "z"), 4, "z")
+
+
+def _bars_file(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "bars")
+    io.write_table(_bars(spark, d).select(F.col("ts").alias("Date"), F.col("symbol").alias("Symbol"), F.col("open").alias("Open"), F.col("close").alias("Close")), path, "csv")
+    return _ts(io.read_bars(spark, path).select("symbol", "ts", "open", "close"))
+
+
+def _signals_file(spark: SparkSession, d: str) -> DataFrame:
+    """Some end dates are missing, some hedge ratios are no numbers."""
+    path, bar = _folder(spark, "signals"), F.regexp_extract("signal_id", "[0-9]+", 0).cast("long")
+    hedge = F.when(bar % 10 == 3, "n/a").otherwise((bar % 10).cast("string"))
+    io.write_table(_odd_signals(spark, d).select("signal_id", "pair", F.date_format("signal_time", "yyyy-MM-dd HH:mm:ss").alias("end_date"), hedge.alias("hedge_ratio"), F.lit(0.5).alias("beta_btc")), path, "csv")
+    return _ts(io.read_signals(spark, path).select("signal_id", "pair", "signal_time", "hedge_ratio", "beta"), "signal_time")
+
+
+def _trades_file(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "trades")
+    io.write_table(_trades(spark, d).drop("l_shipdate"), path, "csv")
+    back = io.read_trades(spark, path).withColumns({c: F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber")})
+    return back.select("l_orderkey", "l_linenumber", "pair", "pnl_net", "exit_reason")
+
+
+def _report_files(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "report")
+    io.write_report(_backtest(spark, d).report(), path)
+    return _round(spark.read.parquet(f"{path}/metrics"), 4, "value")
+
+
 PANEL = replace(PARAMS, z_entry=2.0, benchmark="P000001")
 
 
@@ -167,13 +211,19 @@ def _panel_scan(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "panel_bars": lambda s, d: _round(_ts(_panel_bars(s, d)), 8, "open", "close"),
     "panel_scan": _panel_scan,
+    "resumed_scan": _resumed_scan,
+    "capped_scan": lambda s, d: _round(scan_pairs(_walk(s, d), replace(PARAMS, max_windows=5)).select("pair", "window_id", "signal", "z"), 4, "z"),
+    "bars_file": _bars_file,
+    "signals_file": _signals_file,
+    "trades_file": _trades_file,
+    "report_files": _report_files,
     "bars_from_events": lambda s, d: _ts(_bars(s, d)),
     "bar_index": lambda s, d: _ts(B.with_bar_idx(_bars(s, d)).select("symbol", "ts", "bar_idx")),
     "duplicate_bars": lambda s, d: _ts(B.duplicate_bars(_bars(s, d).union(_bars(s, d).filter("symbol = 'S03'")))),
     "dedupe_bars": lambda s, d: _ts(B.dedupe_bars(_bars(s, d).unionByName(_bars(s, d).filter("symbol = 'S03'").withColumn("close", 100 - F.col("close")))).select("symbol", "ts", "close")),
     "dense_grid": lambda s, d: _ts(B.dense_grid(_bars(s, d))),
     "log_prices": lambda s, d: _round(_ts(B.log_prices(_bars(s, d)).select("symbol", "ts", "shift", "logp")), 6, "shift", "logp"),
-    "log_returns": lambda s, d: _round(B.log_returns(_walk(s, d)).select("symbol", "bar_idx", "ret"), 8, "ret"),
+    "log_returns": lambda s, d: _round(B.log_returns(_walk(s, d), dense=True).select("symbol", "bar_idx", "ret"), 8, "ret"),
     "wide_matrix": lambda s, d: _ts(B.wide_matrix(_bars(s, d), SYMBOLS)),
     "resample_daily": lambda s, d: _ts(B.resample(_bars(s, d)), "bar_ts"),
     "normalised_price": lambda s, d: _round(_ts(B.normalised(_bars(s, d)).select("symbol", "ts", "norm")), 6, "norm"),
@@ -418,6 +468,18 @@ SQL |= {
     "portfolio_exposure": f"WITH {_book()} SELECT x.bar_idx, round(sum((alloc_a + alloc_b) / 1e6 * beta), 6) AS net_beta FROM tr s JOIN px x ON x.symbol = s.a AND x.bar_idx BETWEEN entry_idx AND coalesce(exit_bar, last_bar) GROUP BY 1",
 }
 
+_SIGNALS = "SELECT pair, window_id, signal, z FROM (" + SQL["pair_scan"] + ")"
+SQL |= {
+    "resumed_scan": _SIGNALS,
+    "capped_scan": _SIGNALS + " WHERE window_id < 5",
+    "bars_file": SQL["bars_from_events"],
+    "signals_file": f"""WITH {_BARS}, o AS (SELECT bar_idx, bar_idx % 10 AS k, ts + CASE WHEN bar_idx % 10 = 7 THEN INTERVAL 400 DAY ELSE INTERVAL 0 DAY END AS moment FROM grid WHERE symbol = 'S01')
+        SELECT 'x#' || bar_idx AS signal_id, CASE k WHEN 1 THEN 'S01' WHEN 3 THEN 'S01-S02-S03' WHEN 5 THEN 'S01-S99' ELSE 'S01-S02' END AS pair,
+        CASE WHEN k <> 9 THEN strftime(moment, '%Y-%m-%d %H:%M:%S') END AS signal_time, CASE WHEN k <> 3 THEN k::DOUBLE END AS hedge_ratio, 0.5::DOUBLE AS beta FROM o""",
+    "trades_file": f"WITH {_TRADES} SELECT l_orderkey, l_linenumber, pair, pnl_net, exit_reason FROM trades",
+    "report_files": SQL["backtest_metrics"],
+}
+
 #: The scan and all queries on its signals once more, over pairs that pass the cointegration test, in the lag-0 form that SQL has.
 TESTED = ["pair_scan", "map_signals", "allocations", "mae95", "entry_fills", "trades", "trades_gated", "cash_audit", "ledger", "unrealised", "backtest_equity", "backtest_metrics", "compare_presets", "sweep", "portfolio_exposure"]
 

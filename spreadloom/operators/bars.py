@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadloom.operators.chunks import Carry, bar_chunk, carried, time_chunk
+from spreadloom.operators.chunks import Carry, bar_chunk, carried, time_chunk, with_halo
 
 def bars_from_events(events: DataFrame, symbols: int = 12) -> DataFrame:
     """Hourly bars: first and last value of each symbol and hour, in one partial aggregate."""
@@ -68,11 +68,13 @@ def log_prices(bars: DataFrame) -> DataFrame:
     return x.select(*bars.columns, shift.alias("shift"), F.log(F.col("close") + shift).alias("logp"))
 
 
-def log_returns(series: DataFrame, order: str = "bar_idx") -> DataFrame:
-    """ret: the difference to the row before, by runs of bars, or of time where `order` is not the bar index."""
-    chunk = bar_chunk(order) if order == "bar_idx" else time_chunk(order)
-    x = carried(series, order, chunk, {"_before": Carry("lag", F.col("logp"))}, ("symbol",))
-    return x.withColumn("ret", F.col("logp") - F.col("_before")).drop("_before")
+def log_returns(series: DataFrame, order: str = "bar_idx", dense: bool = False) -> DataFrame:
+    """ret: the difference to the row before. With `dense` each symbol has a row at every bar, and runs of bars that carry the
+    bar before them are taken one by one; else a symbol's rows are ordered as a whole."""
+    if not dense:
+        return series.withColumn("ret", F.col("logp") - F.lag("logp").over(Window.partitionBy("symbol").orderBy(order)))
+    x = with_halo(series, 2, "bar_idx")
+    return x.withColumn("ret", F.col("logp") - F.lag("logp").over(Window.partitionBy("symbol", "_part").orderBy("bar_idx"))).filter("_own").drop("_part", "_own")
 
 
 def wide_matrix(bars: DataFrame, symbols: list[str]) -> DataFrame:
@@ -91,5 +93,6 @@ def normalised(bars: DataFrame) -> DataFrame:
 
 def random_walk(bars: DataFrame, centre: float = 50.0, scale: float = 5000.0) -> DataFrame:
     """A price-like series from arbitrary values: the running sum of centred closes, missing ones counting as the centre."""
-    moved = carried(grid(bars), "bar_idx", bar_chunk(), {"logp": Carry("sum", (F.coalesce("close", F.lit(centre)) - centre) / scale)}, ("symbol",))
+    run = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    moved = grid(bars).withColumn("logp", F.sum((F.coalesce("close", F.lit(centre)) - centre) / scale).over(run))
     return moved.select("symbol", "ts", "bar_idx", "logp", F.lit(0.0).alias("shift"), F.exp("logp").alias("close"))

@@ -37,7 +37,8 @@ def carried(rows: DataFrame, order: str, chunk: Column, carries: dict[str, Carry
     """`rows` with a column for each of `carries`, in `order` within `by`; null where no row counts (count: 0).
 
     `chunk` must not fall as `order` rises. Places of equal `order` are taken in any order, as in a window. A null order
-    comes first; rows with a null in `by` are left out. `rows` are read twice: for the totals, after a partial aggregate, and for the result.
+    comes first; rows with a null in `by` are left out. `rows` are read twice: for the totals, after a partial aggregate, and for the result. Rows that come from an aggregate by
+    `order` share its exchange; others are better settled first.
     """
     x = rows.withColumn("_chunk", F.coalesce(chunk, F.lit(-(2**63))))
     place = Window.partitionBy(*by, "_chunk").orderBy(order)
@@ -71,8 +72,9 @@ def carried(rows: DataFrame, order: str, chunk: Column, carries: dict[str, Carry
     return x.join(sums, [*by, "_chunk"]).select(*rows.columns, *[c.alias(n) for n, c in out.items()])
 
 
-def with_halo(rows: DataFrame, n: int, by: str, place: str, bars: int = BARS) -> DataFrame:
+def with_halo(rows: DataFrame, n: int, place: str, bars: int = BARS) -> DataFrame:
     """Rows copied to each run of `bars` places in which a frame of n rows may need them: `_part` is the run, `_own` is false
-    for the copies. `place` numbers the rows of `by` without gaps; a run holds at most bars + n - 1 rows."""
+    for the copies. `place` numbers the rows of each group without gaps; a run holds at most bars + n - 1 of a group's rows, and
+    `rows` are read once."""
     first, last = F.expr(f"`{place}` div {bars}"), F.expr(f"(`{place}` + {n - 1}) div {bars}")
     return rows.withColumn("_part", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_part") == first)

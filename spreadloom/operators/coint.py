@@ -19,6 +19,8 @@ SMALL_P = (2.92, 1.5012, 0.039796)
 LARGE_P = (2.1945, 0.64695, -0.29198, -0.042377)
 LOWEST, TURN, HIGHEST = -18.86, -2.62, 0.92
 
+CELLS = 1 << 20  # numbers in a design array at most
+
 
 def critical_value(level: int, n: Column) -> Column:
     """Critical value at 1, 5 or 10 per cent of a window of n bars."""
@@ -49,11 +51,19 @@ def lag0_statistic(rows: DataFrame) -> DataFrame:
     return g.select(*KEYS, "n", t.alias("t"))
 
 
+def _most_lags(n: int) -> int:
+    return max(0, min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 3))
+
+
+def _at_once(n: int) -> int:
+    """Windows of n bars taken together, so that their lagged differences fill CELLS numbers at most."""
+    return max(1, CELLS // (n * (_most_lags(n) + 2)))
+
+
 def _aic_batch(u: np.ndarray) -> np.ndarray:
     """t of every row of residuals; the number of lagged differences is the one of smallest AIC on the common sample."""
     n_rows, n = u.shape
-    top = int(np.ceil(12 * (n / 100) ** 0.25))
-    top = max(0, min(top, n // 2 - 3))
+    top = _most_lags(n)
     du = np.diff(u, axis=1)
 
     def design(p: int, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +99,9 @@ def aic_statistic(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = batch[[*KEYS, "n"]].assign(t=np.nan)
             for n, part in batch.groupby("n"):
-                if n >= 10:
-                    out.loc[part.index, "t"] = _aic_batch(np.stack(part["u"].to_list()).astype(float))
+                for s in range(0, len(part) if n >= 10 else 0, some := _at_once(n)):
+                    rows = part.iloc[s : s + some]
+                    out.loc[rows.index, "t"] = _aic_batch(np.stack(rows["u"].to_list()).astype(float))
             yield out
 
     found = arrays.mapInPandas(work, "a string, b string, window_id long, n long, t double")

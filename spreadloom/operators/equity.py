@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions.numeric import ratio
 from spreadloom.operators import profile
-from spreadloom.operators.chunks import Carry, bar_chunk, carried, time_chunk
+from spreadloom.operators.chunks import Carry, bar_chunk, carried, time_chunk, with_halo
 from spreadloom.operators.trades import leg_rows
 from spreadloom.params import BacktestParams
 
@@ -67,7 +67,8 @@ def equity_curve(trades: DataFrame, prices: DataFrame, dates: DataFrame, p: Back
 
 def market_index(prices: DataFrame, kind: str = "mean_price") -> DataFrame:
     """ts, market and its log return: the mean close of all symbols, or with `equal_return` an index from 1 whose return is
-    the mean of the symbols' returns, so that dear symbols weigh no more than cheap ones. Scanned by stretches of time."""
+    the mean of the symbols' returns, so that dear symbols weigh no more than cheap ones. Scanned by stretches
+    of time; the latter needs the bar index of a filled grid."""
     chunk = time_chunk()
     if kind == "mean_price":
         m = prices.groupBy("ts").agg(F.avg("close").alias("market"))
@@ -75,7 +76,8 @@ def market_index(prices: DataFrame, kind: str = "mean_price") -> DataFrame:
         return m.select("ts", "market", (F.log("market") - F.log("_lag")).alias("market_ret"))
     if kind != "equal_return":
         raise ValueError(f"unknown index {kind}")
-    own = carried(prices, "ts", chunk, {"_lag": Carry("lag", F.col("close"))}, ("symbol",)).withColumn("_ret", F.try_divide("close", "_lag") - 1)
+    before = F.lag("close").over(Window.partitionBy("symbol", "_part").orderBy("bar_idx"))
+    own = with_halo(prices, 2, "bar_idx").withColumn("_ret", F.try_divide("close", before) - 1).filter("_own")
     step = F.log(1 + F.coalesce("_mean", F.lit(0.0)))
     m = own.groupBy("ts").agg(F.avg("_ret").alias("_mean"))
     m = carried(m, "ts", chunk, {"_growth": Carry("sum", step), "_n": Carry("count", F.lit(1), True)})

@@ -228,17 +228,23 @@ def _block(symbols: list[str], shift: np.ndarray, logs: np.ndarray, mark: np.nda
     return pa.table([pa.array(np.concatenate(v) if v else [], kinds[t], from_pandas=True) for v, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def window_statistics(series: DataFrame, benchmark: str, lengths: Iterable[int], step: int, vol_bars: Iterable[int] = (60,), excluded: tuple[str, ...] = (), cap: int | None = None, per_block: int = 64, limits: Limits = Limits()) -> DataFrame:
+def chunk_windows(lengths: Iterable[int], step: int) -> int:
+    """Windows that a task takes at once: CHUNK, or as many as begin within the longest window."""
+    return max(CHUNK, -(-max(lengths) // step))
+
+
+def window_statistics(series: DataFrame, benchmark: str, lengths: Iterable[int], step: int, vol_bars: Iterable[int] = (60,), excluded: tuple[str, ...] = (), cap: int | None = None, per_block: int = 64, limits: Limits = Limits(), blocks: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """One row per pair a < b, window length, volatility length and window: a, b, lookback, vol_bars, window_id, STATISTICS,
     half_life and z, where both legs and the benchmark have every bar and are not flat (usable_windows()).
 
     `series`: symbol, bar_idx, logp, shift. Window k of any length starts at bar k * step. A symbol's bars of CHUNK windows
     travel as one array, with those of the longest window that begins last among them, so a bar travels twice at most to each
     of the blocks of about `per_block` symbols; a task meets two blocks on CHUNK windows, and memory is bound by that.
-    Nothing but the arrays is shuffled. Windows beyond `limits` are left out where they are met.
+    Nothing but the arrays is shuffled. Windows beyond `limits` are left out where they are met. With `blocks` (symbol, block)
+    symbols stand in given blocks, those without one nowhere; `only` (chunk, block_a, block_b) names the tasks wanted.
     """
     lengths, vols = sorted({int(n) for n in lengths}), sorted({int(v) for v in vol_bars})
-    chunk = max(CHUNK, -(-lengths[-1] // step))
+    chunk = chunk_windows(lengths, step)
     stride, span = chunk * step, (chunk - 1) * step + lengths[-1]
     low = F.greatest(F.lit(0).cast("long"), F.expr(f"(bar_idx - {span} + {stride}) div {stride}"))
     high = F.expr(f"bar_idx div {stride}")
@@ -247,12 +253,17 @@ def window_statistics(series: DataFrame, benchmark: str, lengths: Iterable[int],
     bars = series.filter("bar_idx is not null and logp is not null").filter((F.col("symbol") == benchmark) | ~F.col("symbol").isin(*excluded)).filter(low <= high)
     bars = bars.select("symbol", "bar_idx", "logp", "shift", F.explode(F.sequence(low, high)).alias("chunk"))
     arrays = bars.groupBy("symbol", "chunk").agg(F.first("shift").alias("shift"), F.collect_list(F.struct("bar_idx", "logp")).alias("bars"))
-    n = F.broadcast(series.agg(F.ceil(F.greatest(F.countDistinct("symbol"), F.lit(1)) / per_block).alias("_n")))
-    block = F.when(F.col("symbol") == benchmark, -1).otherwise(F.pmod(F.xxhash64("symbol"), F.col("_n")))
-    dealt = arrays.crossJoin(n).withColumn("block", block)
+    block = F.pmod(F.xxhash64("symbol"), F.col("_n"))
+    n = series.agg(F.ceil(F.greatest(F.countDistinct("symbol"), F.lit(1)) / per_block).alias("_n"))
+    if blocks is not None:
+        arrays, block = arrays.join(blocks.select("symbol", F.col("block").alias("_block")), "symbol", "left"), F.col("_block")
+        n = blocks.agg((F.coalesce(F.max("block"), F.lit(0)) + 1).alias("_n"))
+    dealt = arrays.crossJoin(F.broadcast(n)).withColumn("block", F.when(F.col("symbol") == benchmark, -1).otherwise(block)).filter("block is not null")
     every = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
     dealt = dealt.withColumn("_one", F.explode(every)).withColumn("_other", F.explode(F.when(F.col("block") == -1, every).otherwise(F.array("block"))))
     dealt = dealt.filter("block <> -1 or _one <= _other").select(F.least("_one", "_other").alias("block_a"), F.greatest("_one", "_other").alias("block_b"), "chunk", "block", "symbol", "shift", "bars.bar_idx", "bars.logp")
+    if only is not None:
+        dealt = dealt.join(only, ["chunk", "block_a", "block_b"], "left_semi")
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("symbol")

@@ -55,12 +55,12 @@ def rolling_z(series: DataFrame, n: int = 200, least: int = 10, value: str = "lo
     w = Window.partitionBy(key, "_part").orderBy(place).rowsBetween(-(n - 1), 0)
     std = F.stddev_samp(value).over(w)
     z = F.when((F.count(value).over(w) >= least) & (std > 0), (F.col(value) - F.avg(value).over(w)) / std)
-    return with_halo(x, n, key, place).withColumn("z", z).filter("_own").select(*series.columns, "z")
+    return with_halo(x, n, place).withColumn("z", z).filter("_own").select(*series.columns, "z")
 
 
 def symbol_beta(series: DataFrame, benchmark: str) -> DataFrame:
     """Beta of each symbol's log returns to the benchmark's, both taken from one grid: sample covariance over population variance."""
-    r = log_returns(series)
+    r = log_returns(series, dense=True)
     bench = r.filter(F.col("symbol") == benchmark).select("bar_idx", F.col("ret").alias("bench"))
     j = r.filter(F.col("symbol") != benchmark).join(bench, "bar_idx").filter("ret is not null and bench is not null")
     return j.groupBy("symbol").agg(ratio(F.covar_samp("ret", "bench"), F.var_pop("bench")).alias("beta"), F.corr("ret", "bench").alias("corr"), F.count("*").alias("n"))

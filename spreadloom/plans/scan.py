@@ -27,13 +27,13 @@ def sized(stats: DataFrame, notional: float) -> DataFrame:
     return x.drop("_wa", "_wb", "_w")
 
 
-def scan_windows(series: DataFrame, p: ScanParams, lengths: Iterable[int], vol_bars: Iterable[int]) -> DataFrame:
+def scan_windows(series: DataFrame, p: ScanParams, lengths: Iterable[int], vol_bars: Iterable[int], keys: tuple[str, ...] = (), **tasks: DataFrame) -> DataFrame:
     """Signals of every pair, window length (`lookback`), volatility length (`vol_bars`) and window that pass all filters, in
     one plan: a pair-bar is read once for all lengths. The filters come first; the cointegration test, the dear one, sees
-    only the windows that they leave."""
+    only the windows that they leave. `keys` (a, b) are kept if asked for; `tasks` goes to window_statistics()."""
     lengths = sorted(set(lengths))
     limits = Limits(p.z_entry, p.max_half_life, p.max_beta)
-    s = window_statistics(series, p.benchmark, lengths, p.step, vol_bars, p.excluded, p.max_windows, limits=limits)
+    s = window_statistics(series, p.benchmark, lengths, p.step, vol_bars, p.excluded, p.max_windows, limits=limits, **tasks)
     s = s.filter((F.col("half_life") > 0) & (F.col("half_life") <= p.max_half_life) & (F.abs("beta") < p.max_beta) & (F.abs("z") >= p.z_entry))
     if p.cointegration:
         found = []
@@ -45,7 +45,7 @@ def scan_windows(series: DataFrame, p: ScanParams, lengths: Iterable[int], vol_b
     else:
         s = s.withColumn("p", F.lit(None).cast("double"))
     s = sized(s, p.notional).withColumn("signal", F.when(F.col("z") >= p.z_entry, -1).otherwise(1))
-    return s.select("lookback", "vol_bars", F.concat_ws("-", "a", "b").alias("pair"), "window_id", "start_index", "end_index", "hedge_ratio", "half_life", F.col("p").alias("p_value"), "beta", "z", "signal", "qty1", "qty2", F.round("dollar1", 2).alias("dollar1"), F.round("dollar2", 2).alias("dollar2"))
+    return s.select(*keys, "lookback", "vol_bars", F.concat_ws("-", "a", "b").alias("pair"), "window_id", "start_index", "end_index", "hedge_ratio", "half_life", F.col("p").alias("p_value"), "beta", "z", "signal", "qty1", "qty2", F.round("dollar1", 2).alias("dollar1"), F.round("dollar2", 2).alias("dollar2"))
 
 
 def scan_pairs(series: DataFrame, p: ScanParams) -> DataFrame:

@@ -39,8 +39,11 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str, fmt: str = "csv", anchor: str = "end_date") -> DataFrame:
-    """Signals with signal_time taken from the `anchor` column, else from the other date column; ties keep signal_id."""
+    """Signals with signal_time taken from the `anchor` column, else from the other date column; ties keep signal_id. A pair's
+    beta_btc serves as its beta where there is no such column."""
     df = _typed(_read(spark, path, fmt), SIGNAL_TYPES)
+    if "beta_btc" in df.columns and "beta" not in df.columns:
+        df = df.withColumn("beta", F.col("beta_btc"))
     require(df, "pair")
     column = next((c for c in (anchor, "end_date", "start_date") if c in df.columns), None)
     if column is None:

@@ -64,7 +64,8 @@ def test_rolling_frames_cross_runs(spark, dense, monkeypatch):
     assert len(got) == x.count() and key(got) == key(want.collect())
 
 
-def test_fills_and_returns_over_many_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [False, True])
+def test_fills_and_returns_over_many_chunks(spark, dense, monkeypatch):
     """Gaps longer than a run, a leading gap, and a symbol without any close."""
     monkeypatch.setattr(chunks.bar_chunk, "__defaults__", ("bar_idx", 16))
     x = spark.range(400).selectExpr("timestamp_seconds(id * 3600) ts", "explode(array('A', 'B', 'Z')) symbol", "cast(id as double) v", "id")
@@ -73,7 +74,8 @@ def test_fills_and_returns_over_many_chunks(spark, monkeypatch):
     for i in range(400):
         assert got["A", i] == (50 if i < 50 else 99 if 100 <= i <= 180 else i) and got["B", i] == i and got["Z", i] is None
     walk = bars.random_walk(b, 0.0, 1.0)
-    rets = {(r.symbol, r.bar_idx): r.ret for r in bars.log_returns(walk).collect()}
+    monkeypatch.setattr(chunks.with_halo, "__defaults__", (16,))
+    rets = {(r.symbol, r.bar_idx): r.ret for r in bars.log_returns(walk, dense=dense).collect()}
     assert rets["A", 0] is None and rets["A", 60] == 60 and rets["A", 120] == 0 and rets["B", 16] == 16
 
 
