@@ -247,6 +247,7 @@ QUERIES = {
     "trade_summary": lambda s, d: _round(P.trade_summary(_trades(s, d)), 4, "win_pct", "total_net", "mean_net", "median_net", "total_commission", "profit_factor"),
     "by_exit_reason": lambda s, d: _round(P.by_exit_reason(_trades(s, d)), 4, "win_pct", "mean_net", "median_net", "total_net", "mean_hold", "mean_commission"),
     "commission_profile": lambda s, d: _round(P.commission_profile(_trades(s, d)), 6, "small_gross_pct", "ratio_over_one_pct", "median_ratio"),
+    "trade_profile": lambda s, d: P.trade_profile(_trades(s, d)).withColumn("value", F.when(F.col("section") == "commission", F.round("value", 6)).otherwise(F.round("value", 4))),
     "hold_pnl_corr": lambda s, d: _round(P.hold_pnl_corr(_trades(s, d)), 8, "corr"),
     "worst_trades": lambda s, d: _round(P.worst_trades(_trades(s, d), 10, "l_orderkey", "l_linenumber").select("pair", "l_orderkey", "l_linenumber", "exit_reason", "pnl_net"), 6, "pnl_net"),
     "equity_curve": lambda s, d: _round(_ts(_equity(s, d)), 3, "equity"),
@@ -478,6 +479,8 @@ SQL |= {
         CASE WHEN k <> 9 THEN strftime(moment, '%Y-%m-%d %H:%M:%S') END AS signal_time, CASE WHEN k <> 3 THEN k::DOUBLE END AS hedge_ratio, 0.5::DOUBLE AS beta FROM o""",
     "trades_file": f"WITH {_TRADES} SELECT l_orderkey, l_linenumber, pair, pnl_net, exit_reason FROM trades",
     "report_files": SQL["backtest_metrics"],
+    "trade_profile": "WITH a AS (" + SQL["trade_summary"] + "), e AS (" + SQL["by_exit_reason"] + "), c AS (" + SQL["commission_profile"] + ") "
+    + " UNION ALL ".join(f"SELECT '{n}' AS section, {'exit_reason' if n == 'exit_reason' else chr(39) * 2} AS exit_reason, '{m}' AS metric, {m}::DOUBLE AS value FROM {n[0]}" for n, ms in P.PROFILE.items() for m in ms),
 }
 
 #: The scan and all queries on its signals once more, over pairs that pass the cointegration test, in the lag-0 form that SQL has.

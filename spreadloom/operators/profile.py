@@ -25,12 +25,19 @@ def exact_quantile(rows: DataFrame, value: str, q: float, out: str, *by: str) ->
     No group is gathered: values are counted by range, a fixed monotone function of the value, and only the one or two
     ranges that hold the wanted ranks are counted value by value.
     """
+    x = rows.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null").withColumn("_range", _range())
+    return _from_ranges(x, x.groupBy(*by, "_range").agg(F.count("*").alias("_n")), q, out, *by)
+
+
+def _range() -> Column:
+    return (F.signum("_v") * F.floor(F.log1p(F.abs("_v") * 1e6) * 256)).cast("long")
+
+
+def _from_ranges(x: DataFrame, ranges: DataFrame, q: float, out: str, *by: str) -> DataFrame:
+    """exact_quantile() of x (by..., _range, _v), given how many rows are in each range."""
     keys = [F.col(c) for c in by]
-    v = F.col(value).cast("double")
-    x = rows.select(*keys, v.alias("_v")).filter("_v is not null")
-    x = x.withColumn("_range", (F.signum("_v") * F.floor(F.log1p(F.abs("_v") * 1e6) * 256)).cast("long"))
     running = lambda order: F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    ranges = x.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_to", running("_range"))
+    ranges = ranges.withColumn("_to", running("_range"))
     ranges = ranges.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     place = F.lit(q) * (F.col("_all") - 1)
     low, high = F.floor(place), F.ceil(place)
@@ -65,6 +72,45 @@ def commission_profile(trades: DataFrame) -> DataFrame:
     return t.agg(_pct(small).alias("small_gross_pct"), _pct(over).alias("ratio_over_one_pct")).crossJoin(exact_quantile(t, "comm_ratio", 0.5, "median_ratio"))
 
 
+#: What trade_profile() gives of each section.
+PROFILE = {
+    "all": ("n_trades", "win_pct", "total_net", "mean_net", "median_net", "total_commission", "profit_factor"),
+    "exit_reason": ("n_trades", "win_pct", "mean_net", "median_net", "total_net", "mean_hold", "mean_commission"),
+    "commission": ("small_gross_pct", "ratio_over_one_pct", "median_ratio"),
+}
+
+
+def trade_profile(trades: DataFrame) -> DataFrame:
+    """(section, exit_reason, metric, value): trade_summary(), by_exit_reason() and commission_profile() in two scans.
+
+    One scan sums and counts every section's rows by range of the value whose median is wanted; sums of ranges give the
+    totals, and a second scan counts values inside the ranges that hold the medians. An empty table gives no rows.
+    """
+    section = lambda name, key, v: F.struct(F.lit(name).alias("section"), key.alias("exit_reason"), F.col(v).cast("double").alias("_v"))
+    t = trade_flags(trades).withColumnRenamed("exit_reason", "_reason")
+    t = t.withColumn("_part", F.explode(F.array(section("all", F.lit(""), "pnl_net"), section("exit_reason", F.col("_reason"), "pnl_net"), section("commission", F.lit(""), "comm_ratio"))))
+    x = t.select("*", "_part.*").drop("_part").filter("exit_reason is not null").withColumn("_range", _range())
+    over = F.col("gross_is_zero") | F.coalesce(F.col("comm_ratio") > 1, F.lit(False))
+    sums = {"won": F.count_if("win"), "net": F.sum("pnl_net"), "nets": F.count("pnl_net"), "gain": F.sum(F.when(F.col("pnl_net") > 0, F.col("pnl_net"))), "loss": F.sum(F.when(F.col("pnl_net") < 0, F.col("pnl_net")))}
+    sums |= {"fee": F.sum("commission_total"), "fees": F.count("commission_total"), "hold": F.sum("hold_hours"), "holds": F.count("hold_hours")}
+    sums |= {"small": F.count_if(F.coalesce(F.abs("pnl_gross") < 1, F.lit(False))), "over": F.count_if(over)}
+    by = ["section", "exit_reason"]
+    ranges = x.groupBy(*by, "_range").agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in sums.items()])
+    total = ranges.groupBy(*by).agg(F.sum("_n").alias("n"), *[F.sum(n).alias(n) for n in sums])
+    middle = _from_ranges(x.filter("_v is not null"), ranges.filter("_range is not null").select(*by, "_range", "_n"), 0.5, "median", *by)
+    pct = lambda c: ratio(F.col(c) * 100, F.col("n"))
+    values = {
+        "n_trades": F.col("n").cast("double"), "win_pct": pct("won"), "total_net": F.col("net"), "mean_net": ratio(F.col("net"), F.col("nets")), "median_net": F.col("median"), "total_commission": F.col("fee"),
+        "profit_factor": ratio(F.col("gain"), F.abs("loss")), "mean_hold": ratio(F.col("hold"), F.col("holds")), "mean_commission": ratio(F.col("fee"), F.col("fees")),
+        "small_gross_pct": pct("small"), "ratio_over_one_pct": pct("over"), "median_ratio": F.col("median"),
+    }
+    wide = total.join(middle, by, "left").select(*by, *[v.alias(n) for n, v in values.items()])
+    asked = F.lit(False)
+    for name, metrics_ in PROFILE.items():
+        asked |= (F.col("section") == name) & F.col("metric").isin(*metrics_)
+    return wide.unpivot(by, list(values), "metric", "value").filter(asked)
+
+
 def hold_pnl_corr(trades: DataFrame) -> DataFrame:
     return trades.filter("hold_hours is not null and pnl_net is not null").agg(F.corr("hold_hours", "pnl_net").alias("corr"))
 

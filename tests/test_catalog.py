@@ -52,6 +52,10 @@ def test_empty_and_open_trades(spark):
     assert profile.trade_summary(t).first().win_pct == 50.0
     assert profile.commission_profile(t).first().ratio_over_one_pct == 50.0
     assert profile.by_exit_reason(t).count() == 1
+    assert profile.trade_profile(empty).count() == 0
+    got = {(r.section, r.exit_reason, r.metric): r.value for r in profile.trade_profile(t).collect()}
+    assert len(got) == 17 and got["all", "", "n_trades"] == 2 and got["all", "", "median_net"] == 1 and got["commission", "", "ratio_over_one_pct"] == 50
+    assert got["commission", "", "median_ratio"] is None and got["exit_reason", "x", "mean_hold"] == 2 and got["all", "", "profit_factor"] is None
 
 
 def test_sources(spark, tmp_path):
