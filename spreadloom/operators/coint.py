@@ -19,7 +19,8 @@ SMALL_P = (2.92, 1.5012, 0.039796)
 LARGE_P = (2.1945, 0.64695, -0.29198, -0.042377)
 LOWEST, TURN, HIGHEST = -18.86, -2.62, 0.92
 
-CELLS = 1 << 20  # numbers in a design array at most
+CELLS = 1 << 20  # numbers in the arrays of a slice of windows at most
+NEAR = 1e-9  # share of a sum of squares below which what is left of it is rounding
 
 
 def critical_value(level: int, n: Column) -> Column:
@@ -56,12 +57,78 @@ def _most_lags(n: int) -> int:
 
 
 def _at_once(n: int) -> int:
-    """Windows of n bars taken together, so that their lagged differences fill CELLS numbers at most."""
-    return max(1, CELLS // (n * (_most_lags(n) + 2)))
+    """Windows of n bars taken together, so that their residuals, differences and cross products fill CELLS numbers at most."""
+    return max(1, CELLS // (2 * n + 3 * (_most_lags(n) + 2) ** 2))
+
+
+def _products(u: np.ndarray, du: np.ndarray, top: int, start: int) -> np.ndarray:
+    """Cross products of (u, du lagged by 1 .. top, du) of each row over the bars from `start` on, at least `top`. Only the
+    first row of lagged products is summed; the next ones differ from it by a bar at either end."""
+    n = u.shape[1]
+    y, level = du[:, start:], u[:, start:-1]
+    lags = np.empty((len(u), top + 1, top + 1))
+    for k in range(top + 1):
+        lags[:, 0, k] = lags[:, k, 0] = np.einsum("bi,bi->b", y, du[:, start - k : n - 1 - k])
+    for j in range(top):
+        k = np.arange(j, top)
+        lags[:, j + 1, k + 1] = lags[:, j, k] + du[:, [start - 1 - j]] * du[:, start - 1 - k] - du[:, [n - 2 - j]] * du[:, n - 2 - k]
+        lags[:, k + 1, j + 1] = lags[:, j + 1, k + 1]
+    out = np.empty((len(u), top + 2, top + 2))
+    order = [*range(1, top + 1), 0]
+    out[:, 1:, 1:] = lags[:, order][:, :, order]
+    out[:, 0, 0] = np.einsum("bi,bi->b", level, level)
+    for k in range(top + 1):
+        at = k if k else top + 1
+        out[:, 0, at] = out[:, at, 0] = np.einsum("bi,bi->b", level, du[:, start - k : n - 1 - k])
+    return out
+
+
+def _factor(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower triangular factors of the matrices, and whether no column but the last is close to a mix of those before it."""
+    low, sound = np.zeros_like(gram), np.ones(len(gram), bool)
+    for j in range(gram.shape[1]):
+        pivot = gram[:, j, j] - (low[:, j, :j] ** 2).sum(1)
+        if j < gram.shape[1] - 1:
+            sound &= pivot > NEAR * gram[:, j, j]
+        low[:, j, j] = np.sqrt(np.where(sound & (pivot > 0), pivot, 1.0))
+        low[:, j + 1 :, j] = (gram[:, j + 1 :, j] - np.einsum("bik,bk->bi", low[:, j + 1 :, :j], low[:, j, :j])) / low[:, j, j, None]
+    return low, sound
 
 
 def _aic_batch(u: np.ndarray) -> np.ndarray:
-    """t of every row of residuals; the number of lagged differences is the one of smallest AIC on the common sample."""
+    """t of every row of residuals; the number of lagged differences is the one of smallest AIC on the common sample.
+
+    One factorisation of a window's cross products, the level first and the lags after it, gives the fits of all lags: each
+    lag takes the square of its entry in the last row off the sum of squares. With the level last, t of the chosen fit stands in
+    the same row. Windows whose regressors depend on each other, or whose fit is all but perfect, are fitted on their bars.
+    """
+    n_rows, n = u.shape
+    top = _most_lags(n)
+    du = np.diff(u, axis=1)
+    m, t = n - 1 - top, np.full(n_rows, np.nan)
+    with np.errstate(all="ignore"):
+        gram = _products(u, du, top, top)
+        low, sound = _factor(gram)
+        left = gram[:, -1, -1, None] - np.cumsum(low[:, -1, :-1] ** 2, axis=1)
+        sound &= left[:, -1] > NEAR * gram[:, -1, -1]
+        best = (m * np.log(np.maximum(left, 1e-300) / m) + 2 * np.arange(1, top + 2)).argmin(1)
+        for p in np.unique(best[sound]):
+            rows = np.flatnonzero(sound & (best == p))
+            own = _products(u[rows], du[rows], p, p)
+            order = [*range(1, p + 1), 0, p + 1]
+            low, fine = _factor(own[:, order][:, :, order])
+            rest = own[:, -1, -1] - (low[:, -1, :-1] ** 2).sum(1)
+            sound[rows] = fine = fine & (rest > NEAR * own[:, -1, -1])
+            t[rows[fine]] = (low[:, -1, -2] / np.sqrt(rest / (n - 1 - p - p - 1)))[fine]
+    some = max(1, CELLS // (n * (top + 2)))
+    odd = np.flatnonzero(~sound)
+    for s in range(0, len(odd), some):
+        t[odd[s : s + some]] = _aic_by_design(u[odd[s : s + some]])
+    return np.where(np.abs(u).max(1) < 1e-10, -1e9, t)
+
+
+def _aic_by_design(u: np.ndarray) -> np.ndarray:
+    """The same t from the regressors of every bar, by pseudo-inverses, for windows that a factorisation can't settle."""
     n_rows, n = u.shape
     top = _most_lags(n)
     du = np.diff(u, axis=1)
@@ -88,7 +155,7 @@ def _aic_batch(u: np.ndarray) -> np.ndarray:
         var = (rest * rest).sum(1) / (y.shape[1] - p - 1)
         with np.errstate(all="ignore"):
             t[rows] = beta[:, 0] / np.sqrt(var * inverse[:, 0, 0])
-    return np.where(np.abs(u).max(1) < 1e-10, -1e9, t)
+    return t
 
 
 def aic_statistic(rows: DataFrame) -> DataFrame:

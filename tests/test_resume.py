@@ -73,4 +73,16 @@ def test_sliced_statistics_are_those_of_one_batch():
     some = 37
     parts = np.concatenate([coint._aic_batch(u[s : s + some]) for s in range(0, 300, some)])
     assert np.allclose(parts, coint._aic_batch(u))
-    assert coint._at_once(200) * 200 * (coint._most_lags(200) + 2) <= coint.CELLS and coint._at_once(10**7) == 1
+    assert coint._at_once(200) * 2 * 200 <= coint.CELLS and coint._at_once(10**7) == 1
+
+
+def test_factored_fits_are_those_of_the_design():
+    rng = np.random.default_rng(7)
+    for n in (10, 31, 200):
+        walk = rng.standard_normal((200, n)).cumsum(1)
+        sized = rng.standard_normal((60, n)) * 10.0 ** rng.uniform(-8, 6, (60, 1))
+        odd = np.stack([np.sin(np.arange(n) * 0.3), np.tile([1.0, -1], n)[:n], np.arange(n) * 1.0, np.r_[np.zeros(n - 1), 1.0]])
+        u = np.concatenate([walk, sized, odd])
+        with np.errstate(all="ignore"):
+            assert np.allclose(coint._aic_batch(u), coint._aic_by_design(u), rtol=1e-6, equal_nan=True)
+    assert (coint._aic_batch(np.zeros((3, 50))) == -1e9).all()
