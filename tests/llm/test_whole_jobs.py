@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -22,6 +24,33 @@ def test_licenses_of_a_file_with_all_notices():
     assert "unlicense" in index.scan(scattered.encode())[5].split(",")
 
 
+def test_whole_licence_texts_in_pieces():
+    index, rng = licenses.LicenseIndex({}), random.Random(3)
+    common_words = [*licenses.VOCABULARY, *["cc by", "all rights reserved", "general public license", "zzz", "\u00dcn\u00ef"] * 20]
+    for _ in range(150):
+        words, want = [rng.choice(common_words) for _ in range(rng.randrange(900))], set()
+        for _ in range(rng.randrange(4)):
+            label, text, phrases = rng.choice(licenses.TEMPLATES)
+            template, keys = text.split(), " ".join(phrases).split()
+            for _ in range(rng.randrange(3) if len(template) >= 48 else 0):  # words that the template lacks
+                at = rng.choice([k for k, w in enumerate(template) if w not in keys])
+                template.insert(at, "extra")
+            k = rng.randrange(len(words) + 1) if not want else len(words)
+            words[k:k] = template
+            want.add(label)
+        text = rng.choice([" ", ", ", "\n"]).join(words).encode()
+        found = index.report(text)
+        assert want <= set(found[5].split(",")) and found[8] <= found[0]
+        for size in (60, 700):
+            assert index.report(text, size) == found
+    for label, text, _ in licenses.TEMPLATES:
+        assert index.report(("filler " * 40 + text + " filler" * 40).encode())[8] == len(text.split())
+    boost = next(t for label, t, _ in licenses.TEMPLATES if label == "bsl-1.0-text")
+    assert index.report(boost.encode())[5] == "bsl-1.0-text"
+    many = index.report(b"Released under the MIT License. " * 60_000)
+    assert many[0] == 300_000 == many[8] and many[7] == 60_000 and many[5] == "mit"
+
+
 @pytest.mark.parametrize(("blocks", "pairs"), [(1, 300), (2, 300), (3, 60)])
 def test_near_vectors_of_many_blocks(spark, blocks, pairs):
     rng = np.random.default_rng(5)
