@@ -45,14 +45,15 @@ class Packer:
 
     def _least(self, size: int) -> int:
         """The level at which a piece makes the sum of squares grow least; 0 opens a window."""
-        c, n = self.window, self.level
-        rest = c - size
-        grow = n[size : c + 1].astype(np.float64)  # new count at level h + size, for h = 0..rest; h = 0 opens a window
-        cost = 2 * (grow - n[: rest + 1]) + 2
-        cost[0] = 2 * n[size] + 1
-        cost[rest] = 1 - 2 * n[rest] if rest else cost[0]
-        cost[1:][n[1 : rest + 1] == 0] = np.inf
-        return rest - int(np.argmin(cost[::-1]))
+        n, rest = self.level, self.window - size
+        held = np.flatnonzero(n[1 : rest + 1]) + 1  # levels of open windows with room; 512 at most
+        if not len(held):
+            return 0
+        cost = 2 * (n[held + size] - n[held]) + 2
+        if held[-1] == rest:
+            cost[-1] = 1 - 2 * n[rest]
+        best = len(held) - 1 - int(np.argmin(cost[::-1]))
+        return int(held[best]) if cost[best] <= 2 * n[size] + 1 else 0
 
     def _put(self, h: int, piece: tuple, done: list[list[tuple]]) -> None:
         held = self.open[h].pop() if h else []

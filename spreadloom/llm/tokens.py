@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from spreadloom.llm.common import ByteHashes, kept_by_worker, worker_of
+from spreadloom.llm.common import kept_by_worker, mix, worker_of
 
 MARK = "|"
 
@@ -52,8 +52,8 @@ class TextEncoder:
 
     def _ids(self, chunks: list[str], run: int = 1000) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunks, and how many each has (-1: only right in its text)."""
-        length = np.zeros(len(chunks), np.int32)
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(chunks)
+        length, begin = np.zeros(len(chunks), np.int32), np.zeros(len(chunks), np.int64)
+        found, used = [np.zeros(0, np.uint32)], 0
         joined, lone = [], []
         for i, c in enumerate(chunks):
             if "<|" in c or self.spaced and c[0] == " " and (len(c) == 1 or c[1].isspace()):
@@ -61,8 +61,8 @@ class TextEncoder:
             elif not self.spaced and c[1:].isalpha() and c[0] == " " and max(c) < "\u0100":
                 lone.append(i)  # letters alone are one word, and a word has one closing token
             elif self.spaced and c[0] != " " or not self.spaced and MARK in c:
-                parts[i] = self.plain(c)
-                length[i] = len(parts[i])
+                found.append(self.plain(c))
+                length[i], begin[i], used = len(found[-1]), used, used + len(found[-1])
             else:
                 joined.append(i)
         runs = [(which, which[i : i + run]) for which in (joined, lone) for i in range(0, len(which), run)]
@@ -78,10 +78,9 @@ class TextEncoder:
                 raise AssertionError("each chunk's first token must be told from the others")
             ends = np.append(starts[1:], len(ids))
             starts = starts + (not self.spaced and which is joined)
-            length[r] = ends - starts
-            for i, s, t in zip(r, starts.tolist(), ends.tolist(), strict=True):
-                parts[i] = ids[s:t]
-        return np.concatenate(parts), length
+            length[r], begin[r], used = ends - starts, used + starts, used + len(ids)
+            found.append(ids)
+        return _gathered(np.concatenate(found), begin, np.maximum(length, 0).astype(np.int64)), length
 
     def _learn(self, names: np.ndarray, raw: list[bytes]) -> None:
         ids, length = self._ids([c.decode("utf-8", "replace") for c in raw])
@@ -123,8 +122,7 @@ class TextEncoder:
         doc = np.searchsorted(offsets, starts, "right") - 1
         whole = np.unique(doc[length < 0])
         length = np.maximum(length, 0)
-        stop = np.cumsum(length)
-        ids = self.pool[np.repeat(place - (stop - length), length) + np.arange(stop[-1])].astype(np.uint32)
+        ids = _gathered(self.pool, place, length).astype(np.uint32)
         counts = np.bincount(doc, weights=length, minlength=n).astype(np.int64)
         if len(whole):
             parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -135,7 +133,33 @@ class TextEncoder:
         return ids, counts
 
     def named(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return ByteHashes(data).of(start, end)
+        """64-bit names of the pieces [start, end), which cover `data` one after another: sums of a byte times an odd factor of
+        its place in the piece."""
+        factor, size = _factors(int((end - start).max())), end - start
+        place = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        place -= np.repeat(start.astype(place.dtype), size)
+        terms = factor[place]
+        terms *= data.astype(np.uint64) + np.uint64(1)
+        return mix(np.add.reduceat(terms, start))
+
+
+_FACTORS: dict[str, np.ndarray] = kept_by_worker("factors", {})
+
+
+def _factors(n: int) -> np.ndarray:
+    """An odd number for each of n places and more, kept up to 2**20 of them."""
+    have = _FACTORS.get("odd", np.zeros(0, np.uint64))
+    if len(have) < n:
+        have = mix(np.arange(1, max(1 << 12, 1 << (n - 1).bit_length()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        if n <= 1 << 20:
+            _FACTORS["odd"] = have
+    return have
+
+
+def _gathered(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[at:at + size] of each place, one after another."""
+    stop = np.cumsum(size)
+    return pool[np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
 def _appended(pool: np.ndarray, used: int, more: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
